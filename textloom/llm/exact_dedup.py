@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from . import storage
 
 WHITE_SPACE = " \t\n\x0b\f\r"
+#: A filter on the digests of each file, sized by the digests that it holds.
+BLOOM = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 
 
 def normalised(text: Column) -> Column:
@@ -45,7 +47,7 @@ class DigestLog:
     def _write_run(self, grouped: DataFrame) -> None:
         run = f"{self.path}/run-{self.flushed:06d}"
         self.flushed += 1
-        storage.write_table(grouped.sortWithinPartitions("digest"), run, **{"parquet.bloom.filter.enabled#digest": "true"})
+        storage.write_table(grouped.sortWithinPartitions("digest"), run, **BLOOM)
         self.runs.append(run)
 
     def append(self, entries: DataFrame) -> None:
