@@ -71,7 +71,7 @@ class DigestLog:
                 storage.remove_folder(self.spark, run)
 
 
-def batches(docs: DataFrame, id_col: str, count: int) -> list[DataFrame]:
+def id_ranges(docs: DataFrame, id_col: str, count: int) -> list[DataFrame]:
     """docs cut into ranges of the id, nulls in the first; together they hold every row once."""
     low, high = docs.agg(F.min(id_col), F.max(id_col)).first()
     if count < 2 or low is None or high <= low:
@@ -93,7 +93,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     folder = storage.new_folder(spark, "exact-dedup")
     log = DigestLog(spark, f"{folder}/log")
-    parts = batches(texts, "doc_id", flushes)
+    parts = id_ranges(texts, "doc_id", flushes)
     for i, batch in enumerate(parts):
         entries = storage.write_table(digested(batch).select("digest", "doc_id", "rank"), f"{folder}/entries/batch={i}")
         log.append(entries)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,3 +39,9 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     """Removes a table that nothing reads any more."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished jobs now, not when the driver next happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -7,15 +7,15 @@ its own smallest k-gram, so equal windows lie in stretches with an equal anchor,
 written as one fingerprint (anchor, 128-bit digest of its words) for the some twenty windows it holds.
 
 The index is a log of immutable runs, each sorted by fingerprint, holding for each fingerprint the
-smallest document that has it. A new batch is merge-joined with the runs and with itself:
+documents that have it, and after compaction the smallest. A new batch is merge-joined with the runs and with itself:
 
 1. A stretch whose digest belongs to a smaller document goes as a whole. The digest covers the words'
    bytes, which verifies the hit.
 2. Where one anchor has stretches with different digests, they may share some of their windows. The
    smallest document of each such digest is read again, and digests of its single windows in those
-   stretches decide, kept as runs of their own.
+   stretches decide.
 
-The batch is then flushed as a run, and compaction merges runs when there are several.
+The batch is a run of the log from then on; compaction merges runs when there are several.
 
 Defined results: null and empty texts have no words. Fewer than `width` words make no window. Repeats
 within one document don't count, nor does a row that repeats an id. Rows with a null id are neither
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import storage
-from .exact_dedup import batches as id_ranges
+from .exact_dedup import id_ranges
 
 WIDTH = 50
 GRAM = 12
@@ -143,74 +143,62 @@ def _window_batches(width: int):
 
 
 class FingerprintLog:
-    """The index: runs of stretches (anchor, digest, doc_id, start, windows) and runs of windows (window, doc_id).
+    """The index: immutable runs of stretches (anchor, digest, doc_id, start, windows), sorted by fingerprint.
 
-    Batches are appended in order of their ids; append() returns the stretches of the batch with the
-    steps whose windows an earlier document has.
+    Batches are appended in order of their ids; append() returns the ranges of windows of the batch
+    that an earlier document has.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, width: int = WIDTH, fanout: int = 4):
         self.spark, self.width, self.fanout = spark, width, fanout
         self.path = path or storage.new_folder(spark, "fingerprint-log")
         self.runs: list[str] = []
-        self.window_runs: list[str] = []
         self.written = 0
 
-    def _flush(self, df: DataFrame, key: list[str], runs: list[str]) -> DataFrame:
-        path = f"{self.path}/run-{self.written:06d}"
+    def _write(self, df: DataFrame, label: str) -> tuple[DataFrame, str]:
         self.written += 1
-        out = storage.write_table(df.sortWithinPartitions(*key), path)
-        runs.append(path)
-        return out
-
-    @staticmethod
-    def _first(df: DataFrame) -> DataFrame:
-        return df.groupBy("anchor", "digest").agg(F.min("doc_id").alias("first_doc"), F.max("windows").alias("windows"))
-
-    def append(self, texts: DataFrame, found: DataFrame) -> DataFrame:
-        """texts: everything indexed so far and the batch (doc_id, text); found: the batch's stretches. -> (doc_id, start, from, windows): ranges of windows that an earlier document has."""
-        old = [self.spark.read.parquet(r) for r in self.runs]
-        new_run = self._flush(self._first(found), ["anchor", "digest"], self.runs)
-        index = self._first(new_run.union(self._merged(old)).withColumnRenamed("first_doc", "doc_id")) if old else new_run
-        index = storage.write_table(index, f"{self.path}/index-{self.written:06d}")
-
-        repeats = found.join(index.select("anchor", "digest", "first_doc"), ["anchor", "digest"])
-        whole = repeats.where("doc_id > first_doc").select("doc_id", "start", F.lit(0).alias("step"), "windows")
-
-        # Anchors with several digests, of which one is new: single windows decide.
-        several = index.groupBy("anchor").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("anchor")
-        fresh = new_run.select("anchor").distinct().join(several, "anchor", "left_semi")
-        unsure = index.join(fresh, "anchor", "left_semi").select("anchor", "digest", "first_doc")
-        own = found.where("windows > 0").join(unsure, ["anchor", "digest"]).where("doc_id = first_doc").select("doc_id", "start", "windows")
-        past = self._past_places(unsure)
-        places = own if past is None else own.unionByName(past)
-        wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("wanted"))
-        windows = texts.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_window_batches(self.width), "doc_id long, start int, step int, window binary")
-        windows = storage.write_table(windows, f"{self.path}/windows-{self.written:06d}")
-        first_window = windows.groupBy("window").agg(F.min("doc_id").alias("first_doc"))
+        path = f"{self.path}/{label}-{self.written:06d}"
+        return storage.write_table(df, path), path
+
+    def append(self, texts: DataFrame, batch: DataFrame) -> DataFrame:
+        """texts: all documents indexed so far and the batch (doc_id, text). -> (doc_id, start, step, windows) of the batch."""
+        found, run = self._write(stretches(batch, self.width).sortWithinPartitions("anchor", "digest"), "run")
+        pool = found.withColumn("new", F.lit(1))
+        if self.runs:
+            pool = pool.unionByName(self.spark.read.parquet(*self.runs).withColumn("new", F.lit(0)))
+        # An anchor that stands once can't repeat anything; most do, and go no further.
+        busy = pool.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("new").alias("fresh")).where("n > 1 AND fresh = 1")
+        live, _ = self._write(pool.join(busy.select("anchor"), "anchor", "left_semi"), "live")
+        storage.release(self.spark)
+
+        first = live.groupBy("anchor", "digest").agg(F.min("doc_id").alias("first_doc"))
+        whole = live.where("new = 1").join(first, ["anchor", "digest"]).where("doc_id > first_doc").select("doc_id", "start", F.lit(0).alias("step"), "windows")
+
+        # Where an anchor has several digests, single windows decide, read in the first document of each.
+        several = first.groupBy("anchor").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("anchor")
+        unsure = first.join(several, "anchor", "left_semi")
+        places = live.join(unsure, ["anchor", "digest"]).where("doc_id = first_doc")
+        wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("wanted"))  # a document's own stretches
+        read = texts.join(wanted, "doc_id").select("doc_id", "text", "wanted")
+        windows, _ = self._write(read.mapInArrow(_window_batches(self.width), "doc_id long, start int, step int, window binary"), "windows")
+        storage.release(self.spark)
+        first_window = windows.groupBy("window").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
         single = windows.join(first_window, "window").where("doc_id > first_doc").select("doc_id", "start", "step", F.lit(1).alias("windows"))
-        self._flush(found.select("anchor", "digest", "doc_id", "start", "windows"), ["anchor", "digest"], self.window_runs)
-        return whole.unionByName(single)
-
-    def _merged(self, old: list[DataFrame]) -> DataFrame:
-        out = old[0]
-        for df in old[1:]:
-            out = out.union(df)
-        return out
-
-    def _past_places(self, unsure: DataFrame) -> DataFrame | None:
-        """Where the earlier batches have the stretches in question, in the smallest document of each."""
-        if not self.window_runs:
-            return None
-        past = self.spark.read.parquet(*self.window_runs)
-        return past.join(unsure, ["anchor", "digest"]).where("doc_id = first_doc").select("doc_id", "start", "windows")
+        low = batch.agg(F.min("doc_id")).first()[0]
+        ranges, _ = self._write(whole.unionByName(single.where(F.col("doc_id") >= F.lit(low))), "ranges")
+        self.runs.append(run)
+        if len(self.runs) >= self.fanout:
+            self.compact()
+        storage.release(self.spark)
+        return ranges
 
     def compact(self) -> None:
-        """Merges the runs into one that holds each fingerprint's smallest document."""
+        """Merges the runs into one sorted run that holds, for each fingerprint, its smallest document."""
         if len(self.runs) > 1:
-            old, self.runs = self.runs, []
-            merged = self._merged([self.spark.read.parquet(r) for r in old]).withColumnRenamed("first_doc", "doc_id")
-            self._flush(self._first(merged), ["anchor", "digest"], self.runs)
+            rows = self.spark.read.parquet(*self.runs)
+            least = rows.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.first("windows").alias("windows"))
+            merged = least.select("at.doc_id", "at.start", "windows", "anchor", "digest").sortWithinPartitions("anchor", "digest")
+            old, self.runs = self.runs, [self._write(merged, "run")[1]]
             for run in old:
                 storage.remove_folder(self.spark, run)
 
@@ -259,11 +247,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, parts: int = 2, with_tex
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     log = FingerprintLog(spark, width=width)
     ranges = None
-    for i, batch in enumerate(id_ranges(texts, "doc_id", parts)):
-        found = storage.write_table(stretches(batch, width), f"{log.path}/found-{i}")
-        part = log.append(texts, found)
+    for batch in id_ranges(texts.where("doc_id IS NOT NULL"), "doc_id", parts):
+        part = log.append(texts, batch)
         ranges = part if ranges is None else ranges.unionByName(part)
-    log.compact()
     by_doc = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "step", "windows")).alias("ranges"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return texts.join(by_doc, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(_result_batches(width, with_text), schema)
