@@ -176,3 +176,19 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """One row for each document: doc_id, held_out, score, predicted."""
     scored = score(docs, fit(docs, labels, id_col, text_col, label_col), id_col, text_col)
     return scored.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, model: Classifier | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose score is below the threshold. No row moves between tasks."""
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.intercept))
+    least = float(np.log(threshold / (1 - threshold)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Classifier(*shared.value)
+        for batch in batches:
+            keep = [own.margin(t.as_py()) < least for t in batch.column(text_col)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
