@@ -125,7 +125,8 @@ def _bucket_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _sample(texts: DataFrame, most: int) -> list[np.ndarray]:
     """The buckets of at most `most` texts, those whose ids hash lowest: the same whatever the partitions."""
-    chosen = texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("text")
+    ids = texts.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # ids alone are sorted; at most `most` rows
+    chosen = texts.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("text")
     rows = chosen.mapInArrow(_bucket_batches, "buckets array<int>").toArrow().column("buckets")
     return [np.asarray(r.as_py(), np.int32) for r in rows if len(r.as_py())]
 
