@@ -107,7 +107,7 @@ def train(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: floa
                 gp, gu = -gp_neg, -gu_neg
             else:
                 gp, gu = gp_neg - prior * sp * (1 - sp) / len(bp), gu_neg
-            g = np.bincount(pi, gp[pr], BUCKETS + 1) + np.bincount(ui, gu[ur], BUCKETS + 1)
+            g = np.bincount(pi, gp[pr], BUCKETS + 1).astype(np.float64) + np.bincount(ui, gu[ur], BUCKETS + 1)
             g[-1] = gp.sum() + gu.sum()
             g[:-1] += penalty * w[:-1]
             step += 1
