@@ -114,16 +114,30 @@ def test_secrets(spark):
 
 def test_lines(spark):
     r = random.Random(5)
-    base = [[f"w{r.randrange(60)}" for _ in range(n)] for n in (3, 5, 8, 10, 12, 12, 20)]
-    lines = [" ".join(b) for b in base] + [" ".join([*b[:-1], "z"]) for b in base] + [" ".join(b) for b in base[:3]] + [""]
-    rows = [(0, None), (1, "\n".join(lines[:9])), (2, "\n".join(lines[9:]))]
-    got = {(x.doc_id, x.line): x.with_line is not None for x in line_dedup.line_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    base = [[f"w{r.randrange(60)}" for _ in range(n)] for n in (3, 4, 5, 8, 10, 12, 12, 20, 40, 90)]
+    lines = [" ".join(b) for b in base] + [" ".join([*b[:-1], "z"]) for b in base] + [" ".join(b) for b in base[:3]] + ["", "\t"]
+    # Many sets that share rare words, on both sides of the threshold.
+    for _ in range(300):
+        b = list(r.choice(base))
+        for _ in range(r.randrange(4)):
+            b[r.randrange(len(b))] = f"w{r.randrange(70)}"
+        lines.append(" ".join(b))
+    rows = [(None, "w1 w2 w3 w4 w5"), (0, None), (1, "\n".join(lines[:90])), (2, "\n".join(lines[90:])), (3, "w1 w2 w3 w5 w4\nw1")]
+    found = line_dedup.line_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(x.doc_id, x.line): x.matched for x in found}
     seen: list = []
     for i, text in rows:
         for k, line in enumerate((text or "").split("\n")):
             s = set(line.split())
             assert got[i, k] == any(len(s & o) >= 0.8 * len(s | o) for o in seen if s), (i, k, line)
             seen.append(s)
+    assert len(found) == len(seen) and 50 < sum(got.values()) < 300
+    kept = line_dedup.without_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.text for x in kept}[3] == "w1"
+
+
+def test_lines_empty(empty):
+    assert line_dedup.line_duplicates(empty).count() == 0
 
 
 def test_vectors(spark):

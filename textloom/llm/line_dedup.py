@@ -1,31 +1,35 @@
 """Removal of lines that match an earlier line: an exact set-similarity join.
 
-Lines are sets of words. A global order puts rare words first: by how many lines hold them, counted
-over all documents in a table of a fixed number of hashed buckets, then by hash. Any order that is the
-same everywhere gives exact results; this one makes prefixes rare. For a Jaccard similarity of t, sets
-of n and m words share at least t / (1 + t) * (n + m) words, so they share one of the first
-n - ceil(t n) + 1 words (prefix filter), have t n <= m (length filter), and share enough of what
-follows the common word (positional filter). Sets that pass are verified by their words.
-
-Equal sets collapse before the join. Words that only one line holds can't be shared and give no
-posting. Within the sets of one word, each is compared with the earlier ones until one matches; what
-is emitted is one match a set, not the pairs.
+Lines are sets of words, words being 64-bit hashes. A global order puts rare words first: by how often
+they occur, counted over all documents in a table of a fixed number of hashed buckets, then by hash.
+Any order that is the same everywhere gives exact results; this one makes prefixes rare. For a Jaccard
+similarity of t, sets of n and m words share at least t / (1 + t) * (n + m) words, so they share one of
+the first n - ceil(t n) + 1 words (prefix filter), have t n <= m (length filter), and share enough of
+what follows the common word (positional filter). A posting also carries 128 parity bits of its set;
+sets that differ by d words differ by at most d of them, which turns most other pairs away.
+
+Equal sets collapse before the join. Words that occur once can't be shared and give no posting. What a
+common word yields is the nearest earlier candidate of each set, not the pairs. Its words are fetched
+and compared. Where that fails and a set has other candidates, the postings of its words go through the
+join once more, now with their sets' words, and every candidate is compared until one matches; so no
+match is lost, and again a posting yields one row at most.
+
+A task holds, of one word, the postings within the length filter of the current one.
 
 Defined results: lines are cut at line feeds; a line without words is never removed; a null text is
 one empty line. Order is by document id, null first, then place in the text; whatever has an earlier
-match goes, whether or not that one stays. Rows that repeat an id count as parts of one document. An
-empty table gives an empty table. Other columns are ignored.
+match goes, whether or not that one stays. Rows that repeat an id count as parts of one document, and
+lines of one place in them go in order of their hash. Null ids are held as the smallest long, which no
+other id may be. An empty table gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import storage
@@ -33,149 +37,306 @@ from . import storage
 SIMILARITY = 0.8
 #: Buckets of the table of frequencies, a fixed size.
 BUCKETS = 1 << 20
-_WORDS_HELD = 1 << 17
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _WORDS_HELD:
-            self.clear()
-        out = self[word] = xxhash.xxh64_intdigest(word)
-        return out
-
-
-def _line_sets(text: str | None, hashes: dict[bytes, int]) -> Iterator[np.ndarray]:
-    """The distinct word hashes of each line."""
-    for line in (text or "").encode().split(b"\n"):
-        words = set(line.split())
-        yield np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+#: Bytes of text that are split at once, but for a longer text; postings compared at once, but for those that one word needs.
+_CHUNK = 1 << 20
+_POSTINGS = 1 << 17
+_NULL_ID = -(2**63)
+
+_U = np.uint64
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
+_OF_BYTE = np.random.default_rng(42).integers(1, 2**64, 256, np.uint64)
+_powers: dict[int, np.ndarray] = {}
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
+    if base not in _powers or len(_powers[base]) < n:
+        out = np.full(max(n, _CHUNK + (_CHUNK >> 2)), base, np.uint64)
+        out[0] = 1
+        _powers[base] = np.multiply.accumulate(out)
+    return _powers[base][:n]
+
+
+def _mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A bijection that spreads every bit (the SplitMix64 finaliser)."""
+    x = x + _U(seed)
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of data, and how many line feeds stand before it."""
+    b = np.frombuffer(data, np.uint8)
+    inside = np.concatenate([[False], ~_SPACE[b], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_OF_BYTE[b] * _powers_of(_BASE, len(b)), out=sums[1:])
+    hashes = _mix((sums[ends] - sums[starts]) * _powers_of(_INVERSE, len(b) + 1)[starts])
+    return hashes, np.searchsorted(np.flatnonzero(b == 10), starts)
+
+
+def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts of about _CHUNK bytes together, with the place of the first."""
+    first, held, size = 0, [], 0
+    for i, text in enumerate(texts):
+        held.append((text or "").encode())
+        size += len(held[-1])
+        if size >= _CHUNK:
+            yield first, held
+            first, held, size = i + 1, [], 0
+    if held:
+        yield first, held
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts, hashes = np.zeros(BUCKETS, np.int64), _WordHashes()
+    counts = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        for text in batch.column("text"):
-            for words in _line_sets(text.as_py(), hashes):
-                np.add.at(counts, (words & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+        for _, held in _chunks(batch.column("text").to_pylist()):
+            hashes, _ = _words(b"\n".join(held))
+            counts += np.bincount((hashes & _U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
     used = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["bucket", "n"])
 
 
 def word_frequencies(texts: DataFrame) -> np.ndarray:
-    """How many lines hold the words of each bucket: BUCKETS numbers, whatever the corpus."""
+    """How often the words of each bucket occur: BUCKETS numbers, whatever the corpus."""
     rows = texts.select("text").mapInArrow(_count_batches, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BUCKETS, np.int64)
     out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     return np.minimum(out, 2**31 - 1).astype(np.int32)
 
 
-def prefix_length(size: int, t: float) -> int:
-    return size - math.ceil(t * size - 1e-9) + 1
-
-
-def _set_batches(shared, t: float):
+def _line_table(data: bytes, n_lines: int, frequency: np.ndarray, t: float) -> dict[str, np.ndarray | pa.Array]:
+    """A row for each line: size, two digests, parity bits, the prefix and how many words of it are left out in front."""
+    hashes, line = _words(data)
+    often = frequency[(hashes & _U(BUCKETS - 1)).astype(np.int64)]
+    order = np.lexsort((hashes, often, line))
+    hashes, often, line = hashes[order], often[order], line[order]
+    new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])])[: len(hashes)]
+    hashes, often, line = hashes[new], often[new], line[new]
+    size = np.bincount(line, minlength=n_lines)
+    full = np.flatnonzero(size)
+    at = np.concatenate([[0], np.cumsum(size)])[:-1]
+    bit = _mix(hashes, 3) >> _U(57)
+    one = _U(1) << (bit & _U(63))
+
+    def by_line(ufunc: np.ufunc, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(n_lines, np.uint64)
+        if len(full):
+            out[full] = ufunc.reduceat(values, at[full])
+        return out.view(np.int64)
+
+    first = np.where(size > 3, size - np.ceil(t * size - 1e-9).astype(np.int64) + 1, 0)  # smaller sets match only equal ones
+    alone = np.zeros(n_lines, np.int64)
+    if len(full):
+        alone[full] = np.add.reduceat((often <= 1).astype(np.int64), at[full])
+    skip = np.minimum(alone, first)
+    held = first - skip
+    offsets = np.concatenate([[0], np.cumsum(held)])
+    places = np.repeat(at + skip - offsets[:-1], held) + np.arange(offsets[-1])
+    prefix = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes[places].view(np.int64)))
+    return {
+        "size": size.astype(np.int32), "d1": by_line(np.add, _mix(hashes, 1)), "d2": by_line(np.add, _mix(hashes, 2)),
+        "s1": by_line(np.bitwise_xor, np.where(bit < 64, one, _U(0))), "s2": by_line(np.bitwise_xor, np.where(bit < 64, _U(0), one)),
+        "skip": skip.astype(np.int32), "prefix": prefix,
+    }
+
+
+_LINES = "doc_id long, line int, size int, d1 long, d2 long, s1 long, s2 long, skip int, prefix array<long>"
+
+
+def _line_batches(shared, t: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequency, hashes = shared.value, _WordHashes()
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                for k, words in enumerate(_line_sets(text.as_py(), hashes)):
-                    if not len(words):
-                        rows.append((doc_id, k, 0, None, None, None))
-                        continue
-                    often = frequency[(words & np.uint64(BUCKETS - 1)).astype(np.int64)]
-                    order = np.lexsort((words, often))
-                    words, often = words[order], often[order]
-                    first = prefix_length(len(words), t) if len(words) > 3 else 0  # smaller sets match only equal ones
-                    places = [i for i in range(first) if often[i] > 1]
-                    rows.append((doc_id, k, len(words), xxhash.xxh3_128_digest(words.tobytes()), places, words.tobytes() if places else None))
-            columns = [*zip(*rows, strict=True)] or [()] * 6
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], ["doc_id", "line", "size", "digest", "places", "words"])
+            ids = batch.column("doc_id").to_numpy()
+            for first, held in _chunks(batch.column("text").to_pylist()):
+                lines = np.array([x.count(b"\n") + 1 for x in held])
+                n = int(lines.sum())
+                doc = np.repeat(ids[first : first + len(held)], lines)
+                line = np.arange(n) - np.repeat(np.cumsum(lines) - lines, lines)
+                rows = {"doc_id": doc, "line": line.astype(np.int32)} | _line_table(b"\n".join(held), n, shared.value, t)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows.values()], [*rows])
 
     return run
 
 
-def _match_batches(t: float):
-    """Rows (word, place, size, doc_id, line, digest, words) sorted by word, then by order of the lines."""
-
-    def matches(group: list[tuple]) -> Iterator[tuple]:
-        sets = [frozenset(np.frombuffer(r[6], np.uint64).tolist()) for r in group]
-        for i in range(1, len(group)):
-            place, size = group[i][1], group[i][2]
-            for j in range(i):
-                other_place, other = group[j][1], group[j][2]
-                if other < t * size - 1e-9 or size < t * other - 1e-9:
-                    continue
-                need = math.ceil(t / (1 + t) * (size + other) - 1e-9)
-                if min(place, other_place) + 1 + min(size - place, other - other_place) - 1 < need:
-                    continue
-                if len(sets[i] & sets[j]) >= need:
-                    yield group[i][5], group[j][3], group[j][4]
-                    break
-
+def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, lines): the words of those lines."""
+    for batch in batches:
+        ids, wanted = batch.column("doc_id").to_pylist(), batch.column("lines").to_pylist()
+        found = [(i, k, x[k]) for i, ks, text in zip(ids, wanted, batch.column("text").to_pylist(), strict=True) for x in [(text or "").split("\n")] for k in ks if k < len(x)]
+        for first, held in _chunks([x for _, _, x in found]):
+            hashes, line = _words(b"\n".join(held))
+            order = np.lexsort((hashes, line))
+            hashes, line = hashes[order], line[order]
+            new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])])[: len(hashes)]
+            hashes, line = hashes[new], line[new]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(held)))])
+            d1 = np.add.reduceat(np.append(_mix(hashes, 1), _U(0)), offsets[:-1])
+            of = found[first : first + len(held)]
+            words = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in of], pa.int64()), pa.array([x[1] for x in of], pa.int32()), pa.array(d1.view(np.int64)), words], ["doc_id", "line", "d1", "words"])
+
+
+_PAIRS = "doc long, line int, d1 long, with_doc long, with_line int, with_d1 long, score double, more boolean"
+
+
+def _pair_batch(a: dict[str, np.ndarray], later: np.ndarray, earlier: np.ndarray, score: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+    columns = [a[c][x] for x in (later, earlier) for c in ("doc_id", "line", "d1")]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in [*columns, score, more]], [c.split()[0] for c in _PAIRS.split(", ")])
+
+
+def _candidates(a: dict[str, np.ndarray], compared: int, t: float, every: bool) -> Iterator[pa.RecordBatch]:
+    """Postings sorted by word and size; the first `compared` of them have met each other. every: an earlier set that matches each open one by its words, else the nearest earlier set of each."""
+    n = len(a["word"])
+    size, place, word, s1, s2 = a["size"].astype(np.int64), a["place"].astype(np.int64), a["word"], a["s1"].view(np.uint64), a["s2"].view(np.uint64)
+    bounds = np.concatenate([np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])), [n]])
+    end = np.repeat(bounds[1:], np.diff(bounds))
+    rank = np.empty(n, np.int64)
+    rank[np.lexsort((a["d1"], a["line"], a["doc_id"]))] = np.arange(n)
+    best, nearest, more = np.full(n, np.inf), np.full(n, -1), np.zeros(n, bool)
+    sets: dict[int, frozenset] = {}
+
+    def words_of(x: int) -> frozenset:
+        if x not in sets:
+            if len(sets) >= _POSTINGS // 8:
+                sets.clear()
+            sets[x] = frozenset(a["words"][x].tolist())
+        return sets[x]
+
+    i, k = np.arange(n), 1
+    while len(i := i[i + k < end[i]]):
+        i = i[size[i] >= t * size[i + k] - 1e-9]  # sizes ascend: who fails here fails from here on
+        j = i + k
+        k += 1
+        both = size[i] + size[j]
+        need = np.ceil(t / (1 + t) * both - 1e-9).astype(np.int64)
+        apart = np.bitwise_count(s1[i] ^ s1[j]).astype(np.int64) + np.bitwise_count(s2[i] ^ s2[j])
+        ok = (apart <= both - 2 * need) & (j >= compared)
+        ok &= np.minimum(place[i], place[j]) + np.minimum(size[i] - place[i], size[j] - place[j]) >= need
+        p, q, score = i[ok], j[ok], apart[ok] / both[ok]
+        swap = rank[p] > rank[q]
+        for late, early, s in ((p[swap], q[swap], score[swap]), (q[~swap], p[~swap], score[~swap])):  # no index stands twice in `late`
+            if every:
+                for x, y in zip(late.tolist(), early.tolist(), strict=True):
+                    if a["open"][x] and nearest[x] < 0:
+                        common = len(words_of(x) & words_of(y))
+                        if common >= t * (size[x] + size[y] - common) - 1e-9:
+                            nearest[x], best[x] = y, 0
+                continue
+            more[late] |= nearest[late] >= 0
+            better = s < best[late]
+            best[late[better]], nearest[late[better]] = s[better], early[better]
+    hit = np.flatnonzero(nearest >= 0)
+    yield _pair_batch(a, hit, nearest[hit], best[hit], more[hit])
+
+
+def _candidate_batches(t: float, every: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
+        held, rows, compared = [], 0, 0
         for batch in batches:
-            found = []
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if group and group[0][0] != row[0]:
-                    if len(group) > 1:
-                        found += matches(group)
-                    group = []
-                group.append(row)
-            yield _match_table(found)
-        if len(group) > 1:
-            yield _match_table([*matches(group)])
+            held.append({c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names})
+            rows += batch.num_rows
+            if rows - compared >= _POSTINGS:
+                a = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+                yield from _candidates(a, compared, t, every)
+                keep = (a["word"] == a["word"][-1]) & (a["size"] >= t * a["size"][-1] - 1e-9)
+                held = [{c: x[keep] for c, x in a.items()}]
+                rows = compared = int(keep.sum())
+        if rows > compared:
+            yield from _candidates({c: np.concatenate([h[c] for h in held]) for c in held[0]}, compared, t, every)
 
     return run
 
 
-def _match_table(found: list[tuple]) -> pa.RecordBatch:
-    columns = [*zip(*found, strict=True)] or [()] * 3
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.binary(), pa.int64(), pa.int32()], strict=True)], ["digest", "with_doc", "with_line"])
+def _postings(sets: DataFrame) -> DataFrame:
+    exploded = sets.select("at.doc_id", "at.line", "d1", "size", "s1", "s2", "skip", *[c for c in ("open",) if c in sets.columns], F.posexplode("prefix").alias("pos", "word"))
+    return exploded.withColumn("place", F.col("pos") + F.col("skip")).drop("pos", "skip")
+
+
+def _pairs(postings: DataFrame, t: float, every: bool) -> DataFrame:
+    return postings.repartition("word").sortWithinPartitions("word", "size").mapInArrow(_candidate_batches(t, every), _PAIRS)
+
+
+def _set_words(lines: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, line) -> doc_id, line, d1, words."""
+    wanted = lines.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+    words = texts.join(wanted, "doc_id").select("doc_id", "lines", "text").mapInArrow(_word_batches, "doc_id long, line int, d1 long, words array<long>")
+    # Rows that repeat an id and a text give the same line more than once.
+    return words.groupBy("doc_id", "line", "d1").agg(F.first("words").alias("words"))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, t: float) -> DataFrame:
+    """pairs with the column near: whether they match by their words."""
+    words = _set_words(pairs.select(F.col("doc").alias("doc_id"), "line").union(pairs.select("with_doc", "with_line")), texts)
+    left = words.toDF("doc", "line", "d1", "a")
+    right = words.toDF("with_doc", "with_line", "with_d1", "b")
+    both = pairs.join(left, ["doc", "line", "d1"]).join(right, ["with_doc", "with_line", "with_d1"])
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.select(*pairs.columns, (shared >= F.lit(t) * (F.size("a") + F.size("b") - shared) - 1e-9).alias("near"))
+
+
+def _earliest(pairs: DataFrame) -> DataFrame:
+    return pairs.where("near").groupBy("doc", "line", "d1").agg(F.min(F.struct("with_doc", "with_line")).alias("near"))
+
+
+def _id(value: Column) -> Column:
+    return F.when(value != _NULL_ID, value)
 
 
 def line_matches(docs: DataFrame, t: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each line: doc_id, line, with_doc, with_line (an earlier line that matches it, or null)."""
+    """One row for each line: doc_id, line, matched, with_doc, with_line (an earlier line that matches it, or null)."""
     spark = docs.sparkSession
     folder = storage.new_folder(spark, "line-dedup")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     shared = spark.sparkContext.broadcast(word_frequencies(texts))  # BUCKETS numbers
-    lines = texts.mapInArrow(_set_batches(shared, t), "doc_id long, line int, size int, digest binary, places array<int>, words binary")
-    lines = storage.write_table(lines, f"{folder}/lines")
-    at = F.struct("doc_id", "line")
-    sets = lines.where("size > 0").groupBy("digest").agg(F.min(at).alias("at"), F.max("size").alias("size"), F.count(F.lit(1)).alias("lines"))
+    lines = storage.write_table(texts.mapInArrow(_line_batches(shared, t), _LINES), f"{folder}/lines")
+    same = [F.first(c).alias(c) for c in ("size", "s1", "s2", "skip", "prefix")]  # equal in all lines of a set
+    sets = lines.where("size > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count(F.lit(1)).alias("lines"), *same)
     sets = storage.write_table(sets, f"{folder}/sets")
-    # A set's own line carries its words: one row for each set.
-    own = lines.where("size(places) > 0").select("doc_id", "line", "size", "digest", "places", "words")
-    own = own.join(sets.select(F.col("digest").alias("d"), F.col("at.doc_id").alias("sd"), F.col("at.line").alias("sl")), (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("sd")) & (F.col("line") == F.col("sl"))).drop("d", "sd", "sl")
-    bytes_of = F.expr("substring(words, place * 8 + 1, 8)")
-    postings = own.select("doc_id", "line", "size", "digest", "words", F.explode("places").alias("place")).withColumn("word", bytes_of)
-    shared_words = postings.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("word")
-    live = postings.join(shared_words, "word", "left_semi").select("word", "place", "size", "doc_id", "line", "digest", "words")
-    dealt = live.repartition("word").sortWithinPartitions("word", "doc_id", "line")
-    near = dealt.mapInArrow(_match_batches(t), "digest binary, with_doc long, with_line int")
-    near = near.groupBy("digest").agg(F.min(F.struct("with_doc", "with_line")).alias("near"))
-    known = sets.join(near, "digest", "left").where("near IS NOT NULL OR lines > 1").select("digest", "at", "near")
-    known = storage.write_table(known, f"{folder}/known")
-    joined = lines.select("doc_id", "line", "digest").join(known, "digest", "left")
-    is_first = F.col("doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("line") == F.col("at.line"))
-    match = F.when(F.col("at").isNull(), None).when(is_first, F.col("near")).otherwise(F.struct(F.col("at.doc_id").alias("with_doc"), F.col("at.line").alias("with_line")))
-    return joined.withColumn("m", match).select("doc_id", "line", F.col("m.with_doc").alias("with_doc"), F.col("m.with_line").alias("with_line"))
+    storage.release(spark)
+
+    nearest = _pairs(_postings(sets), t, every=False).groupBy("doc", "line", "d1")
+    other = F.struct("score", "with_doc", "with_line", "with_d1")
+    nearest = nearest.agg(F.min(other).alias("m"), (F.max("more") | (F.min("with_d1") != F.max("with_d1"))).alias("more"))
+    nearest = storage.write_table(nearest.select("doc", "line", "d1", "m.with_doc", "m.with_line", "m.with_d1", "more"), f"{folder}/nearest")
+    storage.release(spark)
+    tried = storage.write_table(_verified(nearest, texts, t), f"{folder}/tried")
+    storage.release(spark)
+    near = _earliest(tried)
+    still = tried.where("NOT near AND more").select("doc", "line", "d1", F.lit(True).alias("open"))
+    if not still.isEmpty():
+        named = sets.select("*", F.col("at.doc_id").alias("doc"), F.col("at.line").alias("line"))
+        marked = _postings(named.join(still, ["doc", "line", "d1"], "left").drop("doc", "line").withColumn("open", F.coalesce("open", F.lit(False))))
+        words = storage.write_table(marked.where("open").select("word").distinct(), f"{folder}/open-words")
+        rest = storage.write_table(marked.join(words, "word", "left_semi"), f"{folder}/open-postings")
+        rest = rest.join(_set_words(rest.select("doc_id", "line"), texts), ["doc_id", "line", "d1"])
+        rest = storage.write_table(_pairs(rest, t, every=True).withColumn("near", F.lit(True)), f"{folder}/open-matches")
+        near = near.unionByName(_earliest(rest))
+    storage.release(spark)
+
+    at = sets.select("d1", "d2", "lines", F.col("at.doc_id").alias("doc"), F.col("at.line").alias("line")).join(near, ["doc", "line", "d1"], "left")
+    known = storage.write_table(at.where("near IS NOT NULL OR lines > 1").select("d1", "d2", F.struct("doc", "line").alias("at"), "near"), f"{folder}/known")
+    joined = lines.where("size > 0").select("doc_id", "line", "d1", "d2").join(known, ["d1", "d2"], "left")
+    is_first = (F.col("doc_id") == F.col("at.doc")) & (F.col("line") == F.col("at.line"))
+    match = F.when(is_first, F.col("near")).otherwise(F.struct(F.col("at.doc").alias("with_doc"), F.col("at.line").alias("with_line")))
+    m = F.when(F.col("at").isNotNull(), match)
+    out = joined.select("doc_id", "line", m.alias("m")).unionByName(lines.where("size = 0").select("doc_id", "line", F.lit(None).cast("struct<with_doc:long,with_line:int>").alias("m")))
+    return out.select(_id(F.col("doc_id")).alias("doc_id"), "line", F.col("m").isNotNull().alias("matched"), _id(F.col("m.with_doc")).alias("with_doc"), F.col("m.with_line").alias("with_line"))
 
 
 def line_duplicates(docs: DataFrame, t: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_lines, n_removed, removed_lines (places from 0, joined by commas)."""
-    gone = F.col("with_line").isNotNull()
-    places = F.array_sort(F.collect_list(F.when(gone, F.col("line"))))
+    places = F.array_sort(F.collect_list(F.when(F.col("matched"), F.col("line"))))
     g = line_matches(docs, t, id_col, text_col).groupBy("doc_id")
-    return g.agg(F.count(F.lit(1)).alias("n_lines"), F.sum(gone.cast("long")).alias("n_removed"), F.array_join(F.transform(places, lambda p: p.cast("string")), ",").alias("removed_lines"))
+    return g.agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("matched").cast("long")).alias("n_removed"), F.array_join(F.transform(places, lambda p: p.cast("string")), ",").alias("removed_lines"))
 
 
 def without_duplicates(docs: DataFrame, t: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the removed lines taken out of the text; all columns."""
-    gone = line_matches(docs, t, id_col, text_col).where("with_line IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__gone"))
+    """docs with the removed lines taken out of the text; all columns. Ids are taken to be unique."""
+    gone = line_matches(docs, t, id_col, text_col).where("matched").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line").alias("__gone"))
     joined = docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left")
     kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
     return joined.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
