@@ -1,7 +1,9 @@
 """Operators against brute force on small fixtures with nulls, ties, repeats, long texts and empty tables."""
 
 import hashlib
+import math
 import random
+from collections import Counter
 import re
 
 import numpy as np
@@ -10,7 +12,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from textloom.llm import best_fit_packing, bpe, exact_dedup, line_dedup, secret_scan, simhash, substring_dedup, tokens, vector_search
+from textloom.llm import best_fit_packing, bpe, exact_dedup, license_scan, line_dedup, secret_scan, simhash, substring_dedup, tokens, vector_search
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -155,3 +157,48 @@ def test_vectors(spark):
         own = [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)]
         hits += len(set(own) & set(np.argsort(d)[:10].tolist()))
     assert {r.query_id for r in got} == {0, 100, 200} and hits >= 27
+
+
+def test_licences(spark, empty):
+    notices = [*license_scan.TEMPLATES.items()]
+    text_of = {name: notice for name, notice in notices}
+    rows = [
+        (1, "a/LICENSE", text_of["MIT"]), (2, "a/b/x.txt", "no notice here"), (3, "a/b/y.txt", f"x\n# {text_of['Apache-2.0']}"), (4, "c/z.txt", None),
+        (5, "LICENSE", text_of["GPL-3.0"]), (6, None, text_of["MIT"]), (7, None, ""), (8, "a/w.txt", "Licensed to warranty nobody, copyright 2020 all"),
+        (4, "c/z.txt", None), (None, "c/q.txt", text_of["MPL-2.0"]), (9, "a/b/NOTICE.md", f"{text_of['BSD-3-Clause']}\n{text_of['BSD-3-Clause']}"), (10, "a/b/c/d.txt", "plain " * 5000),
+    ]
+    terms = lambda x: Counter(re.findall(license_scan.TERM, x.lower()))
+    lines = {x for _, _, t in rows for x in (t or "").split("\n") if re.search(license_scan.CUE, x)}
+    df = Counter(w for x in [*lines, *text_of.values()] for w in terms(x))
+    total = len(lines) + len(notices)
+    vector = lambda x: {w: c * (math.log((1 + total) / (1 + df[w])) + 1) for w, c in terms(x).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+
+    def own(text):
+        best = []
+        for x in (text or "").split("\n"):
+            if x in lines:
+                for name, notice in notices:
+                    a, b = vector(x), vector(notice)
+                    score = round(sum(a[w] * b.get(w, 0) for w in a) / (norm(a) * norm(b)), 6)
+                    best += [(-score, name)] * (score >= license_scan.THRESHOLD)
+        return min(best, default=None)
+
+    roots: dict = {}
+    for _, path, text in rows:
+        if path and re.search(license_scan.LICENCE_FILE, path.rpartition("/")[2]) and own(text):
+            roots[path.rpartition("/")[0]] = min(own(text), roots.get(path.rpartition("/")[0], (1, "")))
+
+    def want(path, text):
+        if own(text):
+            return own(text)[1], "own"
+        while path:
+            path = path.rpartition("/")[0]
+            if path in roots:
+                return roots[path][1], "inherited"
+        return "", "none"
+
+    got = license_scan.licences(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()
+    assert sorted((str(r.doc_id), r.licence, r.origin) for r in got) == sorted((str(i), *want(p, t)) for i, p, t in rows)
+    assert {r.origin for r in got} == {"own", "inherited", "none"}
+    assert license_scan.licences(empty.withColumnRenamed("digest", "path")).count() == 0
