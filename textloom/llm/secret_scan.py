@@ -171,12 +171,10 @@ def secrets_found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """docs with each stretch of text under one or more spans replaced by the mask; a null text stays null."""
-    own = ["__text", *KINDS]
-    clash = [c for c in docs.columns if c in own]
-    if clash:
-        raise ValueError(f"columns named {clash} must be renamed first")
-    found = with_spans(docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))), "__text")
+    """docs with each stretch of text under one or more spans replaced by the mask; a null text stays null. Other columns may have any names."""
+    # The row is held as one column, so that no column of docs can clash with those of the scan.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    found = with_spans(docs.select(row.alias("row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text")), "__text")
     spans = F.array_sort(F.concat(*[F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS]))
     text = F.col("__text")
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
@@ -188,5 +186,6 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> D
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
 
     clean = F.aggregate(spans, zero, step, lambda s: F.concat(s["out"], F.substr(text, (s["at"] + 1).cast("int"), F.char_length(text))))
-    redacted = F.when(F.size(spans) > 0, clean).otherwise(F.col(text_col))
-    return found.withColumn(text_col, redacted).select(*docs.columns)
+    held = lambda c: F.col("row").getField(c)
+    redacted = F.when(F.size(spans) > 0, clean).otherwise(held(text_col).cast("string"))
+    return found.select(*[(redacted if c == text_col else held(c)).alias(c) for c in docs.columns])
