@@ -84,7 +84,7 @@ def telling(positives: list[np.ndarray], unlabelled: list[np.ndarray], least: in
     return (kp >= least) & ((kp / n - ku / m) / error >= least_z)
 
 
-def train(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 0, epochs: int = 60, batch: int = 1024, rate: float = 0.05, penalty: float = 2e-5, least: int = 5, least_z: float = 6.0) -> Classifier:
+def train(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 0, epochs: int = 60, batch: int = 1024, rate: float = 0.05, penalty: float = 2e-5, least: int = 5, least_z: float = 4.0) -> Classifier:
     """One classifier by Adam over mini-batches; sigmoid loss, which is bounded, so that no text outweighs the others."""
     seen = telling(positives, unlabelled, least, least_z)
     rng, p, u = np.random.default_rng(seed), *(_Sparse([r[seen[r]] for r in rows]) for rows in (positives, unlabelled))
