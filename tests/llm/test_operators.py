@@ -202,3 +202,19 @@ def test_licences(spark, empty):
     assert sorted((str(r.doc_id), r.licence, r.origin) for r in got) == sorted((str(i), *want(p, t)) for i, p, t in rows)
     assert {r.origin for r in got} == {"own", "inherited", "none"}
     assert license_scan.licences(empty.withColumnRenamed("digest", "path")).count() == 0
+
+
+def test_licences_in_headers_files_and_identifiers(spark):
+    full = license_scan.licence_forms.full_text
+    header = "\n".join(f"# {x}" for x in full("MIT").split("\n"))
+    made = {
+        "All rights reserved.": "All-Rights-Reserved", "(c) 2020 Foo. All rights reserved.": "All-Rights-Reserved", "MIT License": "MIT", "Licensed under the MIT license.": "MIT",
+        "This document is released under the MIT License.": "MIT", "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "/* SPDX-License-Identifier: GPL-2.0-or-later */": "GPL-2.0",
+        "SPDX-License-Identifier: Foo-1.0": "", "Licensed under the Foo License.": "", "Wir reisen mit dem Zug.": "", f"{header}\n\nimport os": "MIT", f"All rights reserved.\n\n{full('BSD-3-Clause')}": "BSD-3-Clause",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0", **{full(x): x for x in license_scan.licence_forms.FULL_TEXTS},
+    }
+    rows = [(i, None, text) for i, text in enumerate(made)]
+    got = {r.doc_id: r.licence for r in license_scan.licences(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert {text[:60]: got[i] for i, _, text in rows} == {text[:60]: licence for text, licence in made.items()}
+    terms = lambda x: set(re.findall(license_scan.TERM, x.lower().replace("licence", "license")))
+    assert all(keys and set(keys) <= terms(text) and re.search(license_scan.CUE, text) for _, text, keys in license_scan.licence_forms.forms())
