@@ -107,3 +107,13 @@ def test_toxicity_learns_words_of_the_positives(spark):
     assert all(r.predicted == (1000 <= r.doc_id < 2000) for r in rows)
     nobody = toxicity.toxic_scores(made.select("doc_id", "text"), made.select("doc_id", F.lit(0).alias("toxic")))
     assert {r.score for r in nobody.collect()} == {0.0} and toxicity.toxic_scores(made.where("false"), made.where("false")).count() == 0
+
+
+def test_toxicity_learns_a_late_bucket_of_long_texts(spark):
+    letters = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    late = next(w for w in (f"vile{letters(i)}" for i in range(10_000)) if toxicity.buckets(w)[0] > toxicity.BUCKETS * 0.99)
+    filler = lambda i: " ".join(f"w{letters(i % 40 * 37 + k)}" for k in range(3000))
+    rows = [(i, filler(i) + (f" {late}" if i >= 200 else ""), int(i >= 200)) for i in range(280)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    scored = toxicity.toxic_scores(made.select("doc_id", "text"), made.select("doc_id", "toxic")).collect()
+    assert {r.doc_id for r in scored if r.predicted} == set(range(200, 280))

@@ -11,6 +11,9 @@ texts as negatives (Kiryo et al., 2017). Classifiers are trained by numpy on the
 whose bounds are parameters; their average is one table of weights of a fixed size, which scores
 every whole text on the executors. The prior is counted over all labelled rows.
 
+Training reads whole texts too: executors count how many texts hold each bucket, one sum for each, and
+of a sampled text the driver gets only the buckets that these counts select.
+
 A text's features are its distinct words, lower-cased and cut at everything but letters, hashed into
 BUCKETS; so a score depends on the whole text, wherever in it a word stands. Words that positives
 don't hold significantly more often than unlabelled texts get no weight.
@@ -36,8 +39,6 @@ BUCKETS = 1 << 18
 #: Bounds of the two training samples, in documents.
 MAX_POSITIVES = 6_000
 MAX_UNLABELLED = 18_000
-#: Distinct words of one training text that are kept, the words with the smallest hashes first. Scoring reads all.
-MAX_WORDS = 2_000
 FOLDS = 5
 _letters = bytes(b if chr(b).isalpha() or b >= 0x80 else 0x20 for b in range(256))
 
@@ -75,19 +76,16 @@ class _Sparse:
         return np.concatenate(rows) if rows else np.empty(0, np.int32), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
 
 
-def telling(positives: list[np.ndarray], unlabelled: list[np.ndarray], least: int, least_z: float) -> np.ndarray:
-    """Which buckets at least `least` positives hold, and positives more often than unlabelled texts by `least_z` standard errors. Any other would add noise to long texts."""
-    kp, ku = (np.bincount(np.concatenate(rows), minlength=BUCKETS) for rows in (positives, unlabelled))
-    n, m = len(positives), len(unlabelled)
+def telling(kp: np.ndarray, n: int, ku: np.ndarray, m: int, least: int = 5, least_z: float = 4.0) -> np.ndarray:
+    """Which buckets at least `least` of n positives hold, and positives more often than m unlabelled texts by `least_z` standard errors. Any other would add noise to long texts."""
     pooled = (kp + ku) / (n + m)
     error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n + 1 / m))
     return (kp >= least) & ((kp / n - ku / m) / error >= least_z)
 
 
-def train(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 0, epochs: int = 60, batch: int = 1024, rate: float = 0.05, penalty: float = 2e-5, least: int = 5, least_z: float = 4.0) -> Classifier:
-    """One classifier by Adam over mini-batches; sigmoid loss, which is bounded, so that no text outweighs the others."""
-    seen = telling(positives, unlabelled, least, least_z)
-    rng, p, u = np.random.default_rng(seed), *(_Sparse([r[seen[r]] for r in rows]) for rows in (positives, unlabelled))
+def train(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 0, epochs: int = 60, batch: int = 1024, rate: float = 0.05, penalty: float = 2e-5) -> Classifier:
+    """One classifier by Adam over mini-batches, from the telling buckets of each text; sigmoid loss, which is bounded, so that no text outweighs the others."""
+    rng, p, u = np.random.default_rng(seed), _Sparse(positives), _Sparse(unlabelled)
     w, m, v = (np.zeros(BUCKETS + 1) for _ in range(3))
     w[-1] = -1.0
     step = 0
@@ -117,18 +115,44 @@ def train(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: floa
     return Classifier(w[:-1].astype(np.float32), float(w[-1]))
 
 
-def _bucket_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, n): how many texts hold the bucket; -1 is for the texts with words."""
+    held, texts = np.zeros(BUCKETS, np.int64), 0
     for batch in batches:
-        found = [buckets(t.as_py())[:MAX_WORDS] for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], ["buckets"])
+        for text in batch.column("text"):
+            found = buckets(text.as_py())
+            held[found] += 1
+            texts += len(found) > 0
+    at = np.flatnonzero(held)
+    if texts:
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(held[at], texts), pa.int64())], ["bucket", "n"])
+
+
+def _counts(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """How many texts hold each bucket, over whole texts, and how many have words."""
+    sums = texts.select("text").mapInArrow(_count_batches, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS + 1 rows at most
+    held = np.zeros(BUCKETS + 1, np.int64)
+    held[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
+    return held[:-1], int(held[-1])
 
 
-def _sample(texts: DataFrame, most: int) -> list[np.ndarray]:
-    """The buckets of at most `most` texts, those whose ids hash lowest: the same whatever the partitions."""
+def _sample(texts: DataFrame, most: int) -> DataFrame:
+    """At most `most` texts, those whose ids hash lowest: the same whatever the partitions."""
     ids = texts.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # ids alone are sorted; at most `most` rows
-    chosen = texts.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("text")
-    rows = chosen.mapInArrow(_bucket_batches, "buckets array<int>").toArrow().column("buckets")
-    return [np.asarray(r.as_py(), np.int32) for r in rows if len(r.as_py())]
+    return texts.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("text")
+
+
+def _selected(texts: DataFrame, seen: np.ndarray) -> list[np.ndarray]:
+    """Of each text with words, its buckets that are seen."""
+    shared = texts.sparkSession.sparkContext.broadcast(np.packbits(seen))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            found = [x[own[x]] for t in batch.column("text") if len(x := buckets(t.as_py()))]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], ["buckets"])
+
+    return [np.asarray(r.as_py(), np.int32) for r in texts.mapInArrow(run, "buckets array<int>").toArrow().column("buckets")]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED, members: int = 3) -> Classifier | None:
@@ -142,9 +166,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     confirmed = marks.where("mark = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_positives)
     positives = _sample(texts.join(F.broadcast(confirmed), "doc_id", "left_semi"), max_positives)
     unlabelled = _sample(texts, max_unlabelled)
-    if not positives or not unlabelled:
+    (kp, n), (ku, m) = _counts(positives), _counts(unlabelled)
+    if not n or not m:
         return None
-    fitted = [train(positives, unlabelled, prior, seed) for seed in range(members)]
+    seen = telling(kp, n, ku, m)
+    rows = _selected(positives, seen), _selected(unlabelled, seen)
+    fitted = [train(*rows, prior, seed) for seed in range(members)]
     return Classifier(np.mean([c.weights for c in fitted], axis=0), float(np.mean([c.intercept for c in fitted])))
 
 
