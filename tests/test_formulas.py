@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import scalars as S
-from textloom.operators import evaluate, robustness, sampling
+from textloom.operators import evaluate, robustness, sampling, text
+from textloom.plans import catalogue
 
 
 def test_wilson_and_g2(spark):
@@ -47,3 +48,23 @@ def test_ngrams_of_short_lists(spark):
 def test_bootstrap_is_centred():
     mean, low, high = evaluate.bootstrap_gate([(62, 88, 18, 32)], draws=2000)["accuracy"]
     assert math.isclose(mean, 0.75, abs_tol=0.01) and low < mean < high
+
+
+def test_full_stop_list_keeps_negations(spark):
+    words = S.content_tokens(F.lit("But you have not liked people like them, never without things"), S.SF5_STOP_WORDS)
+    assert spark.range(1).select(words.alias("w")).first().w == ["not", "liked", "never", "without"]
+
+
+def test_keyword_candidates_add_frequent_terms_of_the_gate(spark):
+    rows = [(i, ["common", f"only{i % 25:02d}"], "yes") for i in range(300)] + [(1000 + i, ["common", "other"], "no") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, words array<string>, gate string")
+    got = [r.term for r in text.keyword_candidates(docs, "words", "gate").orderBy("pos").collect()]
+    assert got == [f"only{i:02d}" for i in range(20)] + ["common"]
+
+
+def test_collocations_query_reads_the_positive_gate(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {(r.keyword, r.collocate) for r in catalogue.QUERIES["q05_collocations"](spark, sf).collect()}
+    w = catalogue.worded(catalogue.gated(spark, sf), S.SF5_STOP_WORDS)
+    want = text.collocations(w.where("gate = 'yes'"), "words", text.keyword_candidates(w, "words", "gate")).collect()
+    assert got == {(r.keyword, r.collocate) for r in want} and not {x for pair in got for x in pair} & set(S.SF5_STOP_WORDS)

@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 # Named character entities that texts hold, and function words that carry no topic.
 ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " "}
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with")
+#: The survey's SF-5: the reference's fallback list, which holds none of its negations, and its forum terms.
+SF5_STOP_WORDS = tuple(
+    """
+    a about above after again against all am an and any are as at be because been before being below between both but by can did do does doing down
+    during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more
+    most my myself of off on once only or other our ours ourselves out over own same she should so some such than that the their theirs them
+    themselves then there these they this those through to too under until up very was we were what when where which while who whom why with you
+    your yours yourself yourselves
+    im ive id youre theyre thats theres reddit comment post people thing things way lot really like
+    """.split()
+)
 TOKEN = "[a-z0-9]+(?:'[a-z]+)?"
 Z95 = 1.96
 

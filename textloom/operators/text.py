@@ -68,6 +68,16 @@ def top_terms(keyed: DataFrame, k: int, descending: bool = True) -> DataFrame:
     return keyed.orderBy(F.desc("z") if descending else F.asc("z"), "term").limit(k)
 
 
+def keyword_candidates(docs: DataFrame, words: str, gate: str, each: int = 20, most: int = 30, min_df: int = 10) -> DataFrame:
+    """(term, pos): the `each` terms of highest keyness, then the `each` most frequent in documents with gate 'yes', without repeats, at most `most`."""
+    numbered = lambda df, after, *order: df.select("term", (F.row_number().over(Window.orderBy(*order)) + after).alias("pos"))  # noqa: E731  of `each` rows
+    keyed = numbered(top_terms(keyness(docs, words, gate), each), 0, F.desc("z"), "term")
+    order = F.desc("df"), F.desc("f"), F.col("term")
+    common = frequency_table(docs.where(F.col(gate) == "yes"), words, 1, min_df).orderBy(*order).limit(each)
+    both = keyed.unionByName(numbered(common, each, *order)).groupBy("term").agg(F.min("pos").alias("pos"))
+    return both.orderBy("pos").limit(most)
+
+
 def keyness_diagnostic(docs: DataFrame, words: str, gate: str, by: str, terms: DataFrame) -> DataFrame:
     """For each term: in how many groups it leans to 'yes', the largest group's share of its positive documents, and a verdict."""
     s = term_stats(docs, words, [by, gate]).join(F.broadcast(terms.select("term")), "term")

@@ -45,8 +45,9 @@ def gated(spark: SparkSession, sf: str) -> DataFrame:
     return comments(spark, sf).where("quality IS NOT NULL").withColumns({"gate": gate("quality", 1), "pred": gate("toxic", 0)})
 
 
-def worded(df: DataFrame) -> DataFrame:
-    return df.withColumn("words", S.content_tokens(F.col("body"))).drop("body")
+def worded(df: DataFrame, stop_words: tuple[str, ...] = S.STOP_WORDS) -> DataFrame:
+    """Queries with SQL have its short list; the others have SF-5's."""
+    return df.withColumn("words", S.content_tokens(F.col("body"), stop_words)).drop("body")
 
 
 def assignments(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,13 +148,13 @@ def _one_vs_rest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("q05_collocations")
 def _collocations(spark: SparkSession, sf: str) -> DataFrame:
-    w = worded(gated(spark, sf))
-    return text.collocations(w, "words", text.top_terms(text.keyness(w, "words", "gate"), 20))
+    w = worded(gated(spark, sf), S.SF5_STOP_WORDS)
+    return text.collocations(w.where("gate = 'yes'"), "words", text.keyword_candidates(w, "words", "gate"))
 
 
 @query("q06_threshold_jaccard")
 def _jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    return text.threshold_jaccard(worded(gated(spark, sf)), "words", "gate", [5, 10, 20], 50)
+    return text.threshold_jaccard(worded(gated(spark, sf), S.SF5_STOP_WORDS), "words", "gate", [5, 10, 20], 50)
 
 
 @query("q07_kwic")
@@ -250,7 +251,7 @@ def _crosswalk(spark: SparkSession, sf: str) -> DataFrame:
     return topics.crosswalk(assignments(spark, sf))
 
 
-for _name, _f in {"q25_topic_domination": lambda s, d: topics.domination(assignments(s, d), "post", "subreddit"), "q27_spread_entropy": lambda s, d: topics.spread_entropy(assignments(s, d), 4), "q34_ctfidf": lambda s, d: topics.class_tfidf(worded(comments(s, d)), "words", "industry", 12), "q36_representatives": lambda s, d: topics.representatives(assignments(s, d)).select("topic", "doc_id", "cosine", "rank")}.items():
+for _name, _f in {"q25_topic_domination": lambda s, d: topics.domination(assignments(s, d), "post", "subreddit"), "q27_spread_entropy": lambda s, d: topics.spread_entropy(assignments(s, d), 4), "q34_ctfidf": lambda s, d: topics.class_tfidf(worded(comments(s, d), S.SF5_STOP_WORDS), "words", "industry", 12), "q36_representatives": lambda s, d: topics.representatives(assignments(s, d)).select("topic", "doc_id", "cosine", "rank")}.items():
     query(_name)(_f)
 
 
