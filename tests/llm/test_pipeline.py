@@ -117,3 +117,12 @@ def test_toxicity_learns_a_late_bucket_of_long_texts(spark):
     made = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     scored = toxicity.toxic_scores(made.select("doc_id", "text"), made.select("doc_id", "toxic")).collect()
     assert {r.doc_id for r in scored if r.predicted} == set(range(200, 280))
+
+
+def test_toxicity_counts_words_in_all_unlabelled_texts(spark):
+    made = spark.createDataFrame([(i, int(i >= 400)) for i in range(480)], "doc_id long, toxic int")
+    sampled = [r.doc_id for r in made.where(toxicity.fold_of(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(20).collect()]
+    text = F.when(F.col("doc_id").isin([i for i in sampled if i < 400]), "river field").when(F.col("toxic") == 1, "river common vileword").otherwise("river common")
+    model = toxicity.fit(made.withColumn("text", text), made, max_unlabelled=20)
+    weight = lambda w: model.weights[toxicity.buckets(w)[0]]
+    assert weight("common") == 0 and weight("vileword") != 0

@@ -166,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     confirmed = marks.where("mark = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_positives)
     positives = _sample(texts.join(F.broadcast(confirmed), "doc_id", "left_semi"), max_positives)
     unlabelled = _sample(texts, max_unlabelled)
-    (kp, n), (ku, m) = _counts(positives), _counts(unlabelled)
+    (kp, n), (ku, m) = _counts(positives), _counts(texts)  # of all texts, not of the sample alone
     if not n or not m:
         return None
     seen = telling(kp, n, ku, m)
