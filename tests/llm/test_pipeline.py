@@ -1,8 +1,10 @@
 """Each stage of the pipeline against brute force, on rows with nulls, empty texts, copies and columns of clashing names."""
 
 import re
+import zlib
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -111,7 +113,7 @@ def test_toxicity_learns_words_of_the_positives(spark):
 
 def test_toxicity_learns_a_late_bucket_of_long_texts(spark):
     letters = lambda i: "".join(chr(97 + int(d)) for d in str(i))
-    late = next(w for w in (f"vile{letters(i)}" for i in range(10_000)) if toxicity.buckets(w)[0] > toxicity.BUCKETS * 0.99)
+    late = next(w for w in (f"vile{letters(i)}" for i in range(10_000)) if toxicity.word_buckets(w.encode())[0] > toxicity.BUCKETS * 0.99)
     filler = lambda i: " ".join(f"w{letters(i % 40 * 37 + k)}" for k in range(3000))
     rows = [(i, filler(i) + (f" {late}" if i >= 200 else ""), int(i >= 200)) for i in range(280)]
     made = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
@@ -124,5 +126,61 @@ def test_toxicity_counts_words_in_all_unlabelled_texts(spark):
     sampled = [r.doc_id for r in made.where(toxicity.fold_of(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(20).collect()]
     text = F.when(F.col("doc_id").isin([i for i in sampled if i < 400]), "river field").when(F.col("toxic") == 1, "river common vileword").otherwise("river common")
     model = toxicity.fit(made.withColumn("text", text), made, max_unlabelled=20)
-    weight = lambda w: model.weights[toxicity.buckets(w)[0]]
-    assert weight("common") == 0 and weight("vileword") != 0
+    weight = lambda w: model.weights[toxicity.word_buckets(w)[0]]
+    assert weight(b"common") == 0 and weight(b"vileword") != 0
+
+
+def test_toxicity_features_equal_a_count_by_hand():
+    text = "Vile vile; viler été 42 vi"
+    shares = {"vile ": 2, "viler ": 1, "été ": 1, "vi ": 1, "vil": 3, "vile": 3, "viler": 1, "été": 1}  # a word ends in a space, a beginning doesn't
+    distinct = {"vile": 2, "viler": 1, "été": 1, "vi": 1}
+    value = {w: min(1, toxicity.SHARE * n / (5 + toxicity.FEW)) for w, n in distinct.items()}
+    want = {}
+    for feature in shares:
+        holders = [w for w in distinct if (feature == w + " " if feature.endswith(" ") else w.startswith(feature))]
+        bucket = zlib.crc32(feature.encode()) & (toxicity.BUCKETS - 1)
+        want[bucket] = want.get(bucket, 0) + sum(value[w] for w in holders)
+    at, x = toxicity.features(text)
+    assert dict(zip(at.tolist(), x.tolist())) == pytest.approx(want)
+    assert len(toxicity.features(None)[0]) == len(toxicity.features("42 ...")[0]) == 0
+    weights = np.random.default_rng(1).normal(size=toxicity.BUCKETS).astype(np.float32)
+    assert toxicity.Classifier(weights, 0.5).margin(text) == pytest.approx(0.5 + float((weights[at] * x).sum()), abs=1e-5)
+
+
+@pytest.mark.parametrize("shift", [-3.0, 0.0, 2.0])
+def test_the_risk_step_follows_the_corrected_risk(shift):
+    """Its gradient by the margins equals that of the risk by finite differences, or its negative part where that goes below zero."""
+    rng, prior = np.random.default_rng(5), 0.3
+    fp, fu = rng.normal(1, 1, 7), rng.normal(shift, 1, 11)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    negative = lambda p, u: sigmoid(u).mean() - prior * sigmoid(p).mean()
+    risk = (lambda p, u: prior * (1 - sigmoid(p)).mean() + negative(p, u)) if negative(fp, fu) >= 0 else (lambda p, u: -negative(p, u))
+    gp, gu = toxicity.risk_gradient(sigmoid(fp), sigmoid(fu), prior)
+    for i, e in enumerate(np.eye(7) * 1e-6):
+        assert gp[i] == pytest.approx((risk(fp + e, fu) - risk(fp - e, fu)) / 2e-6, abs=1e-6)
+    for i, e in enumerate(np.eye(11) * 1e-6):
+        assert gu[i] == pytest.approx((risk(fp, fu + e) - risk(fp, fu - e)) / 2e-6, abs=1e-6)
+
+
+def test_sums_of_texts_equal_sums_by_hand(spark):
+    texts = [r.text for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("text").limit(40).collect()] + [None, "", "7"]
+    held, total = np.zeros(toxicity.BUCKETS), np.zeros(toxicity.BUCKETS)
+    for t in texts:
+        at, x = toxicity.features(t)
+        held[at] += 1
+        total[at] += x
+    sums = toxicity._sums(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5))
+    assert sums.texts == sum(len(toxicity.features(t)[0]) > 0 for t in texts)
+    assert (sums.held == held).all() and np.allclose(sums.total, total, atol=1e-4)
+
+
+def test_toxic_stems_are_caught_in_words_never_seen(spark):
+    """Held-out toxic texts hold other words of the same stem."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("aeiourstnl"), 7))
+    rows = [(i, " ".join([word() for _ in range(60)] + (["vile" + word() for _ in range(3)] if i % 8 == 0 else [])), int(i % 8 == 0)) for i in range(1200)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    scored = [r for r in toxicity.toxic_scores(made.select("doc_id", "text"), made.select("doc_id", "toxic")).collect() if r.held_out]
+    caught = np.mean([r.predicted for r in scored if r.doc_id % 8 == 0])
+    false = np.mean([r.predicted for r in scored if r.doc_id % 8])
+    assert caught >= 0.9 and false <= 0.02

@@ -11,12 +11,14 @@ texts as negatives (Kiryo et al., 2017). Classifiers are trained by numpy on the
 whose bounds are parameters; their average is one table of weights of a fixed size, which scores
 every whole text on the executors. The prior is counted over all labelled rows.
 
-Training reads whole texts too: executors count how many texts hold each bucket, one sum for each, and
-of a sampled text the driver gets only the buckets that these counts select.
+A text's features are its words, lower-cased and cut at everything but letters, and the beginnings of
+its words, hashed into BUCKETS. A feature's value is the share of the text's words that have it, each
+distinct word counting up to a bound. So a score depends on the whole text and not on its length, and
+a language that forms many words from one stem needs no example of each.
 
-A text's features are its distinct words, lower-cased and cut at everything but letters, hashed into
-BUCKETS; so a score depends on the whole text, wherever in it a word stands. Words that positives
-don't hold significantly more often than unlabelled texts get no weight.
+Training reads whole texts: executors add up each bucket's values, one row for each bucket, and of a
+sampled text the driver gets only the buckets that these sums select. Features that positives don't
+hold significantly more of than unlabelled texts get no weight.
 
 Defined results: a null or empty text, or one without letters, has no word and gets the score of the
 intercept. Labels that are null are no labels. An id that is null counts as the text '' for the fold.
@@ -27,6 +29,7 @@ Columns that aren't named in the parameters are ignored.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,15 +43,49 @@ BUCKETS = 1 << 18
 MAX_POSITIVES = 6_000
 MAX_UNLABELLED = 18_000
 FOLDS = 5
+#: Lengths of the beginnings of words, in characters.
+STEMS = range(3, 8)
+#: A word that n of a text's N words are counts min(1, SHARE * n / (N + FEW)).
+SHARE, FEW = 50.0, 20
+_WORDS_HELD = 1 << 17
 _letters = bytes(b if chr(b).isalpha() or b >= 0x80 else 0x20 for b in range(256))
 
 
-def words(text: str | None) -> set[bytes]:
-    return set((text or "").lower().encode().translate(_letters).split())
+def words(text: str | None) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words of a text, and what each counts."""
+    found = Counter((text or "").lower().encode().translate(_letters).split())
+    n = np.fromiter(found.values(), np.float64, len(found))
+    return [*found], np.minimum(1, SHARE * n / (n.sum() + FEW))
 
 
-def buckets(text: str | None) -> np.ndarray:
-    return np.unique(np.fromiter((zlib.crc32(w) & (BUCKETS - 1) for w in words(text)), np.int32))
+def word_buckets(word: bytes) -> np.ndarray:
+    """The buckets of a word and of its beginnings."""
+    letters = word.decode()
+    stems = [letters[:k].encode() for k in STEMS if k <= len(letters)]
+    return np.fromiter((zlib.crc32(x) & (BUCKETS - 1) for x in (word + b" ", *stems)), np.int32)
+
+
+class _Held(dict):
+    """What a word gives, kept for a bounded number of words."""
+
+    def __init__(self, of):
+        self.of = of
+
+    def __missing__(self, word: bytes):
+        if len(self) >= _WORDS_HELD:
+            self.clear()
+        out = self[word] = self.of(word)
+        return out
+
+
+def features(text: str | None, held: _Held | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of a text, ascending, and their values."""
+    found, counts = words(text)
+    if not found:
+        return np.empty(0, np.int32), np.empty(0, np.float32)
+    parts = [*map((held or _Held(word_buckets)).__getitem__, found)]
+    at, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+    return at, np.bincount(inverse, np.repeat(counts, [*map(len, parts)])).astype(np.float32)
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -61,79 +98,114 @@ class Classifier:
     weights: np.ndarray
     intercept: float
 
-    def margin(self, text: str | None) -> float:
-        return self.intercept + float(self.weights[buckets(text)].sum())
+    def word_weights(self) -> _Held:
+        """A score is linear, so that each word has one weight."""
+        return _Held(lambda word: float(self.weights[word_buckets(word)].sum(dtype=np.float64)))
+
+    def margin(self, text: str | None, held: _Held | None = None) -> float:
+        found, counts = words(text)
+        weight = self.word_weights() if held is None else held
+        return self.intercept + float(np.dot(counts, np.fromiter(map(weight.__getitem__, found), np.float64, len(found))))
 
 
 class _Sparse:
-    """Binary rows: the bucket numbers of all rows end to end, and where each row begins."""
+    """Rows of (buckets, values), the buckets renumbered by `place`."""
 
-    def __init__(self, rows: list[np.ndarray]):
-        self.rows = rows
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], place: np.ndarray):
+        self.rows = [(place[at], x) for at, x in rows]
 
-    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Columns, values and row numbers of the chosen rows, end to end."""
         rows = [self.rows[i] for i in at]
-        return np.concatenate(rows) if rows else np.empty(0, np.int32), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        return np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
 
 
-def telling(kp: np.ndarray, n: int, ku: np.ndarray, m: int, least: int = 5, least_z: float = 4.0) -> np.ndarray:
-    """Which buckets at least `least` of n positives hold, and positives more often than m unlabelled texts by `least_z` standard errors. Any other would add noise to long texts."""
-    pooled = (kp + ku) / (n + m)
-    error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n + 1 / m))
-    return (kp >= least) & ((kp / n - ku / m) / error >= least_z)
-
-
-def train(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 0, epochs: int = 60, batch: int = 1024, rate: float = 0.05, penalty: float = 2e-5) -> Classifier:
-    """One classifier by Adam over mini-batches, from the telling buckets of each text; sigmoid loss, which is bounded, so that no text outweighs the others."""
-    rng, p, u = np.random.default_rng(seed), _Sparse(positives), _Sparse(unlabelled)
-    w, m, v = (np.zeros(BUCKETS + 1) for _ in range(3))
+@dataclass
+class Sums:
+    """Over texts with words: how many there are, and for each bucket how many hold it, the sum of its values and of their squares."""
+
+    texts: int
+    held: np.ndarray
+    total: np.ndarray
+    squares: np.ndarray
+
+
+def telling(p: Sums, u: Sums, least: int = 5, least_z: float = 4.0) -> np.ndarray:
+    """Which buckets at least `least` positives hold, and positives more of than unlabelled texts by `least_z` standard errors."""
+    n = p.texts + u.texts
+    mean = (p.total + u.total) / n
+    variance = np.maximum((p.squares + u.squares) / n - mean**2, 1e-9)
+    z = (p.total / p.texts - u.total / u.texts) / np.sqrt(variance * (1 / p.texts + 1 / u.texts))
+    return (p.held >= least) & (z >= least_z)
+
+
+def train(positives: list, unlabelled: list, prior: float, seed: int = 0, steps: int = 1_000, batch: int = 1024, rate: float = 0.05, penalty: float = 2e-5) -> Classifier:
+    """One classifier by Adam over mini-batches of rows (buckets, values); sigmoid loss, which is bounded, so that no text outweighs the others."""
+    rng = np.random.default_rng(seed)
+    used = np.unique(np.concatenate([at for at, _ in [*positives, *unlabelled]] or [np.empty(0, np.int32)]))
+    place = np.zeros(BUCKETS, np.int32)
+    place[used] = np.arange(len(used))
+    p, u, k = _Sparse(positives, place), _Sparse(unlabelled, place), len(used)
+    w, m, v = (np.zeros(k + 1) for _ in range(3))
     w[-1] = -1.0
-    step = 0
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     per = max(1, min(batch, len(positives)))
-    for _ in range(epochs):
+    step = 0
+    while step < steps:
         order = rng.permutation(len(unlabelled))
         for at in range(0, len(order), batch):
             bu = order[at : at + batch]
             bp = rng.choice(len(positives), per, replace=len(positives) < per)
-            (pi, pr), (ui, ur) = p.take(bp), u.take(bu)
-            fp = w[-1] + np.bincount(pr, w[pi], len(bp))
-            fu = w[-1] + np.bincount(ur, w[ui], len(bu))
+            (pc, px, pr), (uc, ux, ur) = p.take(bp), u.take(bu)
+            fp = w[-1] + np.bincount(pr, w[pc] * px, len(bp))
+            fu = w[-1] + np.bincount(ur, w[uc] * ux, len(bu))
             sp, su = sigmoid(fp), sigmoid(fu)  # the loss of a positive is 1 - s, that of a negative s
-            gp_neg, gu_neg = -prior * sp * (1 - sp) / len(bp), su * (1 - su) / len(bu)
-            if su.mean() - prior * sp.mean() < 0:  # only the part that went below zero is stepped back
-                gp, gu = -gp_neg, -gu_neg
-            else:
-                gp, gu = gp_neg - prior * sp * (1 - sp) / len(bp), gu_neg
-            g = np.bincount(pi, gp[pr], BUCKETS + 1).astype(np.float64) + np.bincount(ui, gu[ur], BUCKETS + 1)
+            gp, gu = risk_gradient(sp, su, prior)
+            g = 0.0 + np.bincount(pc, gp[pr] * px, k + 1) + np.bincount(uc, gu[ur] * ux, k + 1)
             g[-1] = gp.sum() + gu.sum()
             g[:-1] += penalty * w[:-1]
             step += 1
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Classifier(w[:-1].astype(np.float32), float(w[-1]))
+    weights = np.zeros(BUCKETS, np.float32)
+    weights[used] = w[:-1]
+    return Classifier(weights, float(w[-1]))
+
+
+def risk_gradient(sp: np.ndarray, su: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """The step's direction by the margin of each positive and each unlabelled text, given their scores."""
+    of_negatives, of_unlabelled = -prior * sp * (1 - sp) / len(sp), su * (1 - su) / len(su)
+    if su.mean() - prior * sp.mean() < 0:  # only the part that went below zero is stepped back
+        return -of_negatives, -of_unlabelled
+    return of_negatives - prior * sp * (1 - sp) / len(sp), of_unlabelled
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, n): how many texts hold the bucket; -1 is for the texts with words."""
-    held, texts = np.zeros(BUCKETS, np.int64), 0
+def _sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, held, total, squares); bucket -1 holds the number of texts with words."""
+    held, total, squares, texts, known = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS), np.zeros(BUCKETS), 0, _Held(word_buckets)
     for batch in batches:
         for text in batch.column("text"):
-            found = buckets(text.as_py())
-            held[found] += 1
-            texts += len(found) > 0
-    at = np.flatnonzero(held)
+            at, x = features(text.as_py(), known)
+            held[at] += 1
+            total[at] += x
+            squares[at] += x * x
+            texts += len(at) > 0
+    used = np.flatnonzero(held)
     if texts:
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(held[at], texts), pa.int64())], ["bucket", "n"])
+        # Values as whole millionths: their sums don't depend on the order of partitions.
+        rows = [np.append(used, -1).astype(np.int32), np.append(held[used], texts), *(np.append(np.rint(a[used] * 1e6), 0).astype(np.int64) for a in (total, squares))]
+        yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], ["bucket", "held", "total", "squares"])
 
 
-def _counts(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """How many texts hold each bucket, over whole texts, and how many have words."""
-    sums = texts.select("text").mapInArrow(_count_batches, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS + 1 rows at most
-    held = np.zeros(BUCKETS + 1, np.int64)
-    held[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
-    return held[:-1], int(held[-1])
+def _sums(texts: DataFrame) -> Sums:
+    """Over whole texts; what reaches the driver is BUCKETS + 1 rows at most, whatever the corpus."""
+    rows = texts.select("text").mapInArrow(_sum_batches, "bucket int, held long, total long, squares long").groupBy("bucket")
+    rows = rows.agg(*[F.sum(c).alias(c) for c in ("held", "total", "squares")]).toArrow()
+    out = {c: np.zeros(BUCKETS + 1, np.int64) for c in ("held", "total", "squares")}
+    for c, a in out.items():
+        a[rows.column("bucket").to_numpy()] = rows.column(c).to_numpy()
+    return Sums(int(out["held"][-1]), out["held"][:-1], out["total"][:-1] / 1e6, out["squares"][:-1] / 1e6)
 
 
 def _sample(texts: DataFrame, most: int) -> DataFrame:
@@ -142,17 +214,19 @@ def _sample(texts: DataFrame, most: int) -> DataFrame:
     return texts.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("text")
 
 
-def _selected(texts: DataFrame, seen: np.ndarray) -> list[np.ndarray]:
-    """Of each text with words, its buckets that are seen."""
+def _selected(texts: DataFrame, seen: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text with words, its buckets that are seen, and their values."""
     shared = texts.sparkSession.sparkContext.broadcast(np.packbits(seen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.unpackbits(shared.value).astype(bool)
+        own, known = np.unpackbits(shared.value).astype(bool), _Held(word_buckets)
         for batch in batches:
-            found = [x[own[x]] for t in batch.column("text") if len(x := buckets(t.as_py()))]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], ["buckets"])
+            rows = [(at[own[at]], x[own[at]]) for t in batch.column("text") for at, x in [features(t.as_py(), known)] if len(at)]
+            arrays = [pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["at", "x"])
 
-    return [np.asarray(r.as_py(), np.int32) for r in texts.mapInArrow(run, "buckets array<int>").toArrow().column("buckets")]
+    rows = texts.mapInArrow(run, "at array<int>, x array<float>").toArrow()
+    return [(np.asarray(a.as_py(), np.int32), np.asarray(x.as_py(), np.float32)) for a, x in zip(rows.column("at"), rows.column("x"), strict=True)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED, members: int = 3) -> Classifier | None:
@@ -166,10 +240,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     confirmed = marks.where("mark = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_positives)
     positives = _sample(texts.join(F.broadcast(confirmed), "doc_id", "left_semi"), max_positives)
     unlabelled = _sample(texts, max_unlabelled)
-    (kp, n), (ku, m) = _counts(positives), _counts(texts)  # of all texts, not of the sample alone
-    if not n or not m:
+    of_positives, of_texts = _sums(positives), _sums(texts)  # of all texts, not of the sample alone
+    if not of_positives.texts or not of_texts.texts:
         return None
-    seen = telling(kp, n, ku, m)
+    seen = telling(of_positives, of_texts)
     rows = _selected(positives, seen), _selected(unlabelled, seen)
     fitted = [train(*rows, prior, seed) for seed in range(members)]
     return Classifier(np.mean([c.weights for c in fitted], axis=0), float(np.mean([c.intercept for c in fitted])))
@@ -183,16 +257,10 @@ def score(docs: DataFrame, model: Classifier | None, id_col: str = "doc_id", tex
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.tobytes(), model.intercept))  # BUCKETS numbers, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, intercept = np.frombuffer(shared.value[0], np.float32), shared.value[1]
-        at: dict[bytes, int] = {}
+        own = Classifier(np.frombuffer(shared.value[0], np.float32), shared.value[1])
+        held = own.word_weights()
         for batch in batches:
-            margins = []
-            for text in batch.column("text"):
-                found = words(text.as_py())
-                if len(at) > 1 << 18:
-                    at.clear()
-                at.update({w: zlib.crc32(w) & (BUCKETS - 1) for w in found.difference(at)})
-                margins.append(intercept + float(weights[list(set(map(at.__getitem__, found)))].sum(dtype=np.float64)))
+            margins = np.array([own.margin(text.as_py(), held) for text in batch.column("text")])
             probability = 1 / (1 + np.exp(-np.clip(margins, -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(probability, pa.float64())], ["doc_id", "score"])
 
@@ -215,8 +283,9 @@ def without_toxic(docs: DataFrame, model: Classifier | None, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Classifier(*shared.value)
+        held = own.word_weights()
         for batch in batches:
-            keep = [own.margin(t.as_py()) < least for t in batch.column(text_col)]
+            keep = [own.margin(t.as_py(), held) < least for t in batch.column(text_col)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
