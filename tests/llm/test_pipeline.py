@@ -37,7 +37,8 @@ def rows_of(df):
 def test_toxicity_stage_drops_what_the_classifier_rejects(spark, docs):
     kept = corpus_pipeline.drop_toxic(spark, docs, SF_DIR)
     model = toxicity.fit(docs, spark.read.parquet(f"{SF_DIR}/labels.parquet"))
-    margin = {i: model.margin(t) if model else -1 for i, t in rows_of(docs).items()}
+    texts = rows_of(docs)
+    margin = dict(zip(texts, model.margins([*texts.values()]), strict=True)) if model else dict.fromkeys(texts, -1)
     assert kept.columns == docs.columns and ids(kept) == sorted(i for i, m in margin.items() if m < 0)
 
 
@@ -113,7 +114,7 @@ def test_toxicity_learns_words_of_the_positives(spark):
 
 def test_toxicity_learns_a_late_bucket_of_long_texts(spark):
     letters = lambda i: "".join(chr(97 + int(d)) for d in str(i))
-    late = next(w for w in (f"vile{letters(i)}" for i in range(10_000)) if toxicity.word_buckets(w.encode())[0] > toxicity.BUCKETS * 0.99)
+    late = next(w for w in (f"vile{letters(i)}" for i in range(10_000)) if word_bucket(w) > toxicity.BUCKETS * 0.99)
     filler = lambda i: " ".join(f"w{letters(i % 40 * 37 + k)}" for k in range(3000))
     rows = [(i, filler(i) + (f" {late}" if i >= 200 else ""), int(i >= 200)) for i in range(280)]
     made = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
@@ -126,25 +127,43 @@ def test_toxicity_counts_words_in_all_unlabelled_texts(spark):
     sampled = [r.doc_id for r in made.where(toxicity.fold_of(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(20).collect()]
     text = F.when(F.col("doc_id").isin([i for i in sampled if i < 400]), "river field").when(F.col("toxic") == 1, "river common vileword").otherwise("river common")
     model = toxicity.fit(made.withColumn("text", text), made, max_unlabelled=20)
-    weight = lambda w: model.weights[toxicity.word_buckets(w)[0]]
-    assert weight(b"common") == 0 and weight(b"vileword") != 0
+    assert model.weights[word_bucket("common")] == 0 and model.weights[word_bucket("vileword")] != 0
+
+
+def word_bucket(word):
+    return int(toxicity._occurrences([word.encode()])[0][0][1][0])
 
 
 def test_toxicity_features_equal_a_count_by_hand():
-    text = "Vile vile; viler été 42 vi"
-    shares = {"vile ": 2, "viler ": 1, "été ": 1, "vi ": 1, "vil": 3, "vile": 3, "viler": 1, "été": 1}  # a word ends in a space, a beginning doesn't
-    distinct = {"vile": 2, "viler": 1, "été": 1, "vi": 1}
-    value = {w: min(1, toxicity.SHARE * n / (5 + toxicity.FEW)) for w, n in distinct.items()}
-    want = {}
-    for feature in shares:
-        holders = [w for w in distinct if (feature == w + " " if feature.endswith(" ") else w.startswith(feature))]
-        bucket = zlib.crc32(feature.encode()) & (toxicity.BUCKETS - 1)
-        want[bucket] = want.get(bucket, 0) + sum(value[w] for w in holders)
-    at, x = toxicity.features(text)
-    assert dict(zip(at.tolist(), x.tolist())) == pytest.approx(want)
-    assert len(toxicity.features(None)[0]) == len(toxicity.features("42 ...")[0]) == 0
+    texts = [None, "Vile vile; viler été 42 vi", "", "42 ...", "vile " * 50]
+    words = [re.findall(r"[a-zé]+", (t or "").lower()) for t in texts]
+    want = []
+    for found in words:
+        times = defaultdict(int)
+        for w in found:
+            times[word_bucket(w)] += 1
+            for k in toxicity.STEMS:
+                if len(w.encode()) >= k:
+                    times[int(toxicity._occurrences([w.encode()])[0][1 + k - toxicity.STEMS[0]][1][0])] += 1
+        value = {b: min(toxicity.MOST, toxicity.SHARE * n / (len(found) + toxicity.FEW)) for b, n in times.items()}
+        want.append(value | {b: max(value[b], toxicity.LEAST) for b in map(word_bucket, found)})
+    got = [{} for _ in texts]
+    for first, of, at, x, n in toxicity.features(texts):
+        assert n.tolist() == [len(w) for w in words][first : first + len(n)]
+        for o, a, v in zip(of.tolist(), at.tolist(), x.tolist(), strict=True):
+            got[first + o][a] = v
+    assert got == [pytest.approx(w) for w in want] and set(got[1]) & set(got[4])
     weights = np.random.default_rng(1).normal(size=toxicity.BUCKETS).astype(np.float32)
-    assert toxicity.Classifier(weights, 0.5).margin(text) == pytest.approx(0.5 + float((weights[at] * x).sum()), abs=1e-5)
+    by_hand = [0.5 + sum(weights[b] * v for b, v in w.items()) for w in want]
+    assert toxicity.Classifier(weights, 0.5).margins(texts) == pytest.approx(by_hand, abs=1e-4)
+
+
+def test_toxicity_features_do_not_depend_on_chunks(monkeypatch):
+    texts = ["alpha beta", None, "gamma " * 40, "", "delta alpha", "x" * 300]
+    whole = toxicity.Classifier(np.random.default_rng(2).normal(size=toxicity.BUCKETS).astype(np.float32), 0.0).margins(texts)
+    monkeypatch.setattr(toxicity, "_CHUNK", 8)
+    small = toxicity.Classifier(np.random.default_rng(2).normal(size=toxicity.BUCKETS).astype(np.float32), 0.0).margins(texts)
+    assert (whole == small).all()
 
 
 @pytest.mark.parametrize("shift", [-3.0, 0.0, 2.0])
@@ -165,12 +184,14 @@ def test_the_risk_step_follows_the_corrected_risk(shift):
 def test_sums_of_texts_equal_sums_by_hand(spark):
     texts = [r.text for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("text").limit(40).collect()] + [None, "", "7"]
     held, total = np.zeros(toxicity.BUCKETS), np.zeros(toxicity.BUCKETS)
+    with_words = 0
     for t in texts:
-        at, x = toxicity.features(t)
-        held[at] += 1
-        total[at] += x
+        for _, _, at, x, n in toxicity.features([t]):
+            held[at] += 1
+            total[at] += x
+            with_words += int(n[0] > 0)
     sums = toxicity._sums(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5))
-    assert sums.texts == sum(len(toxicity.features(t)[0]) > 0 for t in texts)
+    assert sums.texts == with_words
     assert (sums.held == held).all() and np.allclose(sums.total, total, atol=1e-4)
 
 

@@ -12,9 +12,9 @@ whose bounds are parameters; their average is one table of weights of a fixed si
 every whole text on the executors. The prior is counted over all labelled rows.
 
 A text's features are its words, lower-cased and cut at everything but letters, and the beginnings of
-its words, hashed into BUCKETS. A feature's value is the share of the text's words that have it, each
-distinct word counting up to a bound. So a score depends on the whole text and not on its length, and
-a language that forms many words from one stem needs no example of each.
+its words, hashed into BUCKETS. A feature counts by the share of the text's words that have it, up to a
+bound, so that beginnings met by chance in long texts count little; a whole word counts something
+wherever it stands. A language that forms many words from one stem needs no example of each.
 
 Training reads whole texts: executors add up each bucket's values, one row for each bucket, and of a
 sampled text the driver gets only the buckets that these sums select. Features that positives don't
@@ -28,8 +28,6 @@ Columns that aren't named in the parameters are ignored.
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,49 +41,73 @@ BUCKETS = 1 << 18
 MAX_POSITIVES = 6_000
 MAX_UNLABELLED = 18_000
 FOLDS = 5
-#: Lengths of the beginnings of words, in characters.
+#: Lengths of the beginnings of words, in bytes of UTF-8.
 STEMS = range(3, 8)
-#: A word that n of a text's N words are counts min(1, SHARE * n / (N + FEW)).
-SHARE, FEW = 50.0, 20
-_WORDS_HELD = 1 << 17
+#: A feature that n of a text's N words have counts min(MOST, SHARE * n / (N + FEW)), a whole word LEAST at least.
+SHARE, FEW, MOST, LEAST = 50.0, 20, 2.0, 0.1
+#: Bytes of text that are cut into words at once, but for a longer text.
+_CHUNK = 1 << 20
 _letters = bytes(b if chr(b).isalpha() or b >= 0x80 else 0x20 for b in range(256))
-
-
-def words(text: str | None) -> tuple[list[bytes], np.ndarray]:
-    """The distinct words of a text, and what each counts."""
-    found = Counter((text or "").lower().encode().translate(_letters).split())
-    n = np.fromiter(found.values(), np.float64, len(found))
-    return [*found], np.minimum(1, SHARE * n / (n.sum() + FEW))
-
-
-def word_buckets(word: bytes) -> np.ndarray:
-    """The buckets of a word and of its beginnings."""
-    letters = word.decode()
-    stems = [letters[:k].encode() for k in STEMS if k <= len(letters)]
-    return np.fromiter((zlib.crc32(x) & (BUCKETS - 1) for x in (word + b" ", *stems)), np.int32)
-
-
-class _Held(dict):
-    """What a word gives, kept for a bounded number of words."""
-
-    def __init__(self, of):
-        self.of = of
-
-    def __missing__(self, word: bytes):
-        if len(self) >= _WORDS_HELD:
-            self.clear()
-        out = self[word] = self.of(word)
-        return out
-
-
-def features(text: str | None, held: _Held | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct buckets of a text, ascending, and their values."""
-    found, counts = words(text)
-    if not found:
-        return np.empty(0, np.int32), np.empty(0, np.float32)
-    parts = [*map((held or _Held(word_buckets)).__getitem__, found)]
-    at, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-    return at, np.bincount(inverse, np.repeat(counts, [*map(len, parts)])).astype(np.float32)
+_U = np.uint64
+_BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
+_powers: dict[int, np.ndarray] = {}
+
+
+def _powers_of(base: int, n: int) -> np.ndarray:
+    if base not in _powers or len(_powers[base]) < n:
+        out = np.full(max(n, _CHUNK + (_CHUNK >> 2)), base, np.uint64)
+        out[0] = 1
+        _powers[base] = np.multiply.accumulate(out)
+    return _powers[base][:n]
+
+
+def _bucket(x: np.ndarray, length: int) -> np.ndarray:
+    """The bucket of a hash of words (length 0) or of the bytes of their beginnings."""
+    x = x + _U(length * 0x9E3779B9)
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return ((x ^ (x >> _U(31))) & _U(BUCKETS - 1)).astype(np.int64)
+
+
+def _occurrences(texts: list[bytes]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Cleaned texts -> [(text number, bucket)] of all features of all words, and the number of words of each text."""
+    data = b" ".join([*texts, b" " * 8])
+    b = np.frombuffer(data, np.uint8)
+    inside = np.concatenate([[False], b != 32, [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    first = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    of = np.searchsorted(first, starts, "right") - 1
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + _U(1)) * _powers_of(_BASE, len(b)), out=sums[1:])
+    out = [(of, _bucket((sums[ends] - sums[starts]) * _powers_of(_INVERSE, len(b) + 1)[starts], 0))]
+    length = ends - starts
+    for k in STEMS:
+        at = np.flatnonzero(length >= k)
+        stem = np.zeros(len(at), np.uint64)
+        for i in range(k):
+            stem |= b[starts[at] + i].astype(np.uint64) << _U(8 * i)
+        out.append((of[at], _bucket(stem, k)))
+    return out, np.bincount(of, minlength=len(texts))
+
+
+def features(texts: list[str | None], seen: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For chunks of texts: (the first one's place, text, bucket, value, words): a value for each feature of each text, by text and bucket, and the words of each. seen: only these buckets."""
+    first, held, size = 0, [], 0
+    for i, text in enumerate([*texts, None]):
+        if held and (size >= _CHUNK or i == len(texts)):
+            found, n = _occurrences(held)
+            codes = [(of[keep] << 18) | at[keep] for of, at in found for keep in [slice(None) if seen is None else seen[at]]]
+            ends = np.unique(codes[0])
+            codes, times = np.unique(np.concatenate(codes), return_counts=True)
+            of = codes >> 18
+            value = np.minimum(MOST, SHARE * times / (n[of] + FEW))
+            whole = np.searchsorted(codes, ends)
+            value[whole] = np.maximum(value[whole], LEAST)
+            yield first, of, codes & (BUCKETS - 1), value.astype(np.float32), n
+            first, held, size = i, [], 0
+        held.append((text or "").lower().encode().translate(_letters))
+        size += len(held[-1])
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -98,14 +120,11 @@ class Classifier:
     weights: np.ndarray
     intercept: float
 
-    def word_weights(self) -> _Held:
-        """A score is linear, so that each word has one weight."""
-        return _Held(lambda word: float(self.weights[word_buckets(word)].sum(dtype=np.float64)))
-
-    def margin(self, text: str | None, held: _Held | None = None) -> float:
-        found, counts = words(text)
-        weight = self.word_weights() if held is None else held
-        return self.intercept + float(np.dot(counts, np.fromiter(map(weight.__getitem__, found), np.float64, len(found))))
+    def margins(self, texts: list[str | None]) -> np.ndarray:
+        out, seen = np.empty(len(texts)), self.weights != 0
+        for first, of, at, x, n in features(texts, seen):
+            out[first : first + len(n)] = self.intercept + np.bincount(of, self.weights[at].astype(np.float64) * x, len(n))
+        return out
 
 
 class _Sparse:
@@ -183,14 +202,13 @@ def risk_gradient(sp: np.ndarray, su: np.ndarray, prior: float) -> tuple[np.ndar
 
 def _sum_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bucket, held, total, squares); bucket -1 holds the number of texts with words."""
-    held, total, squares, texts, known = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS), np.zeros(BUCKETS), 0, _Held(word_buckets)
+    held, total, squares, texts = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS), np.zeros(BUCKETS), 0
     for batch in batches:
-        for text in batch.column("text"):
-            at, x = features(text.as_py(), known)
-            held[at] += 1
-            total[at] += x
-            squares[at] += x * x
-            texts += len(at) > 0
+        for _, _, at, x, n in features(batch.column("text").to_pylist()):
+            held += np.bincount(at, minlength=BUCKETS)
+            total += np.bincount(at, x, BUCKETS)
+            squares += np.bincount(at, x * x, BUCKETS)
+            texts += int((n > 0).sum())
     used = np.flatnonzero(held)
     if texts:
         # Values as whole millionths: their sums don't depend on the order of partitions.
@@ -219,11 +237,12 @@ def _selected(texts: DataFrame, seen: np.ndarray) -> list[tuple[np.ndarray, np.n
     shared = texts.sparkSession.sparkContext.broadcast(np.packbits(seen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = np.unpackbits(shared.value).astype(bool), _Held(word_buckets)
+        own = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            rows = [(at[own[at]], x[own[at]]) for t in batch.column("text") for at, x in [features(t.as_py(), known)] if len(at)]
-            arrays = [pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["at", "x"])
+            for _, of, at, x, n in features(batch.column("text").to_pylist(), own):
+                offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(n)))]).astype(np.int32))
+                arrays = [pa.ListArray.from_arrays(offsets, pa.array(v)).filter(pa.array(n > 0)) for v in (at.astype(np.int32), x)]
+                yield pa.RecordBatch.from_arrays(arrays, ["at", "x"])
 
     rows = texts.mapInArrow(run, "at array<int>, x array<float>").toArrow()
     return [(np.asarray(a.as_py(), np.int32), np.asarray(x.as_py(), np.float32)) for a, x in zip(rows.column("at"), rows.column("x"), strict=True)]
@@ -258,9 +277,8 @@ def score(docs: DataFrame, model: Classifier | None, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Classifier(np.frombuffer(shared.value[0], np.float32), shared.value[1])
-        held = own.word_weights()
         for batch in batches:
-            margins = np.array([own.margin(text.as_py(), held) for text in batch.column("text")])
+            margins = own.margins(batch.column("text").to_pylist())
             probability = 1 / (1 + np.exp(-np.clip(margins, -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(probability, pa.float64())], ["doc_id", "score"])
 
@@ -283,9 +301,7 @@ def without_toxic(docs: DataFrame, model: Classifier | None, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Classifier(*shared.value)
-        held = own.word_weights()
         for batch in batches:
-            keep = [own.margin(t.as_py(), held) < least for t in batch.column(text_col)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array(own.margins(batch.column(text_col).to_pylist()) < least, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
