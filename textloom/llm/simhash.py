@@ -8,9 +8,18 @@ counting the differing bits. Copies collapse before that: the index holds distin
 Within a variant, a walk over the unvisited members emits a spanning forest of the links, never all
 pairs, in memory that grows with the distinct fingerprints of that variant.
 
+without_near_copies goes by a similarity instead: texts whose sets of five-word shingles have a Jaccard
+similarity of 0.8 or more. Its fingerprints have 160 bits in eight segments of 20, so that of two
+that differ by at most 15 bits one segment differs by at most one. Texts of similarity 0.8 differ by
+24 bits in the mean, and are found where one segment of eight does. Within a variant each member gets
+its nearest earlier one as its candidate; candidates are verified by the shingle sets themselves, the
+nearest of each text first and then the others wherever the two are not yet connected.
+
 Defined results: a null or empty text, or one without words, has the fingerprint zero, linked like
 any other. A text of one or two words has one shingle. Null ids take part, but name a component only
-if it has no other id. Repeated rows stay repeated. An empty table gives an empty table.
+if it has no other id. Repeated rows stay repeated. An empty table gives an empty table. In
+without_near_copies texts without words equal each other, a text of fewer than five words has one
+shingle, and rows are judged one by one, whatever their ids.
 """
 
 from __future__ import annotations
@@ -25,6 +34,8 @@ from pyspark.sql import functions as F
 
 from . import storage
 from .components import connected_components
+from .exact_dedup import BIG_GROUPS, Filter, join_groups
+from .substring_dedup import _gram_hashes, _WordHashes
 
 MAX_BITS = 3
 SEED = 42
@@ -130,3 +141,174 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = members.groupBy("component").agg(F.min("least_id").alias("component_id"))
     classes = storage.write_table(members.join(named, "component").select("fp", "component_id"), f"{folder}/classes")
     return printed.join(classes, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Shingles, similarity and fingerprints of without_near_copies.
+WORDS, SIMILARITY = 5, 0.8
+SEGMENTS, SEGMENT_BITS = 8, 20
+#: Candidates differ by this many bits at most: those expected at SIMILARITY and over three standard errors more.
+FAR_BITS = 38
+#: In a variant of more members than this, those within LEADER_BITS of a leader are nobody's candidate but their leader's.
+ALL_LEAD, LEADER_BITS = 256, 24
+_LANES = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7))
+
+
+def shingle_set(text: str | None, held: _WordHashes, width: int = WORDS) -> np.ndarray:
+    """The distinct shingles of a text as sorted 64-bit hashes."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    return np.unique(_gram_hashes(np.fromiter(map(held.__getitem__, words), np.uint64, len(words)), min(width, len(words))))
+
+
+def set_fingerprint(grams: np.ndarray) -> np.ndarray:
+    """The SimHash bits of a set: SEGMENTS rows of SEGMENT_BITS."""
+    bits, ones = SEGMENTS * SEGMENT_BITS, np.zeros(SEGMENTS * SEGMENT_BITS, np.int64)
+    for at in range(0, len(grams), _CHUNK):
+        lanes = np.stack([(grams[at : at + _CHUNK] ^ x) * _LANES[0] for x in _LANES], axis=1)
+        lanes = (lanes ^ (lanes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        lanes ^= lanes >> np.uint64(32)
+        ones += np.add.reduce(np.unpackbits(lanes.view(np.uint8).reshape(len(lanes), -1), axis=1)[:, :bits], axis=0, dtype=np.int64)
+    return (2 * ones > len(grams)).reshape(SEGMENTS, SEGMENT_BITS)
+
+
+def _print_batches(text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, powers = _WordHashes(), 1 << np.arange(SEGMENT_BITS)
+        for batch in batches:
+            nodes, prints, segments = [], [], []
+            for text in batch.column("row").field(text_col):
+                grams = shingle_set(text.as_py(), held)
+                bits = set_fingerprint(grams)
+                nodes.append(xxhash.xxh64_intdigest(grams.tobytes(), SEED) - (1 << 63))
+                prints.append(np.packbits(bits).tobytes())
+                segments.append((bits @ powers).astype(np.int32))
+            arrays = [batch.column("row"), pa.array(nodes, pa.int64()), pa.array(prints, pa.binary()), pa.array(segments, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "node", "print", "segments"])
+
+    return run
+
+
+def set_variants(prints: DataFrame) -> DataFrame:
+    """(variant, node, print): each fingerprint under the variants in which one bit of one segment is a wildcard."""
+    n = SEGMENT_BITS
+    segment = lambda j: F.element_at("segments", F.floor(j / n).cast("int") + 1)
+    wild = lambda j: F.bitwise_not(F.call_function("shiftleft", F.lit(1), F.pmod(j, F.lit(n))))
+    coded = F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS * n - 1)), lambda j: F.call_function("shiftleft", j, F.lit(n)).bitwiseOR(segment(j).bitwiseAND(wild(j))))
+    return prints.select("node", "print", F.explode(coded).alias("variant"))
+
+
+def _nearest_earlier(group: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows sorted by group -> (row, its nearest earlier row of the group, differing bits), where within FAR_BITS."""
+    n = len(group)
+    edges = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [n]])
+    size = np.diff(edges)
+    begin = np.repeat(edges[:-1], size)
+    best, far = np.full(n, -1), np.full(n, FAR_BITS + 1)
+    i, k = np.flatnonzero(np.repeat(size <= ALL_LEAD, size)), 1
+    while len(i := i[i - k >= begin[i]]):
+        apart = np.bitwise_count(prints[i] ^ prints[i - k]).sum(axis=1, dtype=np.int64)
+        nearer = apart < far[i]
+        far[i[nearer]], best[i[nearer]] = apart[nearer], i[nearer] - k
+        k += 1
+    for s, e in zip(edges[:-1][size > ALL_LEAD], edges[1:][size > ALL_LEAD], strict=True):
+        leaders = np.empty(0, np.int64)
+        for at in range(s, e, ALL_LEAD):  # a block meets the leaders before it, then each other
+            block = np.arange(at, min(at + ALL_LEAD, e))
+            for x in leaders:
+                apart = np.bitwise_count(prints[block] ^ prints[x]).sum(axis=1, dtype=np.int64)
+                nearer = apart < far[block]
+                far[block[nearer]], best[block[nearer]] = apart[nearer], x
+            rest = block[far[block] > LEADER_BITS]
+            while len(rest):
+                x, rest = rest[0], rest[1:]
+                leaders = np.append(leaders, x)
+                apart = np.bitwise_count(prints[rest] ^ prints[x]).sum(axis=1, dtype=np.int64)
+                nearer = apart < far[rest]
+                far[rest[nearer]], best[rest[nearer]] = apart[nearer], x
+                rest = rest[far[rest] > LEADER_BITS]
+    hit = np.flatnonzero(best >= 0)
+    return hit, best[hit], far[hit]
+
+
+def _candidate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads rows sorted by variant; a variant that goes on in the next batch is carried over."""
+    rest: list[pa.RecordBatch] = []
+
+    def linked(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        columns = {c: pa.concat_arrays([b.column(c) for b in rows]) for c in ("variant", "node", "print")}
+        raw = np.frombuffer(b"".join(columns["print"].to_pylist()), np.uint8).reshape(len(columns["node"]), -1)
+        prints = np.pad(raw, ((0, 0), (0, -raw.shape[1] % 8))).view(np.uint64)
+        node = columns["node"].to_numpy()
+        at, of, far = _nearest_earlier(columns["variant"].to_numpy(), prints)
+        return pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[of]), pa.array(far.astype(np.int32))], ["a", "b", "far"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        v = batch.column("variant").to_numpy()
+        cut = int(np.searchsorted(v, v[-1]))
+        if cut or (rest and rest[-1].column("variant")[-1].as_py() != v[-1]):
+            yield linked([*rest, batch.slice(0, cut)] if cut else rest)
+            rest = []
+        rest.append(batch.slice(cut))
+    if rest:
+        yield linked(rest)
+
+
+def _set_batches(text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _WordHashes()
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), held).view(np.int64) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
+
+    return run
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b) those whose sets have the similarity."""
+    both = pairs.select("a", "b").join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    return both.where(common >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - common) - 1e-9).select("a", "b")
+
+
+def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each class of texts that verified links connect, all columns: the one of the smallest id, a null id last. Only rows that may have others of their class are shuffled."""
+    spark = docs.sparkSession
+    folder = storage.new_folder(spark, "near-copies")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kind = rows.schema["row"].dataType.simpleString()
+    printed = storage.write_table(rows.mapInArrow(_print_batches(text_col), f"row {kind}, node long, print binary, segments array<int>"), f"{folder}/prints")
+    id_ = F.col(f"row.`{id_col}`")
+    rank = F.struct(id_.isNull().alias("no_id"), id_.alias("id"), F.col("node"))
+    nodes = printed.groupBy("node").agg(F.first("print").alias("print"), F.first("segments").alias("segments"), F.min(rank).alias("rank"), F.count(F.lit(1)).alias("copies"))
+    nodes = storage.write_table(nodes, f"{folder}/nodes")
+
+    dealt = set_variants(nodes).repartition("variant").sortWithinPartitions("variant", "node")
+    links = dealt.mapInArrow(_candidate_batches, "a long, b long, far int").distinct()
+    links = storage.write_table(links, f"{folder}/candidates")
+    ends = links.select(F.col("a").alias("digest")).union(links.select("b")).distinct()
+    near_nodes = Filter(ends, ends.count(), f"{folder}/candidate-filter")
+    texts = printed.select(F.col("node").alias("digest"), F.col(f"row.`{text_col}`").alias("text"))
+    texts = near_nodes.split(texts).where("may_hold").join(ends, "digest", "left_semi").groupBy(F.col("digest").alias("node")).agg(F.first("text").alias("text"))
+    sets = storage.write_table(texts.mapInArrow(_set_batches(text_col), "node long, grams array<long>"), f"{folder}/sets")
+
+    nearest = links.groupBy("a").agg(F.min(F.struct("far", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    found = storage.write_table(_alike(nearest, sets, similarity), f"{folder}/near-0")
+    known = connected_components(found)
+    class_of = lambda end: known.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    apart = links.join(nearest, ["a", "b"], "left_anti").join(class_of("a"), "a", "left").join(class_of("b"), "b", "left")
+    apart = apart.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    found = found.unionByName(storage.write_table(_alike(apart, sets, similarity), f"{folder}/near-1"))
+
+    known = connected_components(found)
+    members = nodes.select("node", "rank", "copies").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    classes = members.groupBy("component").agg(F.min("rank").alias("best"), F.sum("copies").alias("rows")).where("rows > 1")
+    several = storage.write_table(members.join(classes, "component").select(F.col("node").alias("digest"), "copies", "component", "best"), f"{folder}/classes")
+    total = printed.count()
+    keyed = Filter(several.select("digest"), several.count(), f"{folder}/class-filter").split(printed.select("row", F.col("node").alias("digest"), rank.alias("rank")))
+    held = join_groups(keyed.where("may_hold").select("row", "digest", "rank"), several, "left", total // BIG_GROUPS + 1)
+    best = held.where(F.col("rank") == F.col("best")).groupBy("component").agg(F.first("row").alias("row"))  # repeated rows meet here
+    kept = keyed.where("NOT may_hold").select("row").unionByName(held.where("component IS NULL").select("row")).unionByName(best.select("row"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
