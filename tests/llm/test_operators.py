@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from textloom.llm import best_fit_packing, bpe, exact_dedup, license_scan, line_dedup, secret_scan, simhash, substring_dedup, tokens, vector_search
@@ -114,6 +115,58 @@ def test_secrets(spark):
     assert [got[i].spans for i in (2, 4)] == ["", ""] and got[3].n_access == 1 and got[5].spans.startswith("hex:32:64")
 
 
+def spans_by_hand(text):
+    """All spans of a text, by plain loops."""
+    found = []
+    for m in re.finditer(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        if len(m[1]) >= 8:
+            found.append((m.start(), 0, m.end()))
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    entropy = set()
+    for pattern, width, threshold in (("[0-9a-fA-F]{32,}", 32, 3.0), ("[A-Za-z0-9+/_=-]{24,}", 24, 3.9)):
+        for m in re.finditer(pattern, text):
+            v = m[0]
+            if not (re.search("[0-9]", v) and re.search("[A-Za-z]", v)) or any(re.search(p, v) for p in secret_scan.ALLOWED):
+                continue
+            filler = [False] * len(v)
+            shown = v
+            for p, n in secret_scan.FILLERS.items():
+                for f in [*re.finditer(p, shown)]:
+                    filler[f.start() : f.end()] = [True] * n
+                shown = "".join(" " if x else c for c, x in zip(v, filler, strict=True))
+            for at in range(len(v) - width + 1):
+                if any(filler[at : at + width]):
+                    continue
+                total = sum(secret_scan.c_log_c(c) for c in Counter(v[at : at + width]).values())
+                if total <= round((math.log2(width) - threshold) * width * secret_scan.SCALE):
+                    entropy.add((m.start(), 3, m.end()))
+                    break
+    return sorted([*found, *entropy])
+
+
+def test_secrets_equal_a_scan_by_hand(spark, empty):
+    r = random.Random(11)
+    run = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    base64, hexa = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", "0123456789abcdef"
+    parts = ["é", "word", "\n", " ", "password", "API_KEY", "=", ": '", "token = ", "example", "AAAAAAAAA", "12345678", "a/b/c/d/e1", "src_12345", "🙂"]
+    made = lambda: [r.choice(parts), run(base64, r.randrange(40)), run(hexa, r.choice([0, 8, 31, 32, 33, 50])), "AKIA" + run("AKI019", r.randrange(20)), run("ab1", r.randrange(60)), run("0123456789abcdefABCDEF", r.randrange(60))]
+    rows = [(i, "".join(r.choice(made()) + r.choice(["", " ", "\n", "-"]) for _ in range(r.randrange(1, 25)))) for i in range(250)]
+    rows += [(250, None), (251, ""), (None, "token=abcdefgh1"), (252, "AKIA " * 600 + "password=0123456789 " * 700), (253, run(base64, 3000)), (254, "A" * 9 + run(base64, 40)), (255, run("ab", 30) + "example" + run(base64, 24)), (255, "secret: zzzzzzzz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("assign", "hex", "spans")})
+    names = ("assign", "access", "hex", "entropy")
+    want = []
+    for i, text in rows:
+        spans = [(names[k], s, e) for s, k, e in spans_by_hand(text or "")]
+        line = lambda some: ",".join(f"{k}:{s}:{e}" for k, s, e in some)
+        base = [x for x in spans if x[0] != "entropy"]
+        want.append((i, *[sum(x[0] == k for x in spans) for k in names], hashlib.sha256(line(base).encode()).hexdigest(), line(spans)))
+    key = lambda x: (x[0] is None, x[0] or 0, *x[1:])
+    got = sorted((tuple(x) for x in secret_scan.secrets_found(df).collect()), key=key)
+    assert got == sorted(want, key=key)
+    assert sum(x[4] for x in got) > 50 and secret_scan.secrets_found(empty).count() == 0
+
+
 def test_lines(spark):
     r = random.Random(5)
     base = [[f"w{r.randrange(60)}" for _ in range(n)] for n in (3, 4, 5, 8, 10, 12, 12, 20, 40, 90)]

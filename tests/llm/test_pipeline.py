@@ -50,18 +50,79 @@ def test_exact_stage_keeps_the_longest_of_equal_texts(spark, docs):
     assert kept.columns == docs.columns and ids(kept) == sorted(min(g)[1] for g in groups.values())
 
 
-def test_near_stage_keeps_one_document_of_each_component(spark, docs):
-    prints = {i: simhash.fingerprint(t) for i, t in rows_of(docs).items()}
-    least = {i: i for i in prints}
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def alike(a, b):
+    return a == b or len(a & b) >= 0.8 * len(a | b) > 0
+
+
+def test_near_stage_keeps_one_document_of_each_class(spark, docs):
+    """Nothing goes that brute force keeps; of what brute force drops, whatever differs by at most 15 of the 160 bits."""
+    sets = {i: shingles(t) for i, t in rows_of(docs).items()}
+    least = {i: i for i in sets}
     changed = True
     while changed:
         changed = False
-        for a in prints:
-            for b in prints:
-                if least[b] < least[a] and (prints[a] ^ prints[b]).bit_count() <= 3:
+        for a in sets:
+            for b in sets:
+                if least[b] < least[a] and alike(sets[a], sets[b]):
                     least[a], changed = least[b], True
     kept = corpus_pipeline.drop_near_copies(spark, docs, SF_DIR)
-    assert kept.columns == docs.columns and ids(kept) == sorted(set(least.values()))
+    held = simhash._WordHashes()
+    bits = {i: simhash.set_fingerprint(simhash.shingle_set(t, held)) for i, t in rows_of(docs).items()}
+    got = set(ids(kept))
+    assert kept.columns == docs.columns and got >= set(least.values())
+    assert not any(alike(sets[a], sets[b]) and (bits[a] != bits[b]).sum() <= 15 for a in got for b in got if a < b)
+    assert len(got) < len(set(sets.values()))
+
+
+def test_near_candidates_are_complete_within_the_bound():
+    """Whatever differs by at most two bits times the segments, less one, shares a variant."""
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        a = rng.random((simhash.SEGMENTS, simhash.SEGMENT_BITS)) < 0.5
+        b = a.copy().ravel()
+        b[rng.choice(b.size, 2 * simhash.SEGMENTS - 1, replace=False)] ^= True
+        assert min((a != b.reshape(a.shape)).sum(axis=1)) <= 1
+
+
+@pytest.mark.parametrize("lead", [2, 256])
+def test_nearest_earlier_equals_a_loop(monkeypatch, lead):
+    """With few members all lead; with many, each one still gets a candidate wherever a leader is near."""
+    monkeypatch.setattr(simhash, "ALL_LEAD", lead)
+    rng = np.random.default_rng(4)
+    centres = rng.integers(0, 2**63, (6, 3)).astype(np.uint64)
+    prints = centres[rng.integers(0, 6, 300)] ^ (np.uint64(1) << rng.integers(0, 63, (300, 3)).astype(np.uint64))
+    group = np.sort(rng.integers(0, 9, 300))
+    at, of, far = simhash._nearest_earlier(group, prints)
+    apart = lambda i, j: int(np.bitwise_count(prints[i] ^ prints[j]).sum())
+    got = {}
+    for i, j, f in zip(at.tolist(), of.tolist(), far.tolist(), strict=True):
+        assert j < i and group[i] == group[j] and f == apart(i, j) <= simhash.FAR_BITS
+        got[i] = f
+    want = {i: min((apart(i, j) for j in range(i) if group[i] == group[j]), default=99) for i in range(300)}
+    want = {i: f for i, f in want.items() if f <= simhash.FAR_BITS}
+    assert (got == want) if lead == 256 else got.keys() == want.keys()
+
+
+def test_stages_judge_rows_not_ids(spark, docs):
+    rows = [(3, "T"), (5, "T"), (5, "unique text"), (None, "T "), (None, "q"), (7, "x y"), (7, "x y"), (7, "xy"), (1, None), (2, ""), (2, " ")]
+    made = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], docs.sparkSession.read.parquet(f"{SF_DIR}/documents.parquet").schema)
+    exact = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.drop_copies(spark, made, SF_DIR).collect())
+    assert exact == sorted([("None", "T "), ("5", "unique text"), ("None", "q"), ("7", "x y"), ("2", " ")])
+    near = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.drop_near_copies(spark, made, SF_DIR).collect())
+    assert near == sorted([("3", "T"), ("5", "unique text"), ("None", "q"), ("7", "x y"), ("7", "xy"), ("1", None)], key=lambda x: (x[0], x[1] or ""))
+
+
+def test_stages_give_empty_tables_for_empty_tables(spark, docs):
+    none = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, SF_DIR)
+        assert out.count() == 0
+        none = out if "text" in out.columns else none
 
 
 def test_secret_stage_masks_every_span_and_nothing_else(spark, docs):

@@ -6,7 +6,7 @@ a class that are long enough and mix letters with digits; a window slides over e
 of the characters in the window are kept up to date: each step takes one character out and one in, so
 that the window's entropy changes by two differences of c*log2(c), read from a table of whole numbers.
 A candidate is a span if some window's entropy reaches the class's threshold and no allow-list pattern
-matches it. All arithmetic is on whole numbers, so that the result doesn't depend on the order of sums.
+matches it; windows that touch a filler, such as 'example' or a long repeat, don't count. All arithmetic is on whole numbers, so that the result doesn't depend on the order of sums.
 
 Positions are code points, ends exclusive. Defined results: a null text is empty and has no spans.
 Spans of different kinds may overlap, and equal ones of two kinds both stay. Repeated rows stay
@@ -46,14 +46,14 @@ CLASSES = (
     CharacterClass("hex", "[0-9a-fA-F]{32,}", DIGITS + "abcdefABCDEF", 32, 3.0),
     CharacterClass("base64", "[A-Za-z0-9+/_=-]{24,}", UPPER + LOWER + DIGITS + "+/_=-", 24, 3.9),
 )
-#: Candidates that are known not to be secrets: numbered names, identifiers in parts, paths, placeholders, long repeats.
+#: Candidates that are known not to be secrets: numbered names, identifiers in parts, paths.
 ALLOWED = (
     r"^[A-Za-z]+[_-]?[0-9]+$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[A-Za-z]*(/[A-Za-z0-9]+){3,}/?$",
-    r"(?i)example|placeholder|xxxxx|abcdefgh|12345678",
-    r"(.)\1{7}",
 )
+#: Placeholders and repeats of a fixed length; windows that touch one don't count, others of the same candidate do.
+FILLERS = {r"(?i)example": 7, r"(?i)placeholder": 11, r"(?i)xxxxx": 5, r"(?i)abcdefgh": 8, r"12345678": 8, r"(.)\1{7}": 8}
 SCALE = 1_000_000
 
 
@@ -61,11 +61,21 @@ def _points(text: Column) -> Column:
     return F.char_length(text).cast("long")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), value being computed once for a row, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Matches whose places are summed up together.
+_BLOCK = 256
+
+
 def located(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of all matches: the pieces between them give the places."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,value:string>>").alias("spans"))
+    kind = "array<struct<start:bigint,end:bigint,value:string>>"
+    none = F.array().cast(kind)
 
     def step(state: Column, pair: Column) -> Column:
         begin = state["at"] + _points(pair["gap"])
@@ -73,9 +83,16 @@ def located(text: Column, pattern: str) -> Column:
         span = F.struct(begin.alias("start"), end.alias("end"), pair["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("value"))
-    none = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda s: s["spans"])).otherwise(none)
+    def shifted(held: Column) -> Column:
+        ends = F.aggregate(held, F.array(F.lit(0).cast("long")), lambda a, h: F.concat(a, F.array(F.element_at(a, -1) + h["at"])))
+        moved = lambda h, by: F.transform(h["spans"], lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["value"].alias("value")))
+        return F.flatten(F.zip_with(held, F.slice(ends, 1, F.size(held)), moved))
+
+    # An array that grows is copied at each step, so it grows within a block of matches, and across blocks.
+    block = lambda b: F.aggregate(b, F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")), step)
+    blocks = lambda pairs: F.transform(F.sequence(F.lit(1), F.size(pairs), F.lit(_BLOCK)), lambda at: block(F.slice(pairs, at, _BLOCK)))
+    pairs = _let(found, lambda f: F.arrays_zip(F.slice(gaps, 1, F.size(f)).alias("gap"), f.alias("value")))
+    return F.when(text.rlike(pattern), _let(_let(pairs, blocks), shifted)).otherwise(none)
 
 
 def _tagged(spans: Column, order: int) -> Column:
@@ -92,31 +109,42 @@ def least_sum(cls: CharacterClass) -> int:
     return round((log2(cls.window) - cls.threshold) * cls.window * SCALE)
 
 
+def _codes(value: Column, cls: CharacterClass) -> Column:
+    """The place of each character in the alphabet, from 1; 0 within fillers. The value is cut once, so that no step walks through it."""
+    for pattern, length in FILLERS.items():
+        value = F.regexp_replace(value, pattern, " " * length)
+    return F.transform(F.filter(F.split(value, ""), lambda x: x != ""), lambda x: F.call_function("instr", F.lit(cls.alphabet), x))
+
+
 def _suspicious(value: Column, cls: CharacterClass) -> Column:
-    """Whether some window of the candidate reaches the threshold, by incremental counts."""
+    """Whether some window of the candidate reaches the threshold, by incremental counts: a step changes two of them."""
     width, table = cls.window, F.array(*[F.lit(c_log_c(c)).cast("long") for c in range(cls.window + 1)])
-    index = lambda at: F.call_function("instr", F.lit(cls.alphabet), F.substr(value, at, F.lit(1)))
+    # Each character with the one that leaves the window as it comes in; -1 while the window fills.
+    late = lambda codes: F.concat(F.array_repeat(F.lit(-1), width), F.slice(codes, 1, F.greatest(F.size(codes) - width, F.lit(0))))
+    steps = lambda codes: F.slice(F.arrays_zip(codes.alias("into"), late(codes).alias("outof")), 1, F.size(codes))
     zero = F.struct(
         F.array_repeat(F.lit(0), len(cls.alphabet)).alias("counts"),
+        F.lit(0).alias("filled"),
+        F.lit(0).alias("fillers"),
         F.lit(0).cast("long").alias("sum"),
         F.lit(2**62).cast("long").alias("least"),
     )
 
     def step(state: Column, at: Column) -> Column:
-        into = index(at)
-        outof = F.when(at > width, index(at - width)).otherwise(F.lit(0))
-        bump = lambda c, i: c + F.when(i + 1 == into, 1).otherwise(0) - F.when(i + 1 == outof, 1).otherwise(0)
-        before_in = F.element_at(state["counts"], into)
-        before_out = F.element_at(state["counts"], F.greatest(outof, F.lit(1)))
-        rise = F.element_at(table, before_in + 2) - F.element_at(table, before_in + 1)
+        into, outof = at["into"], at["outof"]
+        bump = lambda c, i: c + (i + 1 == into).cast("int") - (i + 1 == outof).cast("int")
+        of = lambda c: F.element_at(state["counts"], F.greatest(c, F.lit(1)))
         # The character is taken out first; when it is the one that comes in, nothing changes.
-        change = F.when(outof == 0, rise).when(outof == into, F.lit(0)).otherwise(rise + F.element_at(table, before_out) - F.element_at(table, before_out + 1))
-        now = state["sum"] + change
-        least = F.when(at >= width, F.least(state["least"], now)).otherwise(state["least"])
-        return F.struct(F.transform(state["counts"], bump).alias("counts"), now.cast("long").alias("sum"), least.alias("least"))
-
-    places = F.sequence(F.lit(1), F.char_length(value))
-    return F.aggregate(places, zero, step, lambda s: s["least"] <= F.lit(least_sum(cls)))
+        rise = F.when(into > 0, F.element_at(table, of(into) + 2) - F.element_at(table, of(into) + 1)).otherwise(F.lit(0).cast("long"))
+        fall = F.when(outof > 0, F.element_at(table, of(outof)) - F.element_at(table, of(outof) + 1)).otherwise(F.lit(0).cast("long"))
+        now = F.when(into == outof, state["sum"]).otherwise(state["sum"] + rise + fall)
+        fillers = state["fillers"] + (into == 0).cast("int") - (outof == 0).cast("int")
+        filled = F.least(state["filled"] + 1, F.lit(width))
+        least = F.when((filled == width) & (fillers == 0), F.least(state["least"], now)).otherwise(state["least"])
+        counts = F.when(into == outof, state["counts"]).otherwise(F.transform(state["counts"], bump))
+        return F.struct(counts.alias("counts"), filled.alias("filled"), fillers.alias("fillers"), now.alias("sum"), least.alias("least"))
+
+    return F.aggregate(_let(_codes(value, cls), steps), zero, step, lambda s: s["least"] <= F.lit(least_sum(cls)))
 
 
 def entropy_spans(text: Column) -> Column:
