@@ -36,7 +36,10 @@ BIG_GROUPS = 1_000
 
 def normalised(text: Column) -> Column:
     """The text without white space; null counts as empty."""
-    return F.translate(F.coalesce(text, F.lit("")), WHITE_SPACE, "")
+    out = F.coalesce(text, F.lit(""))
+    for char in WHITE_SPACE:
+        out = F.replace(out, F.lit(char), F.lit(""))  # several times as fast as translate
+    return out
 
 
 def digest_of(text: Column) -> Column:
