@@ -82,7 +82,7 @@ def community_name(x: Column) -> Column:
 
 
 def split_values(x: Column, sep: str = ";") -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), sep), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), sep), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def as_int(x: Column, default: int = 0) -> Column:

@@ -106,3 +106,33 @@ def bootstrap_gate(cells: list[tuple[int, int, int, int]], draws: int = 5000, se
     safe = lambda a, b: np.divide(a, b, out=np.zeros_like(a), where=b > 0)
     metrics = {"accuracy": safe(tp + tn, tp + tn + fp + fn), "precision": safe(tp, tp + fp), "recall": safe(tp, tp + fn), "f1": safe(2 * tp, 2 * tp + fp + fn)}
     return {k: (float(v.mean()), *map(float, np.percentile(v, [2.5, 97.5]))) for k, v in metrics.items()}
+
+
+def prediction_distribution(df: DataFrame, raters: list[str], codebook: list[str]) -> DataFrame:
+    """(rater, label, n, percent) over the whole codebook, labels that nobody gave too. One pass for all raters."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rater"), F.col(r).alias("label")) for r in raters])).alias("x")).select("x.*")
+    counts = long.groupBy("rater", "label").agg(F.count(F.lit(1)).alias("n"))
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    grid = df.sparkSession.createDataFrame([(r, c) for r in raters for c in codebook], "rater string, label string").join(F.broadcast(total), F.lit(True))
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    return grid.join(counts, ["rater", "label"], "left").select("rater", "label", n.alias("n"), (n * 100 / F.col("total")).alias("percent"))
+
+
+def accuracy_by(df: DataFrame, by: str, fields: dict[str, str]) -> DataFrame:
+    """(by, field, n, hits, accuracy) of each predicted field against its truth. One pass for all fields."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(p).alias("field"), (F.col(p) == F.col(t)).alias("hit")) for p, t in fields.items()])).alias("x")
+    return df.select(by, pairs).groupBy(by, F.col("x.field").alias("field")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x.hit")).alias("hits"), F.avg(F.col("x.hit").cast("double")).alias("accuracy"))
+
+
+def disagreements(df: DataFrame, truth: str, pred: str) -> DataFrame:
+    """The rows whose labels differ, case and outer blanks aside."""
+    same = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    return df.where(same(truth) != same(pred))
+
+
+def baselines(c: DataFrame) -> DataFrame:
+    """Accuracy and F1 of always saying yes and always saying no, from counts tp, fn, fp, tn."""
+    p, n = F.col("tp") + F.col("fn"), F.col("tp") + F.col("fn") + F.col("fp") + F.col("tn")
+    yes = F.struct(F.lit("always_yes").alias("baseline"), (p / n).alias("accuracy"), (2 * p / (n + p)).alias("f1"))
+    no = F.struct(F.lit("always_no").alias("baseline"), ((n - p) / n).alias("accuracy"), F.lit(0.0).alias("f1"))
+    return c.select(F.explode(F.array(yes, no)).alias("x")).select("x.*")

@@ -337,3 +337,5 @@ def _by_day(spark: SparkSession, sf: str) -> DataFrame:
 def _late(spark: SparkSession, sf: str) -> DataFrame:
     posts = parquet(spark, sf, "orders").withColumnRenamed("o_orderkey", "l_orderkey")
     return incremental.eligible_comments(parquet(spark, sf, "lineitem"), posts, "l_orderkey", "o_orderdate", "1995-01-01", "1996-01-01").select("l_orderkey", "l_linenumber")
+
+from textloom.plans import extended  # noqa: E402, F401  registers its queries with those above
