@@ -45,8 +45,7 @@ def gated(spark: SparkSession, sf: str) -> DataFrame:
     return comments(spark, sf).where("quality IS NOT NULL").withColumns({"gate": gate("quality", 1), "pred": gate("toxic", 0)})
 
 
-def worded(df: DataFrame, stop_words: tuple[str, ...] = S.STOP_WORDS) -> DataFrame:
-    """Queries with SQL have its short list; the others have SF-5's."""
+def worded(df: DataFrame, stop_words: tuple[str, ...] = S.SF5_STOP_WORDS) -> DataFrame:
     return df.withColumn("words", S.content_tokens(F.col("body"), stop_words)).drop("body")
 
 
@@ -88,7 +87,7 @@ _E = "coalesce(body,'')"
 for _entity, _char in S.ENTITIES.items():
     _E = f"replace({_E}, '{_entity}', '{_char.replace(chr(39), chr(39) * 2)}')"
 _NORM = rf"""replace(replace(replace(lower(regexp_replace(regexp_replace(translate({_E}, '‘’“”', '''''""'), 'https?://\S+|www\.\S+', ' ', 'g'), '(^|[^A-Za-z0-9_])/?[ru]/[A-Za-z0-9_]+', '\1 ', 'g')), 'can''t', 'cannot'), 'won''t', 'will not'), 'n''t', ' not')"""
-_WORDS = f"list_filter(regexp_extract_all({_NORM}, '[a-z0-9]+(?:''[a-z]+)?'), lambda t: length(t) > 1 AND t NOT IN ({', '.join(repr(w) for w in S.STOP_WORDS)}))"
+_WORDS = f"list_filter(regexp_extract_all({_NORM}, '[a-z0-9]+(?:''[a-z]+)?'), lambda t: length(t) > 1 AND t NOT IN ({', '.join(repr(w) for w in S.SF5_STOP_WORDS)}))"
 COMMENTS = "comments AS (SELECT d.doc_id, d.lang AS industry, d.source AS subreddit, d.doc_id // 5 AS post_id, coalesce(d.text, '') AS body, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))"
 GATED = COMMENTS + ", gated AS (SELECT *, CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END AS gate, CASE WHEN toxic = 0 THEN 'yes' ELSE 'no' END AS pred FROM comments WHERE quality IS NOT NULL)"
 WORDED = GATED + f", worded AS (SELECT doc_id, industry, gate, {_WORDS} AS words FROM gated)"
@@ -148,13 +147,13 @@ def _one_vs_rest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("q05_collocations")
 def _collocations(spark: SparkSession, sf: str) -> DataFrame:
-    w = worded(gated(spark, sf), S.SF5_STOP_WORDS)
+    w = worded(gated(spark, sf))
     return text.collocations(w.where("gate = 'yes'"), "words", text.keyword_candidates(w, "words", "gate"))
 
 
 @query("q06_threshold_jaccard")
 def _jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    return text.threshold_jaccard(worded(gated(spark, sf), S.SF5_STOP_WORDS), "words", "gate", [5, 10, 20], 50)
+    return text.threshold_jaccard(worded(gated(spark, sf)), "words", "gate", [5, 10, 20], 50)
 
 
 @query("q07_kwic")
@@ -251,7 +250,7 @@ def _crosswalk(spark: SparkSession, sf: str) -> DataFrame:
     return topics.crosswalk(assignments(spark, sf))
 
 
-for _name, _f in {"q25_topic_domination": lambda s, d: topics.domination(assignments(s, d), "post", "subreddit"), "q27_spread_entropy": lambda s, d: topics.spread_entropy(assignments(s, d), 4), "q34_ctfidf": lambda s, d: topics.class_tfidf(worded(comments(s, d), S.SF5_STOP_WORDS), "words", "industry", 12), "q36_representatives": lambda s, d: topics.representatives(assignments(s, d)).select("topic", "doc_id", "cosine", "rank")}.items():
+for _name, _f in {"q25_topic_domination": lambda s, d: topics.domination(assignments(s, d), "post", "subreddit"), "q27_spread_entropy": lambda s, d: topics.spread_entropy(assignments(s, d), 4), "q34_ctfidf": lambda s, d: topics.class_tfidf(worded(comments(s, d)), "words", "industry", 12), "q36_representatives": lambda s, d: topics.representatives(assignments(s, d)).select("topic", "doc_id", "cosine", "rank")}.items():
     query(_name)(_f)
 
 

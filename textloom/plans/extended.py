@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from textloom.functions import scalars as S
 from textloom.operators import contracts, corpus, evaluate, relational, robustness, rows, summaries, text, topics
-from textloom.plans.catalogue import GATED, STANCE, THREADS, TOPICS, WORDED, _keyed, _POSTS, _stats, assignments, comments, gated, query, ranked_threads, stance, thread_comments, threads, worded
+from textloom.plans.catalogue import _WORDS, COMMENTS, GATED, ORACLES, STANCE, THREADS, TOPICS, WORDED, _keyed, _POSTS, _stats, assignments, comments, gated, query, ranked_threads, stance, thread_comments, threads, worded
 from textloom.sources.tables import parquet
 
 # Fixed values of the views below.
@@ -416,3 +416,30 @@ def _analysis(spark: SparkSession, sf: str) -> DataFrame:
 def _top_themes(spark: SparkSession, sf: str) -> DataFrame:
     t = assignments(spark, sf).where("topic <> -1").join(F.broadcast(_themes(spark)), "topic", "left").select(F.coalesce("theme", F.lit("Unmapped")).alias("theme"), F.lit(1).alias("n"))
     return relational.top_n_and_rest(t, "theme", "n", 2, "Other")
+
+
+# SQL of queries that stand in the catalogue.
+
+ORACLES["q06_threshold_jaccard"] = f"""WITH {WORDED}, {_keyed(1, 5, 3)},
+    a AS (SELECT term FROM k1 WHERE dp + dn >= 5 AND greatest(dp, dn) >= 3 ORDER BY z DESC, term LIMIT 50), b AS (SELECT term FROM k1 WHERE dp + dn >= 10 AND greatest(dp, dn) >= 5 ORDER BY z DESC, term LIMIT 50), c AS (SELECT term FROM k1 WHERE dp + dn >= 20 AND greatest(dp, dn) >= 10 ORDER BY z DESC, term LIMIT 50),
+    x AS (SELECT 5 AS threshold, term FROM a UNION ALL SELECT 10, term FROM b UNION ALL SELECT 20, term FROM c)
+    SELECT threshold::INT AS threshold, round(sum(CASE WHEN term IN (SELECT term FROM a) THEN 1 ELSE 0 END) / ((SELECT count(*) FROM a) + sum(CASE WHEN term IN (SELECT term FROM a) THEN 0 ELSE 1 END))::DOUBLE, 6) AS jaccard FROM x GROUP BY 1"""
+ORACLES["q07_kwic"] = f"""WITH c AS (SELECT doc_id, {_CLEAN} AS c FROM documents), h AS (SELECT *, regexp_extract(c, '[Ll]icensed?') AS hit, strpos(c, regexp_extract(c, '[Ll]icensed?')) AS pos FROM c WHERE regexp_matches(c, '[Ll]icensed?'))
+    SELECT doc_id, substr(c, greatest(pos - 120, 1), least(pos - 1, 120)) AS "left", hit, substr(c, pos + length(hit), 120) AS "right" FROM h"""
+ORACLES["q25_topic_domination"] = f"""WITH {TOPICS}, p AS (SELECT topic, post, count(*) AS n, row_number() OVER (PARTITION BY topic ORDER BY count(*) DESC, post) AS r FROM t GROUP BY 1, 2),
+    a AS (SELECT topic, CAST(sum(n) AS BIGINT) AS n, count(*) AS posts, max(n) AS largest_post, CAST(sum(CASE WHEN r <= 3 THEN n END) AS BIGINT) AS top3 FROM p GROUP BY 1), s AS (SELECT topic, count(*) AS subreddits, max(n) AS largest_subreddit FROM (SELECT topic, subreddit, count(*) AS n FROM t GROUP BY 1, 2) GROUP BY 1),
+    j AS (SELECT a.*, subreddits, largest_subreddit, round(largest_post / n::DOUBLE, 4) AS post_share, round(top3 / n::DOUBLE, 4) AS top3_share, round(largest_subreddit / n::DOUBLE, 4) AS subreddit_share FROM a JOIN s USING (topic))
+    SELECT *, post_share >= 0.4 OR top3_share >= 0.6 OR subreddit_share >= 0.8 AS flagged FROM j"""
+ORACLES["q27_spread_entropy"] = f"""WITH {TOPICS}, c AS (SELECT topic, industry, count(*) AS n FROM t GROUP BY 1, 2), m AS (SELECT *, n / sum(CASE WHEN topic <> -1 THEN n END) OVER (PARTITION BY industry)::DOUBLE AS p FROM c), q AS (SELECT *, p / sum(p) OVER (PARTITION BY topic) AS q FROM m)
+    SELECT topic, round(-sum(CASE WHEN q > 0 THEN q * ln(q) ELSE 0 END) / ln(4.0::DOUBLE), 6) AS entropy, CAST(sum(CASE WHEN n >= 10 THEN 1 ELSE 0 END) AS BIGINT) AS groups_n, CAST(sum(CASE WHEN p >= 0.005 THEN 1 ELSE 0 END) AS BIGINT) AS groups_share FROM q GROUP BY 1"""
+ORACLES["q34_ctfidf"] = f"""WITH {COMMENTS}, w AS (SELECT industry, unnest({_WORDS}) AS term FROM comments), c AS (SELECT industry, term, count(*) AS n FROM w GROUP BY 1, 2),
+    f AS (SELECT *, sum(n) OVER (PARTITION BY term) AS f, count(*) OVER (PARTITION BY term) AS df, sum(n) OVER (PARTITION BY industry) AS total FROM c), a AS (SELECT avg(t) AS a, count(*) AS classes FROM (SELECT sum(n) AS t FROM c GROUP BY industry)),
+    s AS (SELECT industry, term, n / total::DOUBLE * ln(1 + a / f::DOUBLE) AS score FROM f, a WHERE df <= greatest(classes * 0.8, 1.0)), r AS (SELECT *, row_number() OVER (PARTITION BY industry ORDER BY score DESC, term) AS rank FROM s)
+    SELECT industry, term, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 12"""
+ORACLES["q36_representatives"] = f"""WITH {TOPICS}, p AS (SELECT doc_id, topic, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM t JOIN embeddings ON doc_id = vec_id WHERE topic <> -1), m AS (SELECT topic, i, avg(x) AS m FROM p GROUP BY 1, 2),
+    d AS (SELECT topic, doc_id, round(sum(x * m) / sqrt(sum(x * x) * sum(m * m)), 6) AS cosine FROM p JOIN m USING (topic, i) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY cosine DESC, doc_id) AS rank FROM d)
+    SELECT topic, doc_id, cosine, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10"""
+ORACLES["q37_multiclass_metrics"] = f"""WITH {STANCE}, c AS (SELECT lower(attitude) AS t, lower(rater_a) AS p, count(*) AS n FROM stance GROUP BY 1, 2), l AS (SELECT t AS label FROM c UNION SELECT p FROM c),
+    k AS (SELECT label, coalesce((SELECT sum(n) FROM c WHERE t = label), 0) AS s, coalesce((SELECT sum(n) FROM c WHERE p = label), 0) AS g, coalesce((SELECT sum(n) FROM c WHERE t = label AND p = label), 0) AS h FROM l),
+    v AS (SELECT *, CASE WHEN g = 0 THEN 0 ELSE h / g::DOUBLE END AS pr, CASE WHEN s = 0 THEN 0 ELSE h / s::DOUBLE END AS re, CASE WHEN g + s = 0 THEN 0 ELSE 2 * h / (g + s)::DOUBLE END AS f1, s / sum(s) OVER ()::DOUBLE AS w FROM k)
+    SELECT CAST(sum(s) AS BIGINT) AS n, CAST(sum(h) AS BIGINT) AS exact, round(sum(h) / sum(s)::DOUBLE, 6) AS accuracy, round(avg(pr), 6) AS macro_precision, round(avg(re), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1, round(sum(pr * w), 6) AS weighted_precision, round(sum(re * w), 6) AS weighted_recall, round(sum(f1 * w), 6) AS weighted_f1, CAST(sum(CASE WHEN s < 5 THEN 1 ELSE 0 END) AS BIGINT) AS low_support FROM v"""
