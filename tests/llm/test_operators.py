@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -212,6 +213,54 @@ def test_vectors(spark):
     assert {r.query_id for r in got} == {0, 100, 200} and hits >= 27
 
 
+def test_vectors_with_repeats_equal_brute_force(spark):
+    """All lists probed: exact. Ids and vectors repeat, and vectors tie."""
+    rng = np.random.default_rng(8)
+    v = rng.integers(-2, 3, size=(120, 6)).astype(float)
+    rows = [(int(i), x.tolist()) for i, x in enumerate(v) if x.any()]
+    rows += [(100, v[7].tolist())] * 3 + [rows[0]] * 4 + [(5, v[5].tolist())] * 3 + [(None, v[1].tolist()), (200, None), (300, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (400, [float("inf")] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("list", "block", "part", "v")})
+    got: dict = {}
+    for r in vector_search.search(df, F.col("vec_id") % 100 == 0, probes=10**6).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    distinct = {(i, tuple(x)) for i, x in rows if i is not None and x and None not in x and np.isfinite(x).all() and any(x)}
+    want: dict = {}
+    for q, x in distinct:
+        if q % 100 == 0:
+            near = sorted((math.sqrt(sum((a - b) ** 2 for a, b in zip(x, y, strict=True))), i) for i, y in distinct if i != q)[:10]
+            want.setdefault(q, []).extend((k + 1, i, s) for k, (s, i) in enumerate(near))
+    assert {q: sorted(x) for q, x in got.items()} == {q: [(a, b, pytest.approx(s)) for a, b, s in sorted(x)] for q, x in want.items()}
+    assert vector_search.search(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_packing_counts_added_tokens_and_uses_few_sequences(spark, empty):
+    r = random.Random(1)
+    bits = ["<|endoftext|>", " ", "a", "<|", "|>", "é", "\n", "hello world", "<|endoftext|", "123", "'s", "🙂"]
+    rows = [(i, "".join(r.choice(bits) for _ in range(r.randrange(12)))) for i in range(300)] + [(7, "<|endoftext|>"), (None, "x"), (None, None)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("length", "bucket", "rank")})
+    packed = best_fit_packing.pack(df, path, capacity=64).collect()
+    t = Tokenizer.from_file(path)
+    want = Counter((i, tuple([*t.encode(x or "", add_special_tokens=False).ids, 0])) for i, x in rows)
+    assert all(p.piece == 0 for p in packed) and Counter((p.doc_id, tuple(np.frombuffer(p.ids, "<u4").tolist())) for p in packed) == want
+    total = sum(p.length for p in packed)
+    assert -(-total // 64) <= len({p.sequence_id for p in packed}) <= -(-total // 64) + 1
+    assert best_fit_packing.pack(empty, path).count() == 0
+
+
+def simhash_by_hand(text):
+    """Bit by bit, from the definition."""
+    words = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints_equal_the_definition():
+    made = [t for _, t, _ in texts()] + ["A b", "É É é", "one", " \t\n", "x " * 500, "a\x0bb\x0cc d\u00a0e f"]
+    assert [simhash.fingerprint(t) for t in made] == [simhash_by_hand(t) for t in made]
+
+
 def test_licences(spark, empty):
     notices = [*license_scan.TEMPLATES.items()]
     text_of = {name: notice for name, notice in notices}

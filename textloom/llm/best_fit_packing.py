@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import storage
-from .tokens import load_ranks
+from .tokens import load_added, load_ranks
 
 CAPACITY = 2048
 END_ID = 0
@@ -34,8 +34,8 @@ END_ID = 0
 
 @cache
 def _encoding(path: str) -> tiktoken.Encoding:
-    """The vocabulary in a merger that gives the same ids several times as fast as the library of the .json file."""
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(path), special_tokens={})
+    """The vocabulary in a merger that gives the same ids several times as fast as the library of the .json file; its added tokens count as such wherever a text holds them."""
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(path), special_tokens=load_added(path))
 
 
 def piece_bounds(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -52,7 +52,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.asarray([*encoding.encode_ordinary(text.as_py() or ""), end_id], "<u4").tobytes()
+                ids = np.asarray([*encoding.encode(text.as_py() or "", allowed_special="all"), end_id], "<u4").tobytes()
                 for k, (at, n) in enumerate(piece_bounds(len(ids) // 4, capacity)):
                     piece = ids[4 * at : 4 * (at + n)]
                     rows.append((doc_id, k, at, n, zlib.crc32(piece), piece))

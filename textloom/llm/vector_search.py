@@ -14,13 +14,15 @@ for each query.
 
 Defined results: vectors that are null, all zero, of another length than most of the table's, or hold a
 null or a non-finite component take no part, nor do rows with a null id. Ties go to the smaller id. Rows
-that repeat an id count once for each row. Fewer than k candidates give as many rows. An empty table
+that repeat both id and vector count once; an id that stands with several vectors is a query with each of them, and has no neighbour
+of its own id. Fewer than k candidates give as many rows. An empty table
 gives an empty table. Columns other than the id and the vector are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -159,29 +161,31 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, probes: int | None
             return
         ids, v = _matrix(rows)
         order = np.argsort(ids, kind="stable")
-        ids, v = ids[order], v[order]
+        ids, v = _once(ids[order], v[order])  # repeated rows are in one block, since their lists and ids are equal
         turned = np.ascontiguousarray(v @ turn)
         qids, qv = _matrix(queries)
-        for qid, q, tq in zip(qids, qv, qv @ turn, strict=True):
-            found, _ = scan_block(turned, tq, k + 1, math.inf)  # one more: the query itself may be in the block
+        qids, qv = _once(*(x[np.argsort(qids, kind="stable")] for x in (qids, qv)))
+        own = np.searchsorted(ids, qids, "right") - np.searchsorted(ids, qids)
+        for qid, q, tq, n in zip(qids, qv, qv @ turn, own.tolist(), strict=True):
+            found, _ = scan_block(turned, tq, k + n, math.inf)  # rows of the query's own id don't count
             found = found[ids[found] != qid]
             score = np.sqrt(((v[found] - q) ** 2).sum(axis=1))
             best = np.lexsort((ids[found], score))[:k]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), qid)), pa.array(ids[found][best]), pa.array(score[best])], ["query_id", "vec_id", "score"])
+            key = zlib.crc32(q.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), qid)), pa.array(np.full(len(best), key)), pa.array(ids[found][best]), pa.array(score[best])], ["query_id", "query_key", "vec_id", "score"])
 
     # A block holds about BLOCK_ROWS vectors; its queries grow with the table, and are read as blocks of their own.
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(_parts(asked, index, probes))))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(_parts(index.rows.where(is_query).count(), index, probes))))
     parts = asked.select(F.col("list").alias("l"), F.col("block").alias("b"), F.col("part").alias("p")).distinct()
     dealt = members.join(parts, (F.col("list") == F.col("l")) & (F.col("block") == F.col("b"))).select("list", "block", F.col("p").alias("part"), "vec_id", "v")
     asked = asked.select("list", "block", "part", "vec_id", "v")
-    found = asked.groupBy("list", "block", "part").cogroup(dealt.groupBy("list", "block", "part")).applyInArrow(_tables(scan), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    found = asked.groupBy("list", "block", "part").cogroup(dealt.groupBy("list", "block", "part")).applyInArrow(_tables(scan), "query_id long, query_key long, vec_id long, score double")
+    best = Window.partitionBy("query_id", "query_key").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _parts(asked: DataFrame, index: InvertedLists, probes: int) -> int:
+def _parts(queries: int, index: InvertedLists, probes: int) -> int:
     """Over how many tasks the queries of one block are dealt, so that each has some thousands."""
-    queries = index.rows.count() // 100 + 1
     return max(1, math.ceil(queries * probes / len(index.centroids) / 20_000))
 
 
@@ -193,10 +197,20 @@ def _matrix(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     return ids, v.flatten().to_numpy().reshape(len(ids), -1)
 
 
+def _once(ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted by id without repeats of both id and vector."""
+    keep = np.ones(len(ids), bool)
+    for s, e in zip(*(lambda at: (np.concatenate([[0], at]), np.concatenate([at, [len(ids)]])))(np.flatnonzero(ids[1:] != ids[:-1]) + 1), strict=True):
+        if e - s > 1:
+            keep[s:e] = False
+            keep[s + np.unique(v[s:e], axis=0, return_index=True)[1]] = True
+    return ids[keep], v[keep]
+
+
 def _tables(scan):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = list(scan(iter(left.to_batches()), iter(right.to_batches())))
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+        schema = pa.schema([("query_id", pa.int64()), ("query_key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         return pa.Table.from_batches(out, schema) if out else schema.empty_table()
 
     return run
