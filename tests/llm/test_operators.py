@@ -192,6 +192,20 @@ def test_lines(spark):
     assert {x.doc_id: x.text for x in kept}[3] == "w1"
 
 
+@pytest.mark.parametrize("t", [0.5, 0.6, 0.9])
+def test_lines_at_other_thresholds(spark, t):
+    """Small sets, repeated rows and rows that share an id, too."""
+    r = random.Random(int(t * 10))
+    line = lambda: " ".join(r.choice("abcdefgh") * r.randint(1, 2) for _ in range(r.randrange(7)))
+    rows = [(i, "\n".join(line() for _ in range(8))) for i in range(25)] + [(30, "a b c\na b d\na b"), (31, "zz\nyy zz"), (31, "vv ww"), (40, "q w e r\nq w e"), (40, "q w e r\nq w e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("line", "d1", "digest", "word", "size")})
+    got = Counter((x.doc_id, x.line, x.matched) for x in line_dedup.line_matches(df, t).collect())
+    lines = [(i, k, set(one.split())) for i, text in rows for k, one in enumerate(text.split("\n"))]
+    # The lines (31, 0) of two rows have one place: the one of the smaller hash goes first, and they share no word.
+    want = Counter((i, k, any(bool(s) and (j, m) < (i, k) and len(s & o) >= t * len(s | o) - 1e-9 for j, m, o in lines)) for i, k, s in lines)
+    assert got == want
+
+
 def test_lines_empty(empty):
     assert line_dedup.line_duplicates(empty).count() == 0
 

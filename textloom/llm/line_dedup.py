@@ -8,7 +8,8 @@ the first n - ceil(t n) + 1 words (prefix filter), have t n <= m (length filter)
 what follows the common word (positional filter). A posting also carries 128 parity bits of its set;
 sets that differ by d words differ by at most d of them, which turns most other pairs away.
 
-Equal sets collapse before the join. Words that occur once can't be shared and give no posting. What a
+Equal sets collapse before the join: lines are first grouped by two digests of their sets alone, and only the
+first line of each set yields postings, in a second pass over the texts. Words that occur once can't be shared and give no posting. What a
 common word yields is the nearest earlier candidate of each set, not the pairs. Its words are fetched
 and compared. Where that fails and a set has other candidates, the postings of its words go through the
 join once more, now with their sets' words, and every candidate is compared until one matches; so no
@@ -33,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import storage
+from .exact_dedup import Filter
 
 SIMILARITY = 0.8
 #: Buckets of the table of frequencies, a fixed size.
@@ -108,19 +110,17 @@ def word_frequencies(texts: DataFrame) -> np.ndarray:
     return np.minimum(out, 2**31 - 1).astype(np.int32)
 
 
-def _line_table(data: bytes, n_lines: int, frequency: np.ndarray, t: float) -> dict[str, np.ndarray | pa.Array]:
-    """A row for each line: size, two digests, parity bits, the prefix and how many words of it are left out in front."""
+def _line_table(data: bytes, n_lines: int, frequency: np.ndarray, t: float, whole: bool) -> dict[str, np.ndarray | pa.Array]:
+    """A row for each line: size and two digests; whole: also parity bits, the prefix and how many words of it are left out in front."""
     hashes, line = _words(data)
-    often = frequency[(hashes & _U(BUCKETS - 1)).astype(np.int64)]
-    order = np.lexsort((hashes, often, line))
+    often = frequency[(hashes & _U(BUCKETS - 1)).astype(np.int64)] if whole else hashes
+    order = np.lexsort((hashes, often, line) if whole else (hashes, line))
     hashes, often, line = hashes[order], often[order], line[order]
     new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])])[: len(hashes)]
     hashes, often, line = hashes[new], often[new], line[new]
     size = np.bincount(line, minlength=n_lines)
     full = np.flatnonzero(size)
     at = np.concatenate([[0], np.cumsum(size)])[:-1]
-    bit = _mix(hashes, 3) >> _U(57)
-    one = _U(1) << (bit & _U(63))
 
     def by_line(ufunc: np.ufunc, values: np.ndarray) -> np.ndarray:
         out = np.zeros(n_lines, np.uint64)
@@ -128,7 +128,14 @@ def _line_table(data: bytes, n_lines: int, frequency: np.ndarray, t: float) -> d
             out[full] = ufunc.reduceat(values, at[full])
         return out.view(np.int64)
 
-    first = np.where(size > 3, size - np.ceil(t * size - 1e-9).astype(np.int64) + 1, 0)  # smaller sets match only equal ones
+    out = {"size": size.astype(np.int32), "d1": by_line(np.add, _mix(hashes, 1)), "d2": by_line(np.add, _mix(hashes, 2))}
+    if not whole:
+        return out
+    bit = _mix(hashes, 3) >> _U(57)
+    one = _U(1) << (bit & _U(63))
+    # A set of n words matches none but equal ones where neither a smaller set of n - 1 words nor one larger by a word could reach t.
+    first = np.where(size > 0, size - np.ceil(t * size - 1e-9).astype(np.int64) + 1, 0)
+    first = np.where(size >= t * (size + 1) - 1e-9, first, 0)
     alone = np.zeros(n_lines, np.int64)
     if len(full):
         alone[full] = np.add.reduceat((often <= 1).astype(np.int64), at[full])
@@ -137,17 +144,17 @@ def _line_table(data: bytes, n_lines: int, frequency: np.ndarray, t: float) -> d
     offsets = np.concatenate([[0], np.cumsum(held)])
     places = np.repeat(at + skip - offsets[:-1], held) + np.arange(offsets[-1])
     prefix = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes[places].view(np.int64)))
-    return {
-        "size": size.astype(np.int32), "d1": by_line(np.add, _mix(hashes, 1)), "d2": by_line(np.add, _mix(hashes, 2)),
-        "s1": by_line(np.bitwise_xor, np.where(bit < 64, one, _U(0))), "s2": by_line(np.bitwise_xor, np.where(bit < 64, _U(0), one)),
-        "skip": skip.astype(np.int32), "prefix": prefix,
-    }
+    parity = {"s1": by_line(np.bitwise_xor, np.where(bit < 64, one, _U(0))), "s2": by_line(np.bitwise_xor, np.where(bit < 64, _U(0), one))}
+    return out | parity | {"skip": skip.astype(np.int32), "prefix": prefix}
 
 
-_LINES = "doc_id long, line int, size int, d1 long, d2 long, s1 long, s2 long, skip int, prefix array<long>"
+_LINES = "doc_id long, line int, size int, d1 long, d2 long"
+_SETS = _LINES + ", s1 long, s2 long, skip int, prefix array<long>"
 
 
-def _line_batches(shared, t: float):
+def _line_batches(shared, t: float, whole: bool):
+    """Rows of _LINES, or whole: of _SETS, for lines that have a prefix."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
@@ -156,8 +163,9 @@ def _line_batches(shared, t: float):
                 n = int(lines.sum())
                 doc = np.repeat(ids[first : first + len(held)], lines)
                 line = np.arange(n) - np.repeat(np.cumsum(lines) - lines, lines)
-                rows = {"doc_id": doc, "line": line.astype(np.int32)} | _line_table(b"\n".join(held), n, shared.value, t)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows.values()], [*rows])
+                rows = {"doc_id": doc, "line": line.astype(np.int32)} | _line_table(b"\n".join(held), n, shared.value, t, whole)
+                out = pa.RecordBatch.from_arrays([pa.array(x) for x in rows.values()], [*rows])
+                yield out.filter(pa.array(np.diff(rows["prefix"].offsets.to_numpy()) > 0)) if whole else out
 
     return run
 
@@ -252,10 +260,20 @@ def _candidate_batches(t: float, every: bool):
 
 
 def _postings(sets: DataFrame) -> DataFrame:
-    exploded = sets.select("at.doc_id", "at.line", "d1", "size", "s1", "s2", "skip", *[c for c in ("open",) if c in sets.columns], F.posexplode("prefix").alias("pos", "word"))
+    exploded = sets.select("doc_id", "line", "d1", "size", "s1", "s2", "skip", *[c for c in ("open",) if c in sets.columns], F.posexplode("prefix").alias("pos", "word"))
     return exploded.withColumn("place", F.col("pos") + F.col("skip")).drop("pos", "skip")
 
 
+def _firsts(rows: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
+    """The rows of the first line of each set. Only rows whose set may have several lines are shuffled."""
+    several = sets.where("lines > 1").select(F.col("d1").alias("digest"), "d2", "at.doc_id", "at.line")
+    split = Filter(several.select("digest"), several.count(), folder).split(rows.withColumnRenamed("d1", "digest"))
+    held = split.where("may_hold").join(several.select("digest", "d2", F.col("doc_id").alias("of"), F.col("line").alias("at")), ["digest", "d2"], "left")
+    held = held.where("of IS NULL OR (doc_id = of AND line = at)").dropDuplicates(["digest", "d2"])  # rows that repeat an id and a text
+    columns = ["doc_id", "line", "size", F.col("digest").alias("d1"), "s1", "s2", "skip", "prefix"]
+    return split.where("NOT may_hold").select(*columns).unionByName(held.select(*columns))
+
+
 def _pairs(postings: DataFrame, t: float, every: bool) -> DataFrame:
     return postings.repartition("word").sortWithinPartitions("word", "size").mapInArrow(_candidate_batches(t, every), _PAIRS)
 
@@ -292,13 +310,14 @@ def line_matches(docs: DataFrame, t: float = SIMILARITY, id_col: str = "doc_id",
     folder = storage.new_folder(spark, "line-dedup")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     shared = spark.sparkContext.broadcast(word_frequencies(texts))  # BUCKETS numbers
-    lines = storage.write_table(texts.mapInArrow(_line_batches(shared, t), _LINES), f"{folder}/lines")
-    same = [F.first(c).alias(c) for c in ("size", "s1", "s2", "skip", "prefix")]  # equal in all lines of a set
-    sets = lines.where("size > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count(F.lit(1)).alias("lines"), *same)
+    lines = storage.write_table(texts.mapInArrow(_line_batches(shared, t, False), _LINES), f"{folder}/lines")
+    sets = lines.where("size > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count(F.lit(1)).alias("lines"))
     sets = storage.write_table(sets, f"{folder}/sets")
     storage.release(spark)
+    firsts = storage.write_table(_firsts(texts.mapInArrow(_line_batches(shared, t, True), _SETS), sets, f"{folder}/filter"), f"{folder}/firsts")
+    storage.release(spark)
 
-    nearest = _pairs(_postings(sets), t, every=False).groupBy("doc", "line", "d1")
+    nearest = _pairs(_postings(firsts), t, every=False).groupBy("doc", "line", "d1")
     other = F.struct("score", "with_doc", "with_line", "with_d1")
     nearest = nearest.agg(F.min(other).alias("m"), (F.max("more") | (F.min("with_d1") != F.max("with_d1"))).alias("more"))
     nearest = storage.write_table(nearest.select("doc", "line", "d1", "m.with_doc", "m.with_line", "m.with_d1", "more"), f"{folder}/nearest")
@@ -308,8 +327,7 @@ def line_matches(docs: DataFrame, t: float = SIMILARITY, id_col: str = "doc_id",
     near = _earliest(tried)
     still = tried.where("NOT near AND more").select("doc", "line", "d1", F.lit(True).alias("open"))
     if not still.isEmpty():
-        named = sets.select("*", F.col("at.doc_id").alias("doc"), F.col("at.line").alias("line"))
-        marked = _postings(named.join(still, ["doc", "line", "d1"], "left").drop("doc", "line").withColumn("open", F.coalesce("open", F.lit(False))))
+        marked = _postings(firsts.join(still.withColumnRenamed("doc", "doc_id"), ["doc_id", "line", "d1"], "left").withColumn("open", F.coalesce("open", F.lit(False))))
         words = storage.write_table(marked.where("open").select("word").distinct(), f"{folder}/open-words")
         rest = storage.write_table(marked.join(words, "word", "left_semi"), f"{folder}/open-postings")
         rest = rest.join(_set_words(rest.select("doc_id", "line"), texts), ["doc_id", "line", "d1"])
