@@ -8,8 +8,8 @@ the first n - ceil(t n) + 1 words (prefix filter), have t n <= m (length filter)
 what follows the common word (positional filter). A posting also carries 128 parity bits of its set;
 sets that differ by d words differ by at most d of them, which turns most other pairs away.
 
-Equal sets collapse before the join: lines are first grouped by two digests of their sets alone, and only the
-first line of each set yields postings, in a second pass over the texts. Words that occur once can't be shared and give no posting. What a
+Equal sets collapse before the join: lines are grouped by two digests of their sets, without their words, and
+only the first line of each set yields postings. Words that occur once can't be shared and give no posting. What a
 common word yields is the nearest earlier candidate of each set, not the pairs. Its words are fetched
 and compared. Where that fails and a set has other candidates, the postings of its words go through the
 join once more, now with their sets' words, and every candidate is compared until one matches; so no
@@ -110,11 +110,11 @@ def word_frequencies(texts: DataFrame) -> np.ndarray:
     return np.minimum(out, 2**31 - 1).astype(np.int32)
 
 
-def _line_table(data: bytes, n_lines: int, frequency: np.ndarray, t: float, whole: bool) -> dict[str, np.ndarray | pa.Array]:
-    """A row for each line: size and two digests; whole: also parity bits, the prefix and how many words of it are left out in front."""
+def _line_table(data: bytes, n_lines: int, frequency: np.ndarray, t: float) -> dict[str, np.ndarray | pa.Array]:
+    """A row for each line: size, two digests, parity bits, the prefix and how many words of it are left out in front."""
     hashes, line = _words(data)
-    often = frequency[(hashes & _U(BUCKETS - 1)).astype(np.int64)] if whole else hashes
-    order = np.lexsort((hashes, often, line) if whole else (hashes, line))
+    often = frequency[(hashes & _U(BUCKETS - 1)).astype(np.int64)]
+    order = np.lexsort((hashes, often, line))
     hashes, often, line = hashes[order], often[order], line[order]
     new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])])[: len(hashes)]
     hashes, often, line = hashes[new], often[new], line[new]
@@ -129,8 +129,6 @@ def _line_table(data: bytes, n_lines: int, frequency: np.ndarray, t: float, whol
         return out.view(np.int64)
 
     out = {"size": size.astype(np.int32), "d1": by_line(np.add, _mix(hashes, 1)), "d2": by_line(np.add, _mix(hashes, 2))}
-    if not whole:
-        return out
     bit = _mix(hashes, 3) >> _U(57)
     one = _U(1) << (bit & _U(63))
     # A set of n words matches none but equal ones where neither a smaller set of n - 1 words nor one larger by a word could reach t.
@@ -148,13 +146,10 @@ def _line_table(data: bytes, n_lines: int, frequency: np.ndarray, t: float, whol
     return out | parity | {"skip": skip.astype(np.int32), "prefix": prefix}
 
 
-_LINES = "doc_id long, line int, size int, d1 long, d2 long"
-_SETS = _LINES + ", s1 long, s2 long, skip int, prefix array<long>"
+_LINES = "doc_id long, line int, size int, d1 long, d2 long, s1 long, s2 long, skip int, prefix array<long>"
 
 
-def _line_batches(shared, t: float, whole: bool):
-    """Rows of _LINES, or whole: of _SETS, for lines that have a prefix."""
-
+def _line_batches(shared, t: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
@@ -163,9 +158,8 @@ def _line_batches(shared, t: float, whole: bool):
                 n = int(lines.sum())
                 doc = np.repeat(ids[first : first + len(held)], lines)
                 line = np.arange(n) - np.repeat(np.cumsum(lines) - lines, lines)
-                rows = {"doc_id": doc, "line": line.astype(np.int32)} | _line_table(b"\n".join(held), n, shared.value, t, whole)
-                out = pa.RecordBatch.from_arrays([pa.array(x) for x in rows.values()], [*rows])
-                yield out.filter(pa.array(np.diff(rows["prefix"].offsets.to_numpy()) > 0)) if whole else out
+                rows = {"doc_id": doc, "line": line.astype(np.int32)} | _line_table(b"\n".join(held), n, shared.value, t)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows.values()], [*rows])
 
     return run
 
@@ -310,12 +304,11 @@ def line_matches(docs: DataFrame, t: float = SIMILARITY, id_col: str = "doc_id",
     folder = storage.new_folder(spark, "line-dedup")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     shared = spark.sparkContext.broadcast(word_frequencies(texts))  # BUCKETS numbers
-    lines = storage.write_table(texts.mapInArrow(_line_batches(shared, t, False), _LINES), f"{folder}/lines")
+    lines = storage.write_table(texts.mapInArrow(_line_batches(shared, t), _LINES), f"{folder}/lines")
     sets = lines.where("size > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count(F.lit(1)).alias("lines"))
     sets = storage.write_table(sets, f"{folder}/sets")
     storage.release(spark)
-    firsts = storage.write_table(_firsts(texts.mapInArrow(_line_batches(shared, t, True), _SETS), sets, f"{folder}/filter"), f"{folder}/firsts")
-    storage.release(spark)
+    firsts = _firsts(lines.where("size(prefix) > 0"), sets, f"{folder}/filter")
 
     nearest = _pairs(_postings(firsts), t, every=False).groupBy("doc", "line", "d1")
     other = F.struct("score", "with_doc", "with_line", "with_d1")
