@@ -10,7 +10,8 @@ from textloom.functions import scalars as S
 
 def term_stats(docs: DataFrame, words: str, by: list[str], n: int = 1) -> DataFrame:
     """(by..., term, f, df): occurrences, and documents that hold the term. One row a document; words is an array."""
-    grams = docs.select(*by, "doc_id", F.explode(S.ngrams(F.col(words), n)).alias("term"))
+    # The inner explode would filter by the size of the array first, and so cut each text into words twice.
+    grams = docs.select(*by, "doc_id", F.explode_outer(S.ngrams(F.col(words), n)).alias("term")).where("term IS NOT NULL")
     per_doc = grams.groupBy(*by, "doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
     return per_doc.groupBy(*by, "term").agg(F.sum("n").alias("f"), F.count(F.lit(1)).alias("df"))
 
@@ -93,16 +94,17 @@ def keyness_diagnostic(docs: DataFrame, words: str, gate: str, by: str, terms: D
 
 def threshold_jaccard(docs: DataFrame, words: str, gate: str, thresholds: list[int], k: int) -> DataFrame:
     """How far the top k terms at each threshold overlap with those at the first one. Terms are counted once."""
-    base = None
-    out = None
-    for t in thresholds:
-        top = top_terms(keyness(docs, words, gate, 1, t, max(3, t // 2)), k).select("term")
-        base = top if base is None else base
-        both = top.join(base, "term").agg(F.count(F.lit(1)).alias("both"))
-        either = top.union(base).distinct().agg(F.count(F.lit(1)).alias("either"))
-        row = both.crossJoin(either).select(F.lit(t).alias("threshold"), S.ratio(F.col("both"), F.col("either")).alias("jaccard"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    keyed = keyness(docs, words, gate, 1, min(thresholds), max(3, min(thresholds) // 2))
+    bound = len(thresholds) * k
+    order = Window.partitionBy("threshold").orderBy(F.desc("z"), "term")
+    # The terms of each threshold, k at most, from one count.
+    levels = F.array(*[F.when((F.col("dp") + F.col("dn") >= t) & (F.greatest("dp", "dn") >= max(3, t // 2)), F.lit(t)) for t in thresholds])
+    tops = keyed.select("term", "z", F.explode(F.filter(levels, lambda t: t.isNotNull())).alias("threshold")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+    tops = tops.select("threshold", "term").limit(bound)
+    sets = tops.groupBy("threshold").agg(F.collect_set("term").alias("terms"))
+    first = sets.where(F.col("threshold") == thresholds[0]).select(F.col("terms").alias("base"))
+    both = sets.join(F.broadcast(first), F.lit(True))  # one row
+    return both.select("threshold", S.ratio(F.size(F.array_intersect("terms", "base")), F.size(F.array_union("terms", "base"))).alias("jaccard"))
 
 
 def collocations(docs: DataFrame, words: str, keywords: DataFrame, window: int = 5, min_df: int = 5, most: int = 50) -> DataFrame:

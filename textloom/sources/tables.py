@@ -15,9 +15,9 @@ def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def string_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Every column as text, blanks as '', a byte order mark tolerated."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    df = spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', enforceSchema=True)
-    return df.na.fill("")
+    df = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)  # by the file's own header, whatever its order
+    names = {c.lstrip("\ufeff"): c for c in df.columns}
+    return df.select(*[(F.col(f"`{names[c]}`") if c in names else F.lit("")).alias(c) for c in columns]).na.fill("")
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType, strict: bool = False) -> DataFrame:
