@@ -163,3 +163,13 @@ def hinted(col: Column, patterns: dict[str, str]) -> tuple[Column, Column]:
     """How many patterns match, and their names joined by ';'."""
     hits = S.pattern_hits(col, patterns)
     return F.size(hits), F.array_join(hits, ";")
+
+
+def evidence_table(keyed: DataFrame, pairs: DataFrame, most: int = 100, near: int = 8) -> DataFrame:
+    """The `most` strongest terms by z over all lengths (term, n, dp, dn, z), with their `near` best collocates, and blank columns for the reader."""
+    top = keyed.orderBy(F.desc("z"), "term").limit(most)
+    nth = F.row_number().over(Window.partitionBy("keyword").orderBy(F.desc("log_dice"), "collocate"))
+    best = pairs.join(F.broadcast(top.select(F.col("term").alias("keyword"))), "keyword", "left_semi").withColumn("r", nth).where(F.col("r") <= near)  # `most` terms
+    listed = best.groupBy("keyword").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "collocate"))), lambda s: s["collocate"]), "; ").alias("collocates"))
+    out = top.join(listed, F.col("term") == F.col("keyword"), "left")
+    return out.select("term", "n", "dp", "dn", "z", F.coalesce("collocates", F.lit("")).alias("collocates"), *[F.lit("").alias(c) for c in ("category", "include", "note")])

@@ -90,6 +90,24 @@ def class_tfidf(docs: DataFrame, words: str, by: str, k: int, max_df: float = 0.
     return c.withColumn("rank", F.row_number().over(cls.orderBy(F.desc("score"), "term"))).where(F.col("rank") <= k).select(by, "term", "score", "rank")
 
 
+def topics_per_class(docs: DataFrame, words: str, topic: str, by: str, k: int = 10, max_df: float = 1.0) -> DataFrame:
+    """The k best c-TF-IDF terms of each topic within each class: (topic, class, term, score, rank)."""
+    own = docs.withColumn("_cell", F.struct(F.col(topic).alias("topic"), F.col(by).alias(by)))
+    return class_tfidf(own, words, "_cell", k, max_df).select("_cell.topic", f"_cell.{by}", "term", "score", "rank")
+
+
+def topic_summary(t: DataFrame, words: DataFrame, examples: DataFrame, k: int = 10) -> DataFrame:
+    """One row a topic: n, share, share inside, its terms in order, the flags of domination, its nearest documents.
+
+    words (topic, term, rank) and examples (topic, doc_id, rank) hold a few rows for each topic; a topic without any gets blanks.
+    """
+    listed = lambda df, c, out: df.where(F.col("rank") <= k).groupBy("topic").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(c).cast("string").alias("x")))), lambda s: s["x"]), "; ").alias(out))
+    inside = F.sum(F.when(F.col("topic") != -1, F.col("n"))).over(Window.partitionBy())
+    counted = domination(t, "post", "subreddit").withColumns({"share": F.col("n") / F.sum("n").over(Window.partitionBy()), "share_inside": F.when(F.col("topic") != -1, F.col("n") / inside)})
+    out = counted.join(listed(words, "term", "terms"), "topic", "left").join(listed(examples, "doc_id", "examples"), "topic", "left")
+    return out.select("topic", "n", "share", "share_inside", "posts", "subreddits", "flagged", F.coalesce("terms", F.lit("")).alias("terms"), F.coalesce("examples", F.lit("")).alias("examples"))
+
+
 def representatives(vectors: DataFrame, k: int = 10) -> DataFrame:
     """The k documents (doc_id, topic, v) nearest by cosine to their topic's mean."""
     parts = vectors.where("topic <> -1").select("doc_id", "topic", F.posexplode("v").alias("i", "x"))

@@ -45,3 +45,38 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) of the files under a path."""
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def completed(spark: SparkSession, path: str, schema: T.StructType, labels: str, status: str = "completion_status") -> DataFrame:
+    """JSON lines whose status is 'completed', the struct of labels flattened into columns."""
+    df = json_lines(spark, path, schema).where(F.lower(F.trim(status)) == "completed")
+    return df.select(*[c for c in df.columns if c != labels], f"{labels}.*")
+
+
+def by_header(df: DataFrame, wanted: dict[str, list[str]]) -> DataFrame:
+    """Columns of a sheet (a table whose header was read as names) by any of their spellings; case, blanks and signs don't count."""
+    plain = lambda x: "".join(ch for ch in x.lower() if ch.isalnum())
+    have = {}
+    for c in df.columns:
+        have.setdefault(plain(c), c)
+    found = {name: next((have[plain(s)] for s in [name, *spellings] if plain(s) in have), None) for name, spellings in wanted.items()}
+    if missing := sorted(n for n, c in found.items() if c is None):
+        raise ValueError(f"missing columns: {missing}")
+    return df.select(*[F.col(f"`{c}`").alias(n) for n, c in found.items()])
+
+
+def vectors(spark: SparkSession, path: str, id_col: str, vector: str) -> DataFrame:
+    """(id, vector) of a Parquet table of dense vectors, as array<float>; only these two columns are read."""
+    return spark.read.parquet(path).select(id_col, F.col(vector).cast("array<float>").alias(vector))
+
+
+def write_sheets(sheets: dict[str, DataFrame], folder: str) -> None:
+    """A workbook as a folder: one CSV folder a sheet."""
+    for name, df in sheets.items():
+        df.write.csv(f"{folder}/{name}", header=True, escape='"', mode="overwrite")
+
+
+def metric_rows(df: DataFrame) -> DataFrame:
+    """One row of metrics as rows (metric, value), values as text, blank for null, in the order of the columns."""
+    cells = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(c).alias("metric"), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias("value")) for i, c in enumerate(df.columns)])
+    return df.select(F.explode(cells).alias("c")).select("c.place", "c.metric", "c.value")
