@@ -61,17 +61,23 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_substring(docs, empty):
+def test_substring(docs, empty, monkeypatch):
     words = {i: WORDS.findall(t or "") for i, t, _ in texts()}
     first: dict = {}
     for i in sorted(words):
         for k in range(len(words[i]) - 49):
             first.setdefault(tuple(words[i][k : k + 50]), i)
-    for r in substring_dedup.remove_repeats(docs).collect():
-        w = words[r.doc_id]
-        gone = {p for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < r.doc_id for p in range(k, k + 50)}
-        assert (r.n_words, r.n_removed) == (len(w), len(gone))
-        assert r.kept_text == " ".join(x for p, x in enumerate(w) if p not in gone)
+    merges, compact = [], substring_dedup.FingerprintLog.compact
+    monkeypatch.setattr(substring_dedup.FingerprintLog, "compact", lambda log: merges.append(len(log.runs)) or compact(log))
+    for parts, fanout in ((2, 4), (3, 2)):  # the third batch meets a compacted run
+        found = substring_dedup.remove_repeats(docs, parts=parts, fanout=fanout).collect()
+        assert len(found) == docs.count()
+        for r in found:
+            w = words[r.doc_id]
+            gone = {p for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < r.doc_id for p in range(k, k + 50)}
+            assert (r.n_words, r.n_removed) == (len(w), len(gone))
+            assert r.kept_text == " ".join(x for p, x in enumerate(w) if p not in gone)
+    assert merges == [2, 2]
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 

@@ -238,14 +238,14 @@ def _result_batches(width: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, parts: int = 2, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, parts: int = 2, with_text: bool = True, id_col: str = "doc_id", text_col: str = "text", fanout: int = 4) -> DataFrame:
     """One row for each document: doc_id, n_words, n_removed, kept_sha256[, kept_text].
 
-    The documents enter the index in `parts` batches by range of the id.
+    The documents enter the index in `parts` batches by range of the id; `fanout` runs are compacted into one.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    log = FingerprintLog(spark, width=width)
+    log = FingerprintLog(spark, width=width, fanout=fanout)
     ranges = None
     for batch in id_ranges(texts.where("doc_id IS NOT NULL"), "doc_id", parts):
         part = log.append(texts, batch)
