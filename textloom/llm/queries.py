@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, bpe, exact_dedup, license_scan, line_dedup, secret_scan, simhash, substring_dedup, toxicity, vector_search
+from . import best_fit_packing, bpe, exact_dedup, license_scan, line_dedup, periodic_runs, quality, secret_scan, simhash, spelling, substring_dedup, toxicity, vector_search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,29 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = periodic_runs.find_runs(docs.select("doc_id", periodic_runs.with_repeated_words(F.col("text"), F.col("doc_id")).alias("text")))
+    best = found.withColumn("best", periodic_runs.longest_repeated(F.col("runs")))
+    line = lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
@@ -71,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_vector_search": op9_vector_search,
     "op10_line_dedup": op10_line_dedup,
+    "op11_quality": op11_quality,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 OP7_SQL = r"""
@@ -102,4 +128,71 @@ kept AS (
 SELECT doc_id, n_words, n_words - len(k) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
 """
 
-ORACLES: dict[str, str] = {"op3_substring_dedup": OP3_SQL, "op7_exact_dedup": OP7_SQL}
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the crc32 of a string of ASCII and U+00C0 to U+00FF, bit by bit: 256 in the list of bytes stands for one shift."""
+    shifts = ", ".join(["256"] * 8)
+    byte = f"lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c), {shifts}] ELSE [195, {shifts}, unicode(c) - 64, {shifts}] END"
+    bits = f"list_concat([4294967295], flatten(list_transform(string_split({text}, ''), {byte})))"
+    step = "lambda c, x: CASE WHEN x < 256 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+    return f"xor(list_reduce({bits}::BIGINT[], {step}), 4294967295)"
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE run AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS w
+  FROM documents),
+hashed AS (
+  SELECT w, times, {crc32_sql("id || ':' || w")} AS h
+  FROM (SELECT id, w, count(*) AS times FROM run WHERE length(w) >= 7 GROUP BY ALL)),
+words AS (
+  SELECT word, sum(times)::BIGINT AS n
+  FROM (SELECT CASE WHEN h % 31 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, times FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+gap AS (SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other FROM gap a JOIN gap b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT g.word, w.word FROM gap g JOIN words w ON g.rest = w.word
+  UNION SELECT w.word, g.word FROM gap g JOIN words w ON g.rest = w.word),
+ranked AS (
+  SELECT x.word, x.other, o.n AS other_n, row_number() OVER (PARTITION BY x.word ORDER BY o.n DESC, x.other) AS r, count(*) OVER (PARTITION BY x.word) AS n_near
+  FROM near x JOIN words o ON o.word = x.other),
+own AS (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.other_n >= 10 * w.n THEN r.other END AS form, CASE WHEN r.other_n >= 10 * w.n THEN r.other_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.word = w.word AND r.r = 1),
+chain AS (
+  SELECT word, word AS root, 0 AS hops FROM own
+  UNION ALL SELECT c.word, o.form, hops + 1 FROM chain c JOIN own o ON o.word = c.root WHERE o.form IS NOT NULL)
+SELECT own.word, form, root, n, n_near, form_n FROM own JOIN (SELECT word, arg_max(root, hops) AS root FROM chain GROUP BY word) c ON c.word = own.word
+"""
+
+OP13_SQL = rf"""
+WITH cut AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, {crc32_sql("coalesce(doc_id::VARCHAR, '')")} AS h
+  FROM documents),
+part AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) ELSE 0 END AS a FROM cut),
+d AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) ELSE w END AS w
+  FROM part),
+word AS (SELECT doc_id, n, unnest(w) AS x, unnest(range(n)) AS i FROM d),
+same AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM word a JOIN word b ON a.doc_id = b.doc_id AND a.x = b.x AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+stretch AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM same)
+  GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+run AS (SELECT doc_id, start, length, min(q) AS period FROM stretch GROUP BY doc_id, start, length),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+per AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines,
+         arg_min((start, length, period), (-(length / period), start, period)) AS best
+  FROM run GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best[1] AS start, best[2] AS length, best[3] AS period, 1000 * best[2] // best[3] AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM d LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op3_substring_dedup": OP3_SQL, "op7_exact_dedup": OP7_SQL, "op12_spelling_variants": OP12_SQL, "op13_periodic_runs": OP13_SQL}
