@@ -58,16 +58,24 @@ def test_tree_by_hand(spark):
 def test_clusters_and_sweep(spark, tmp_path):
     rng = np.random.default_rng(3)
     centre = rng.normal(size=(4, 12)) * 5
-    rows = [(i, (centre[i % 4] + rng.normal(size=12) * 0.1).tolist()) for i in range(400)] + [(900, None), (901, [0.0] * 12), (902, [float("nan")] * 12), (903, [])]
-    found = clustering.clustered(clustering.reduced(spark.createDataFrame(rows, "doc_id long, v array<double>"), dims=3), least=20, most=4).select("doc_id", "topic").collect()
-    assert len(found) == 400 and {r["topic"] for r in found} == {-1, 0, 1, 2, 3} and sum(r["topic"] == -1 for r in found) <= 40
-    assert len({(r["doc_id"] % 4, r["topic"]) for r in found if r["topic"] >= 0}) == 4
+    rows = [(i, (centre[i % 4] + rng.normal(size=12) * 0.1).tolist()) for i in range(240)] + [(900, None), (901, [0.0] * 12), (902, [float("nan")] * 12), (903, [])]
+    found = clustering.clustered(spark.createDataFrame(rows, "doc_id long, v array<double>"), "doc_id", "v", least=20, dims=3).select("doc_id", "topic").collect()
+    assert len(found) == 244 and {r["topic"] for r in found} == {-1, 0, 1, 2, 3} and sum(r["topic"] == -1 for r in found) <= 30
+    assert len({(r["doc_id"] % 4, r["topic"]) for r in found if r["topic"] >= 0}) == 4 and all(r["topic"] == -1 for r in found if r["doc_id"] >= 900)
     runs = []
-    fit = lambda df, k: runs.append(k) or df.where(f"topic < {k}")
-    base = spark.createDataFrame([(1,), (5,)], "topic int")
-    for _ in range(2):
-        out = clustering.swept(base, {"x": {"k": 3}, "y": {"k": 9}}, fit, str(tmp_path))
-    assert runs == [3, 9] and out["y"].count() == 2
+
+    def fit(df, k):
+        runs.append(k)
+        return df.where(f"topic < {k}")
+
+    base = spark.createDataFrame([(1, None), (5, "a")], "topic int, s string")
+    for df in (base, base.orderBy("topic", ascending=False).repartition(3)):
+        out = clustering.swept(df, {"x": {"k": 3}, "y": {"k": 9}, "again": {"k": 3}}, fit, str(tmp_path))
+    assert runs == [3, 9] and out["y"].count() == 2 and out["again"].count() == 1
+    for changed in (base.union(base.limit(1)), base.withColumn("s", F.lit("a")), base.withColumnRenamed("s", "t")):
+        clustering.swept(changed, {"x": {"k": 3}}, fit, str(tmp_path))
+    assert runs == [3, 9, 3, 3, 3]
+    out = {n: d.select("topic") for n, d in out.items() if n != "again"}
     assert [tuple(r) for r in clustering.combined_report(out, {"x": "X"}).orderBy("corpus", "topic").collect()] == [("x", "X", 1), ("y", "y", 1), ("y", "y", 5)]
 
 

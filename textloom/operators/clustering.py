@@ -1,60 +1,43 @@
-"""Topic discovery over vectors: reduction, clusters with noise, a sweep of settings, and a tree of topic profiles.
-
-The study reduces by a neighbour graph and clusters by density, for which neither Spark nor this library has an equal. Here PCA
-takes the place of the first and bisecting k-means, with far rows as noise, that of the second: labels differ, the tables built
-from them don't. Both grow linearly with the rows.
-"""
+"""Topic discovery over vectors: clusters of reduced vectors, a sweep of settings, and a tree of topic profiles."""
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Callable
+
 import numpy as np
-from pyspark.ml.clustering import BisectingKMeans
-from pyspark.ml.feature import PCA, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.operators import density, spectral, stages
+
 #: Profiles that the tree may have; it holds their distances on the driver.
 MOST_PROFILES = 2_000
 
 
-def _usable(v: str):
-    return F.col(v).isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-
-
-def reduced(vectors: DataFrame, v: str = "v", dims: int = 5) -> DataFrame:
-    """Column `reduced`: the `dims` main components of the vectors at length one (so distances follow the cosine).
-
-    Vectors null, empty, zero or with components null or not finite are left out; those that are left share one length.
-    """
-    unit = Normalizer(inputCol="_v", outputCol="_unit").transform(vectors.where(_usable(v)).withColumn("_v", array_to_vector(F.col(v).cast("array<double>"))))
-    model = PCA(k=dims, inputCol="_unit", outputCol="_pca").fit(unit)
-    return model.transform(unit).withColumn("reduced", vector_to_array("_pca")).drop("_v", "_unit", "_pca")
-
+def clustered(vectors: DataFrame, id_col: str, v_col: str, least: int, least_near: int = 5, k: int = 15, dims: int = 5) -> DataFrame:
+    """vectors with column topic: density clusters of `least` rows and more over `dims` coordinates from the graph of k neighbours by cosine; -1 for the rest, and for vectors that take no part."""
+    low = spectral.reduced(vectors, id_col, v_col, dims, k)
+    found = density.labels(low, least, least_near, k).withColumnRenamed("id", id_col)
+    return vectors.join(found, id_col, "left").withColumn("topic", F.coalesce("topic", F.lit(-1).cast("long")))
 
-def clustered(rows: DataFrame, least: int, most: int = 60, noise: float = 0.05, seed: int = 42) -> DataFrame:
-    """Column topic over `reduced`: clusters of `least` rows and more, numbered by size; -1 for the rest.
 
-    Also -1: the share `noise` of each cluster that is farthest from its centre (by an approximate quantile over all its rows).
-    """
-    rows = rows.withColumn("_x", array_to_vector("reduced"))
-    model = BisectingKMeans(k=most, minDivisibleClusterSize=float(2 * least), featuresCol="_x", predictionCol="_c", seed=seed).fit(rows)
-    centres = [[float(x) for x in c] for c in model.clusterCenters()]
-    centre = F.element_at(F.array(*[F.array(*[F.lit(x) for x in c]) for c in centres]), F.col("_c") + 1)  # `most` centres
-    away = F.aggregate(F.zip_with("reduced", centre, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
-    far = model.transform(rows).withColumn("_d", away).drop("_x")
-    sizes = far.groupBy("_c").agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_d", 1 - noise, 10_000).alias("_edge")).where(F.col("_n") >= least)
-    numbered = sizes.withColumn("_topic", F.row_number().over(Window.partitionBy().orderBy(F.desc("_n"), "_c")) - 1)  # `most` rows
-    joined = far.join(F.broadcast(numbered), "_c", "left")
-    return joined.withColumn("topic", F.when(F.col("_d") <= F.col("_edge"), F.col("_topic").cast("long")).otherwise(F.lit(-1).cast("long"))).drop("_c", "_d", "_n", "_edge", "_topic")
+def fingerprint(rows: DataFrame) -> str:
+    """The same for tables of equal columns and equal rows, whatever their order: their number, and sums of two hashes of each."""
+    names = sorted(rows.columns)
+    sums = [F.sum(F.xxhash64(F.lit(seed), F.to_json(F.struct(*[F.col(c) for c in names]), {"ignoreNullFields": "false"})).cast("decimal(38,0)")) for seed in (1, 2)]
+    found = rows.agg(F.count(F.lit(1)), *sums).first()
+    return hashlib.sha256(json.dumps([sorted(rows.dtypes), [str(x) for x in found]]).encode()).hexdigest()
 
 
-def swept(rows: DataFrame, settings: dict[str, dict], fit, folder: str) -> dict[str, DataFrame]:
-    """fit(rows, **setting) for each named setting, written to folder/<name>; what is there already is read, not made again."""
+def swept(rows: DataFrame, settings: dict[str, dict], fit: Callable[..., DataFrame], folder: str | None = None) -> dict[str, DataFrame]:
+    """fit(rows, **setting) for each named setting. A run is kept under the digest of its setting, fit's name and the rows' fingerprint: the same run is read again, by whatever name, and any change of these makes a new one."""
     spark: SparkSession = rows.sparkSession
-    out = {}
+    folder, own, out = folder or f"{stages.shared_folder(spark)}/sweeps", fingerprint(rows), {}
     for name, setting in settings.items():
-        path = f"{folder}/{name}"
+        run = hashlib.sha256(json.dumps([own, f"{fit.__module__}.{fit.__qualname__}", setting], sort_keys=True).encode()).hexdigest()
+        path = f"{folder}/{run}"
         done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
         if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
             fit(rows, **setting).write.mode("overwrite").parquet(path)

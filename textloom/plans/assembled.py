@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.operators import assembly, clustering, inference, robustness, text, topics
+from textloom.operators import assembly, clustering, inference, robustness, spectral, text, topics
 from textloom.operators.rows import parsed
 from textloom.plans import extended  # noqa: F401  its SQL is used below
 from textloom.plans.catalogue import _WORDS, COMMENTS, GATED, ORACLES, STANCE, TOPICS, WORDED, _stats, assignments, comments, gated, query, stance, worded
@@ -97,23 +95,26 @@ def _tree(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(clustering.average_linkage(clustering.profile_distances(assignments(spark, sf), GROUPS)), "first long, second long, distance double, size long")
 
 
-def _found(rows: DataFrame, least: int, most: int) -> DataFrame:
-    return clustering.clustered(rows, least, most).select("doc_id", "topic", F.col("label").alias("ref"))
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled comments as vectors of their words; a topic is to be found without the language, which `ref` holds."""
+    w = worded(gated(spark, sf)).select("doc_id", F.col("industry").alias("ref"), "words")
+    return spectral.text_vectors(w, "words").select("doc_id", "ref", "v")
+
+
+def _found(rows: DataFrame, k: int, least: int = 15) -> DataFrame:
+    return clustering.clustered(rows, "doc_id", "v", least, 5, k).select("doc_id", "topic", "ref")
 
 
 @query("q64_clusters")
 def _clusters(spark: SparkSession, sf: str) -> DataFrame:
-    e = parquet(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "label", F.col("embedding").alias("v"))
-    return _found(clustering.reduced(e), 10, 20).select("doc_id", "topic")
+    return _found(_texts(spark, sf), 15)
 
 
 @query("q64_sweep_report")
 def _sweep(spark: SparkSession, sf: str) -> DataFrame:
-    e = parquet(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "label", F.col("embedding").alias("v"))
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/textloom"
-    made = clustering.swept(clustering.reduced(e), {f"k{k}": {"least": 10, "most": k} for k in (8, 12, 16)}, _found, f"{folder}/sweep-{uuid.uuid4().hex}")
+    made = clustering.swept(_texts(spark, sf), {f"k{k}": {"k": k} for k in (10, 15)}, _found)
     rows = {n: robustness.agreement(robustness.contingency(d, "ref", "topic"), "ref", "topic") for n, d in made.items()}
-    return clustering.combined_report(rows, {"k12": "chosen"})
+    return clustering.combined_report(rows, {"k15": "chosen"})
 
 
 # Text.
