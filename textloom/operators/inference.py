@@ -96,18 +96,3 @@ def logit(df: DataFrame, y: str, factors: dict[str, str], cluster: str) -> tuple
         grid = [(*head, v) for head in grid for v in sorted({c[i] for c in cells})]
     return spark.createDataFrame(out, params), spark.createDataFrame([(*v, float(1 / (1 + np.exp(-(np.array(design(v)) @ beta))))) for v in grid], predicted)
 
-
-def multinomial_by(df: DataFrame, outcome: str, factor: str, base: str, reference: str) -> DataFrame:
-    """Coefficients of a multinomial logistic model of outcome on one factor: (outcome, term, coef).
-
-    With one factor the model is saturated, so its coefficients are log ratios of counts; null where a count is zero.
-    """
-    c = df.where(F.col(outcome).isNotNull() & F.col(factor).isNotNull()).groupBy(factor, outcome).agg(F.count(F.lit(1)).alias("n"))
-    outcomes, levels = c.select(outcome).distinct(), c.select(factor).distinct()
-    own = levels.crossJoin(outcomes.where(F.col(outcome) != base)).join(c, [factor, outcome], "left")
-    of_base = c.where(F.col(outcome) == base).select(factor, F.col("n").alias("base_n"))
-    odds = own.join(of_base, factor, "left").select(factor, outcome, F.ln(F.col("n") / F.col("base_n")).alias("odds"))
-    at = odds.where(F.col(factor) == reference).select(outcome, F.col("odds").alias("at_reference"))
-    is_reference = F.col(factor) == reference
-    coef = F.when(is_reference, F.col("odds")).otherwise(F.col("odds") - F.col("at_reference"))
-    return odds.join(at, outcome, "left").select(outcome, F.when(is_reference, "intercept").otherwise(F.concat(F.lit(f"{factor}="), factor)).alias("term"), coef.alias("coef"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.operators import assembly, clustering, inference, robustness, spectral, text, topics
+from textloom.operators import assembly, clustering, inference, multinomial, robustness, spectral, text, topics
 from textloom.operators.rows import parsed
 from textloom.plans import extended  # noqa: F401  its SQL is used below
 from textloom.plans.catalogue import _WORDS, COMMENTS, GATED, ORACLES, STANCE, TOPICS, WORDED, _stats, assignments, comments, gated, query, stance, worded
@@ -52,7 +52,12 @@ def _logit_two(spark: SparkSession, sf: str) -> DataFrame:
     SELECT o.attitude, CASE WHEN o.industry = 'AUTOMOBILE' THEN 'intercept' ELSE 'industry=' || o.industry END AS term, round(CASE WHEN o.industry = 'AUTOMOBILE' THEN o.odds ELSE o.odds - r.odds END, 6) AS coef FROM o JOIN o r ON r.attitude = o.attitude AND r.industry = 'AUTOMOBILE'""",
 )
 def _multinomial(spark: SparkSession, sf: str) -> DataFrame:
-    return inference.multinomial_by(stance(spark, sf), "attitude", "industry", _REF, "AUTOMOBILE")
+    return multinomial.multinomial(stance(spark, sf), "attitude", {"industry": "AUTOMOBILE"}, _REF).select(F.col("outcome").alias("attitude"), "term", "coef")
+
+
+@query("q45_multinomial_two_factors")
+def _multinomial_two(spark: SparkSession, sf: str) -> DataFrame:
+    return multinomial.multinomial(stance(spark, sf), "attitude", {"industry": "AUTOMOBILE", "boundary": "0"}, _REF, "o_custkey")
 
 
 # Topics.
