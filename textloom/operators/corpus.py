@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import scalars as S
+from textloom.operators import ranking
 
 
 def activity(monthly: DataFrame, by: str, bucket: str, hits: str, total: str, latest_peak: bool = False) -> DataFrame:
@@ -39,8 +40,8 @@ def dense_activity(hits: DataFrame, by: str, bucket: str, item: str, first: str,
 
 
 def rank_by(df: DataFrame, order: list[Column], rank: str = "rank") -> DataFrame:
-    """A global rank. The rows are communities: one for each, far fewer than documents."""
-    return df.withColumn(rank, F.row_number().over(Window.orderBy(*order)))
+    """A global rank, by a sort of ranges and the numbers of rows before each."""
+    return ranking.ranked(df, order, rank)
 
 
 def tier(rank: Column, large: int = 5) -> Column:

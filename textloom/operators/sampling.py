@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators import ranking
 from textloom.operators.relational import md5_order
 
 
@@ -35,7 +36,7 @@ def capped_sample(df: DataFrame, by: list[str], post: str, id_col: str, cap: int
     nth = F.row_number().over(Window.partitionBy(*by, post).orderBy(*order))
     over = F.when(nth <= cap, 0).otherwise(1)
     ranked = df.withColumn("topped_up", over)
-    return ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("topped_up", *order))).where(F.col("rank") <= size)
+    return ranking.ranked(ranked, ["topped_up", *order], "rank", by).where(F.col("rank") <= size)
 
 
 def balanced_sample(df: DataFrame, group: str, post: str, id_col: str, cap: int, seed: str) -> DataFrame:
@@ -43,7 +44,7 @@ def balanced_sample(df: DataFrame, group: str, post: str, id_col: str, cap: int,
     order = [md5_order(seed, id_col), F.col(id_col)]
     capped = df.withColumn("nth", F.row_number().over(Window.partitionBy(group, post).orderBy(*order))).where(F.col("nth") <= cap)
     least = capped.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least"))
-    ranked = capped.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    ranked = ranking.ranked(capped, order, "rank", [group])
     return ranked.crossJoin(F.broadcast(least)).where("rank <= least").drop("least")
 
 

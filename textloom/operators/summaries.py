@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import scalars as S
+from textloom.operators import quantiles
 
 
 def pivot(df: DataFrame, rows: str, columns: str, values: list, cell: Column, prefix: str = "") -> DataFrame:
@@ -57,8 +58,7 @@ def outlier_rate(t: DataFrame, by: str) -> DataFrame:
 
 def spread(df: DataFrame, by: str, value: str) -> DataFrame:
     """Median and the 2.5 and 97.5 percent quantiles, exact, by linear interpolation."""
-    q = F.percentile(value, F.array(F.lit(0.5), F.lit(0.025), F.lit(0.975)))
-    return df.groupBy(by).agg(q.alias("q")).select(by, F.col("q")[0].alias("median"), F.col("q")[1].alias("low"), F.col("q")[2].alias("high"))
+    return quantiles.quantiles(df, by, value, {"median": 0.5, "low": 0.025, "high": 0.975})
 
 
 def weighted_average(df: DataFrame, by: str, value: str, weight: str) -> DataFrame:

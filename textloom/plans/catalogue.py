@@ -321,10 +321,18 @@ def _balanced(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.balanced_sample(stance(spark, sf), "industry", "o_custkey", "o_orderkey", 2, "42").select("industry", "o_orderkey", "rank")
 
 
-@query("q54_upsert_resume", "SELECT event_id, event_type FROM events WHERE event_id % 2 = 1 OR event_id % 3 = 0 UNION ALL SELECT event_id, event_type FROM events WHERE event_id % 2 = 0 AND event_id % 3 <> 0")
+@query(
+    "q54_upsert_resume",
+    """SELECT event_id, event_type FROM events WHERE event_id % 3 <> 0
+    UNION ALL SELECT event_id, 'changed' FROM events WHERE event_id % 3 = 0 AND event_id % 2 = 0
+    UNION ALL SELECT event_id, 'same' FROM events WHERE event_id % 3 = 0 AND event_id % 2 = 1
+    UNION ALL SELECT -1 - event_id, event_type FROM events WHERE event_id % 5 = 0""",
+)
 def _upsert(spark: SparkSession, sf: str) -> DataFrame:
     e = parquet(spark, sf, "events").select("event_id", "event_type")
-    return relational.upsert(e, e.where("event_id % 3 = 0"), ["event_id"])
+    changed = e.where("event_id % 3 = 0").withColumn("event_type", F.when(F.col("event_id") % 2 == 0, "changed").otherwise("same"))
+    fresh = e.where("event_id % 5 = 0").withColumn("event_id", -1 - F.col("event_id"))
+    return relational.upsert(e, changed.unionByName(fresh), ["event_id"])
 
 
 @query("q55_activity_by_day", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -337,4 +345,4 @@ def _late(spark: SparkSession, sf: str) -> DataFrame:
     posts = parquet(spark, sf, "orders").withColumnRenamed("o_orderkey", "l_orderkey")
     return incremental.eligible_comments(parquet(spark, sf, "lineitem"), posts, "l_orderkey", "o_orderdate", "1995-01-01", "1996-01-01").select("l_orderkey", "l_linenumber")
 
-from textloom.plans import extended, assembled  # noqa: E402, F401, I001  register their queries with those above
+from textloom.plans import extended, assembled, ingest  # noqa: E402, F401, I001  register their queries with those above
