@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import html
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Named character entities that texts hold, and function words that carry no topic.
-ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " "}
+# Function words that carry no topic.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with")
 #: The survey's SF-5: the reference's fallback list, which holds none of its negations, and its forum terms.
 SF5_STOP_WORDS = tuple(
@@ -38,15 +40,26 @@ def clean_text(x: Column, drop_urls: bool = True) -> Column:
     return F.trim(F.regexp_replace(out, r"[ \t\n\x0b\f\r]+", " "))
 
 
+@F.pandas_udf(T.StringType())
+def _unescape(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
+
+
+def unescaped(x: Column) -> Column:
+    """HTML character references resolved, all of the standard's names among them. Only texts that may hold one leave the JVM."""
+    return F.coalesce(_unescape(F.when(x.rlike("&[#A-Za-z]"), x)), x)
+
+
 def normalise_for_tokens(x: Column) -> Column:
-    """Entities and curly quotes resolved, links and mentions dropped, lower case, contractions written out."""
-    out = F.coalesce(x, F.lit(""))
-    for entity, char in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    out = F.translate(out, "‘’“”", "''\"\"")
-    out = F.regexp_replace(out, r"https?://\S+|www\.\S+", " ")
-    out = F.regexp_replace(out, r"(^|[^A-Za-z0-9_])/?[ru]/[A-Za-z0-9_]+", "$1 ")
-    out = F.lower(out)
+    """In this order: references resolved, curly quotes made straight, links, mentions and references that are left dropped, lower case, contractions written out.
+
+    A mention is r/ or u/ and a name, after white space or at the start, in either case. Null counts as ''.
+    """
+    space = r"\s\x1C-\x1F"
+    out = F.translate(unescaped(F.coalesce(x, F.lit(""))), "‘’“”", "''\"\"")
+    out = F.regexp_replace(out, rf"(?iuU)https?://[^{space}]+|www\.[^{space}]+", " ")
+    out = F.regexp_replace(out, rf"(?iuU)(?:^|[{space}])[ru]/[A-Za-z0-9_]+", " ")
+    out = F.lower(F.regexp_replace(out, r"(?U)&\w+;", " "))
     for short, full in (("can't", "cannot"), ("won't", "will not"), ("n't", " not")):
         out = F.replace(out, F.lit(short), F.lit(full))
     return out

@@ -83,10 +83,15 @@ def monthly(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy(F.col("user_id").alias("subreddit"), "bucket").agg(F.sum((F.col("event_type") == "click").cast("long")).alias("hits"), F.count(F.lit(1)).alias("total"))
 
 
-_E = "coalesce(body,'')"
-for _entity, _char in S.ENTITIES.items():
-    _E = f"replace({_E}, '{_entity}', '{_char.replace(chr(39), chr(39) * 2)}')"
-_NORM = rf"""replace(replace(replace(lower(regexp_replace(regexp_replace(translate({_E}, '‘’“”', '''''""'), 'https?://\S+|www\.\S+', ' ', 'g'), '(^|[^A-Za-z0-9_])/?[ru]/[A-Za-z0-9_]+', '\1 ', 'g')), 'can''t', 'cannot'), 'won''t', 'will not'), 'n''t', ' not')"""
+# The cleaning rules as SQL's own steps, for texts whose character references are these six at most.
+_NORM = r"""
+replace(replace(replace(lower(
+  regexp_replace(regexp_replace(regexp_replace(
+    translate(
+      replace(replace(replace(replace(replace(replace(coalesce(body, ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&'),
+      '‘’“”', '''''""'),
+    '(?i)https?://\S+|www\.\S+', ' ', 'g'), '(?i)(?:^|\s)[ru]/[A-Za-z0-9_]+', ' ', 'g'), '&\w+;', ' ', 'g')),
+  'can''t', 'cannot'), 'won''t', 'will not'), 'n''t', ' not')"""
 _WORDS = f"list_filter(regexp_extract_all({_NORM}, '[a-z0-9]+(?:''[a-z]+)?'), lambda t: length(t) > 1 AND t NOT IN ({', '.join(repr(w) for w in S.SF5_STOP_WORDS)}))"
 COMMENTS = "comments AS (SELECT d.doc_id, d.lang AS industry, d.source AS subreddit, d.doc_id // 5 AS post_id, coalesce(d.text, '') AS body, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))"
 GATED = COMMENTS + ", gated AS (SELECT *, CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END AS gate, CASE WHEN toxic = 0 THEN 'yes' ELSE 'no' END AS pred FROM comments WHERE quality IS NOT NULL)"
