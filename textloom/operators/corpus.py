@@ -9,27 +9,39 @@ from textloom.functions import scalars as S
 from textloom.operators import ranking
 
 
-def activity(monthly: DataFrame, by: str, bucket: str, hits: str, total: str, latest_peak: bool = False) -> DataFrame:
-    """Totals, active buckets, first and last active bucket, peak (earliest or latest on ties), rate per 1000 and a quality label.
+def quality_label(available: Column, failures: Column) -> Column:
+    """Of four: whether the totals are available, and whether any request failed."""
+    label = F.when((failures > 0) & ~available, "partial_counts_no_total").when(failures > 0, "partial_counts")
+    return label.when(~available, "complete_counts_no_total").otherwise("complete")
 
-    The total counts as available where it is positive and at least as large as the hits.
+
+def activity(monthly: DataFrame, by: str, bucket: str, hits: str, total: str, latest_peak: bool = False, failures: DataFrame | None = None) -> DataFrame:
+    """Totals, active buckets, first and last active bucket, peak (earliest or latest on ties), rate per 1000, failures and a quality label.
+
+    The summed total counts as available where it is positive and at least as large as the summed hits; elsewhere total and rate are null.
+    failures holds a row for each failed request; distinct ones count, and names meet in any case. Null counts are 0; blank names are left out.
     """
-    active = F.col(hits) > 0
+    active = F.col("_hits") > 0
+    rows = monthly.where(F.trim(F.coalesce(F.col(by).cast("string"), F.lit(""))) != "").withColumns({"_hits": F.coalesce(hits, F.lit(0)), "_total": F.coalesce(total, F.lit(0))})
     number = F.dense_rank().over(Window.partitionBy(by).orderBy(bucket))
-    rows = monthly.withColumn("_pos", number if latest_peak else -number)
-    ok = (F.col(total) >= F.col(hits)) & (F.col(total) > 0)
+    rows = rows.withColumn("_pos", number if latest_peak else -number)
     g = rows.groupBy(by).agg(
-        F.sum(hits).alias("hits"),
-        F.sum(total).alias("total"),
+        F.sum("_hits").alias("hits"),
+        F.sum("_total").alias("total"),
         F.sum(active.cast("long")).alias("active"),
         F.min(F.when(active, F.col(bucket))).alias("first_active"),
         F.max(F.when(active, F.col(bucket))).alias("last_active"),
-        F.max_by(F.when(active, F.col(bucket)), F.struct(F.col(hits), F.col("_pos"))).alias("peak"),
-        F.bool_and(ok).alias("_all_ok"),
-        F.bool_or(ok).alias("_some_ok"),
+        F.max_by(F.when(active, F.col(bucket)), F.struct(F.col("_hits"), F.col("_pos"))).alias("peak"),
     )
-    quality = F.when(F.col("_all_ok"), "complete").when(F.col("_some_ok"), "partial").otherwise("missing")
-    return g.select(by, "hits", "total", "active", "first_active", "last_active", "peak", (S.ratio(F.col("hits"), F.col("total")) * 1000).alias("per_1000"), quality.alias("quality"))
+    key = lambda c: F.lower(F.trim(F.col(c).cast("string")))
+    if failures is None:
+        g = g.withColumn("failures", F.lit(0).cast("long"))
+    else:
+        failed = failures.distinct().groupBy(key(by).alias("_key")).agg(F.count(F.lit(1)).alias("failures"))
+        g = g.join(failed, key(by) == F.col("_key"), "left").withColumn("failures", F.coalesce("failures", F.lit(0)))
+    available = (F.col("total") >= F.col("hits")) & (F.col("total") > 0)
+    rate = F.when(available, S.ratio(F.col("hits"), F.col("total")) * 1000)
+    return g.select(by, "hits", F.when(available, F.col("total")).alias("total"), "active", "first_active", "last_active", "peak", rate.alias("per_1000"), "failures", quality_label(available, F.col("failures")).alias("quality"))
 
 
 def dense_activity(hits: DataFrame, by: str, bucket: str, item: str, first: str, last: str) -> DataFrame:

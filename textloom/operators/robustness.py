@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import exp, lgamma, log
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,23 +28,6 @@ def agreement(c: DataFrame, ref: str = "ref", cand: str = "cand") -> DataFrame:
     return t.select(total.cast("long").alias("n"), ari.alias("ari"), nmi.alias("nmi"))
 
 
-def adjusted_mutual_information(cells: list[tuple[int, int, int]]) -> float:
-    """AMI of a contingency table [(ref, cand, n)], with the expectation under random labels of equal sizes."""
-    a, b, n = {}, {}, sum(c[2] for c in cells)
-    for x, y, k in cells:
-        a[x], b[y] = a.get(x, 0) + k, b.get(y, 0) + k
-    entropy = lambda sizes: -sum(k / n * log(k / n) for k in sizes.values())
-    mutual = sum(k / n * log(n * k / (a[x] * b[y])) for x, y, k in cells if k)
-    expected = 0.0
-    for p in a.values():
-        for q in b.values():
-            for k in range(max(1, p + q - n), min(p, q) + 1):
-                ways = lgamma(p + 1) + lgamma(q + 1) + lgamma(n - p + 1) + lgamma(n - q + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(p - k + 1) - lgamma(q - k + 1) - lgamma(n - p - q + k + 1)
-                expected += k / n * log(n * k / (p * q)) * exp(ways)
-    mean = (entropy(a) + entropy(b)) / 2
-    return 1.0 if abs(mean - expected) < 1e-15 else (mutual - expected) / (mean - expected)
-
-
 def best_overlap(c: DataFrame) -> DataFrame:
     """For each reference topic the candidate with the highest Jaccard, then intersection, then smallest id; outliers (-1) match nothing."""
     sizes_r = c.where("ref <> -1").groupBy("ref").agg(F.sum("n").alias("ref_n"))

@@ -129,15 +129,5 @@ def choose_model(rows: list[dict], preferred: int, least: int = 20, most: int =
     return first if first in ok or not ok else min(ok, key=lambda r: (r["flags"], r["outlier_rate"]))
 
 
-def maximal_marginal_relevance(relevance: dict[str, float], similarity, k: int, diversity: float = 0.3) -> list[str]:
-    """Greedy choice of k words, each as relevant and as unlike those chosen as can be. The words are one topic's candidates."""
-    left, chosen = dict(sorted(relevance.items())), []
-    while left and len(chosen) < k:
-        best = max(left, key=lambda w: (1 - diversity) * left[w] - diversity * max((similarity(w, c) for c in chosen), default=0.0))
-        chosen.append(best)
-        del left[best]
-    return chosen
-
-
 def total_share(value: Column) -> Column:
     return value / F.sum(value).over(Window.partitionBy())

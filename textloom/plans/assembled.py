@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.operators import assembly, clustering, inference, multinomial, robustness, spectral, text, topics
+from textloom.operators import assembly, clustering, inference, multinomial, mutual, robustness, spectral, text, topics, wording
 from textloom.operators.rows import parsed
 from textloom.plans import extended  # noqa: F401  its SQL is used below
 from textloom.plans.catalogue import _WORDS, COMMENTS, GATED, ORACLES, STANCE, TOPICS, WORDED, _stats, assignments, comments, gated, query, stance, worded
@@ -122,6 +122,25 @@ def _sweep(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.combined_report(rows, {"k15": "chosen"})
 
 
+@query(
+    "q47_adjusted_mutual_information",
+    f"""WITH {TOPICS}, c AS (SELECT topic, locked, count(*)::DOUBLE AS m FROM t GROUP BY 1, 2), a AS (SELECT topic, sum(m) AS a FROM c GROUP BY 1), b AS (SELECT locked, sum(m) AS b FROM c GROUP BY 1), n AS (SELECT sum(m) AS n FROM c),
+    i AS (SELECT sum(m / n * ln(n * m / (a * b))) AS mutual FROM c JOIN a USING (topic) JOIN b USING (locked), n),
+    h AS (SELECT (SELECT -sum(a / n * ln(a / n)) FROM a, n) / 2 + (SELECT -sum(b / n * ln(b / n)) FROM b, n) / 2 AS mean),
+    k AS (SELECT a, b, n, unnest(range(greatest(1, a + b - n)::BIGINT, least(a, b)::BIGINT + 1)) AS k FROM a, b, n),
+    e AS (SELECT sum(k / n * ln(n * k / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(n - a + 1) + lgamma(n - b + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(a - k + 1) - lgamma(b - k + 1) - lgamma(n - a - b + k + 1))) AS expected FROM k)
+    SELECT n::BIGINT AS n, round(mutual, 6) AS mutual, round(expected, 6) AS expected, round((mutual - expected) / (mean - expected), 6) AS ami FROM n, i, h, e""",
+)
+def _ami(spark: SparkSession, sf: str) -> DataFrame:
+    return mutual.adjusted_mutual_information(robustness.contingency(assignments(spark, sf), "topic", "locked"), "topic", "locked")
+
+
+@query("q35_topic_words")
+def _topic_words(spark: SparkSession, sf: str) -> DataFrame:
+    docs = worded(gated(spark, sf)).select("industry", "words")
+    return wording.topic_words(spectral.text_vectors(docs, "words", 64), "industry", "words", "v")
+
+
 # Text.
 
 

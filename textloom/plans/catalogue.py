@@ -191,9 +191,21 @@ def _keywords(spark: SparkSession, sf: str) -> DataFrame:
     return parquet(spark, sf, "documents").select("doc_id", n.alias("hits"), names.alias("names"))
 
 
-@query("q13_activity_rank", f"WITH {MONTHLY} SELECT subreddit, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(total) AS BIGINT) AS total, CAST(sum(CASE WHEN hits > 0 THEN 1 ELSE 0 END) AS BIGINT) AS active, min(CASE WHEN hits > 0 THEN bucket END) AS first_active, max(CASE WHEN hits > 0 THEN bucket END) AS last_active, min(CASE WHEN hits > 0 AND hits = mx THEN bucket END) AS peak, round(1000 * sum(hits) / sum(total)::DOUBLE, 6) AS per_1000, 'complete' AS quality FROM (SELECT *, max(hits) OVER (PARTITION BY subreddit) AS mx FROM monthly) GROUP BY 1")
+@query(
+    "q13_activity_rank",
+    f"""WITH {MONTHLY}, m AS (SELECT subreddit, bucket, hits, CASE subreddit % 4 WHEN 0 THEN 0 WHEN 1 THEN hits // 2 ELSE total END AS total FROM monthly),
+    fails AS (SELECT user_id AS subreddit, count(DISTINCT (strftime(ts, '%Y-%m-%d'), event_type)) AS failures FROM events WHERE user_id % 3 = 0 AND event_type = 'click' GROUP BY 1),
+    g AS (SELECT subreddit, sum(hits)::BIGINT AS hits, sum(total)::BIGINT AS total, count(*) FILTER (hits > 0) AS active, min(bucket) FILTER (hits > 0) AS first_active, max(bucket) FILTER (hits > 0) AS last_active,
+      min(bucket) FILTER (hits > 0 AND hits = mx) AS peak FROM (SELECT *, max(hits) OVER (PARTITION BY subreddit) AS mx FROM m) GROUP BY 1),
+    j AS (SELECT g.*, coalesce(failures, 0) AS failures, total >= hits AND total > 0 AS ok FROM g LEFT JOIN fails USING (subreddit))
+    SELECT subreddit, hits, CASE WHEN ok THEN total END AS total, active, first_active, last_active, peak, CASE WHEN ok THEN round(1000 * hits / total::DOUBLE, 6) END AS per_1000, failures,
+    (CASE WHEN failures > 0 THEN 'partial_counts' WHEN ok THEN 'complete' ELSE 'complete_counts' END) || (CASE WHEN ok THEN '' ELSE '_no_total' END) AS quality FROM j""",
+)
 def _activity(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.activity(monthly(spark, sf), "subreddit", "bucket", "hits", "total")
+    part = F.col("subreddit") % 4  # a fourth without totals, a fourth with totals below the hits
+    m = monthly(spark, sf).withColumn("total", F.when(part == 0, None).when(part == 1, F.expr("hits div 2")).otherwise(F.col("total")))
+    failed = parquet(spark, sf, "events").where("user_id % 3 = 0 AND event_type = 'click'").select(F.col("user_id").alias("subreddit"), F.date_format("ts", "yyyy-MM-dd").alias("bucket"), "event_type")
+    return corpus.activity(m, "subreddit", "bucket", "hits", "total", failures=failed)
 
 
 @query("q16_html_links", """WITH l AS (SELECT page_id, unnest(x) AS link, generate_subscripts(x, 1) AS pos FROM (SELECT page_id, regexp_extract_all(html, '<a href="(/[^"]*)"', 1) AS x FROM pages)), o AS (SELECT page_id, lower(link) AS k, min(pos) AS pos, arg_min(link, pos) AS link FROM l GROUP BY 1, 2) SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) AS INT) AS rank, link FROM o""")
