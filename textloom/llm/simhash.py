@@ -15,6 +15,12 @@ that differ by at most 15 bits one segment differs by at most one. Texts of simi
 its nearest earlier one as its candidate; candidates are verified by the shingle sets themselves, the
 nearest of each text first and then the others wherever the two are not yet connected.
 
+That finds most links, and the large classes; an exact way finds the rest. In one order of all shingles two sets of
+that similarity share one among the first n - ceil(0.8 n) + 1 of each, n being a set's size. The order goes
+by how often a shingle's bucket occurs in all texts, rare ones first, so that passages which many texts share seldom are
+among them. Texts are paired where such a shingle joins two classes that are still apart, sizes and places
+allow the similarity, and the sets confirm it. Shingles that lie within one class are left out before pairs arise.
+
 Defined results: a null or empty text, or one without words, has the fingerprint zero, linked like
 any other. A text of one or two words has one shingle. Null ids take part, but name a component only
 if it has no other id. Repeated rows stay repeated. An empty table gives an empty table. In
@@ -273,6 +279,75 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(common >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - common) - 1e-9).select("a", "b")
 
 
+#: Buckets in which shingles are counted; one number each, whatever the corpus.
+GRAM_BUCKETS = 1 << 18
+
+
+def _gram_bucket(grams: np.ndarray) -> np.ndarray:
+    return ((grams * _LANES[1]) >> np.uint64(46)).astype(np.int64)
+
+
+def _count_batches(text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, counts = _WordHashes(), np.zeros(GRAM_BUCKETS, np.int64)
+        for batch in batches:
+            for text in batch.column("row").field(text_col):
+                counts += np.bincount(_gram_bucket(shingle_set(text.as_py(), held)), minlength=GRAM_BUCKETS)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], ["bucket", "n"])
+
+    return run
+
+
+def gram_levels(printed: DataFrame, text_col: str) -> np.ndarray:
+    """For each bucket of shingles the binary logarithm of the times that it occurs in sets of all rows."""
+    rows = printed.select("row").mapInArrow(_count_batches(text_col), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(GRAM_BUCKETS, np.int64)
+    counts[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+    return np.log2(counts + 1).astype(np.uint8)
+
+
+def prefix(grams: np.ndarray, levels: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set in the order of (level, hash), as many as a set of that similarity must share one of."""
+    least = int(np.ceil(similarity * len(grams) - 1e-9))
+    return grams[np.lexsort((grams, levels[_gram_bucket(grams)]))[: len(grams) - least + 1]]
+
+
+def _prefix_batches(text_col: str, levels, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _WordHashes()
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), held) for t in batch.column("row").field(text_col)]
+            first = [prefix(g, levels.value, similarity).view(np.int64) if len(g) else g.view(np.int64) for g in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(g) for g in sets], pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["node", "size", "grams"])
+
+    return run
+
+
+def pairs_apart(printed: DataFrame, known: DataFrame, similarity: float, text_col: str, folder: str) -> DataFrame:
+    """(a, b): every two nodes of different classes that can have the similarity. known: (node, component) of nodes in a class with others."""
+    levels = printed.sparkSession.sparkContext.broadcast(gram_levels(printed, text_col))
+    sets = printed.select("row", "node").mapInArrow(_prefix_batches(text_col, levels, similarity), "node long, size int, grams array<long>")
+    sets = sets.groupBy("node").agg(F.first("size").alias("size"), F.first("grams").alias("grams")).join(known, "node", "left")
+    posted = sets.select("node", "size", F.coalesce("component", "node").alias("class"), F.posexplode("grams").alias("at", "gram"))
+    posted = storage.write_table(posted, f"{folder}/prefixes")
+    joining = posted.groupBy("gram").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("gram")
+    joining = storage.write_table(posted.join(joining, "gram", "left_semi"), f"{folder}/joining")
+    a, b = (joining.select("gram", *[F.col(c).alias(f"{c}_{e}") for c in ("node", "size", "class", "at")]) for e in "ab")
+    least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - 1e-9)  # shingles in common
+    able = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= least
+    both = a.join(b, "gram").where((F.col("node_a") < F.col("node_b")) & (F.col("class_a") != F.col("class_b")) & able)
+    return both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def _sets_of(pairs: DataFrame, texts: DataFrame, path: str) -> DataFrame:
+    """(node, grams) of the nodes that stand in pairs (a, b), from texts (digest, text); a filter keeps others from the shuffle."""
+    ends = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
+    near_nodes = Filter(ends, ends.count(), f"{path}-filter")
+    own = near_nodes.split(texts).where("may_hold").join(ends, "digest", "left_semi").groupBy(F.col("digest").alias("node")).agg(F.first("text").alias("text"))
+    return storage.write_table(own.mapInArrow(_set_batches("text"), "node long, grams array<long>"), path)
+
+
 def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs for each class of texts that verified links connect, all columns: the one of the smallest id, a null id last. Only rows that may have others of their class are shuffled."""
     spark = docs.sparkSession
@@ -288,11 +363,8 @@ def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col:
     dealt = set_variants(nodes).repartition("variant").sortWithinPartitions("variant", "node")
     links = dealt.mapInArrow(_candidate_batches, "a long, b long, far int").distinct()
     links = storage.write_table(links, f"{folder}/candidates")
-    ends = links.select(F.col("a").alias("digest")).union(links.select("b")).distinct()
-    near_nodes = Filter(ends, ends.count(), f"{folder}/candidate-filter")
     texts = printed.select(F.col("node").alias("digest"), F.col(f"row.`{text_col}`").alias("text"))
-    texts = near_nodes.split(texts).where("may_hold").join(ends, "digest", "left_semi").groupBy(F.col("digest").alias("node")).agg(F.first("text").alias("text"))
-    sets = storage.write_table(texts.mapInArrow(_set_batches(text_col), "node long, grams array<long>"), f"{folder}/sets")
+    sets = _sets_of(links, texts, f"{folder}/sets")
 
     nearest = links.groupBy("a").agg(F.min(F.struct("far", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
     found = storage.write_table(_alike(nearest, sets, similarity), f"{folder}/near-0")
@@ -301,6 +373,8 @@ def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col:
     apart = links.join(nearest, ["a", "b"], "left_anti").join(class_of("a"), "a", "left").join(class_of("b"), "b", "left")
     apart = apart.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
     found = found.unionByName(storage.write_table(_alike(apart, sets, similarity), f"{folder}/near-1"))
+    rest = storage.write_table(pairs_apart(printed, connected_components(found), similarity, text_col, folder), f"{folder}/apart")
+    found = found.unionByName(storage.write_table(_alike(rest, _sets_of(rest, texts, f"{folder}/sets-apart"), similarity), f"{folder}/near-2"))
 
     known = connected_components(found)
     members = nodes.select("node", "rank", "copies").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
