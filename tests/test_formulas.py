@@ -1,7 +1,6 @@
 """Published figures and properties of the formulas."""
 
-import math
-
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,9 +43,24 @@ def test_ngrams_of_short_lists(spark):
     assert got == [[], [], ["a b"]]
 
 
-def test_bootstrap_is_centred():
-    mean, low, high = evaluate.bootstrap_gate([(62, 88, 18, 32)], draws=2000)["accuracy"]
-    assert math.isclose(mean, 0.75, abs_tol=0.01) and low < mean < high
+def test_stratified_bootstrap_as_by_rows(spark):
+    """Intervals equal those of rows drawn one by one, within the spread of the draws; strata keep their sizes."""
+    r = np.random.default_rng(3)
+    rows = [(["yes", "no"][int(r.random() < 0.4 + 0.2 * k)], ["yes", "no"][int(r.random() < 0.5)], f"s{k}") for k in range(3) for _ in range(40 + 30 * k)]
+    df = spark.createDataFrame([*rows, ("", "yes", "s0"), ("yes", None, "s1"), ("yes", "yes", None)], "t string, p string, s string").repartition(3)
+    got = {x.metric: x for x in evaluate.stratified_bootstrap(df, "t", "p", "s", 2001).collect()}
+    assert set(got) == set(evaluate.GATE_METRICS) and all(x.draws == 2001 for x in got.values())
+    assert got == {x.metric: x for x in evaluate.stratified_bootstrap(df.repartition(5), "t", "p", "s", 2001).collect()}
+    strata = [np.array([(t == "yes", p == "yes") for t, p, s in [*rows, ("yes", "yes", "")] if s == k]) for k in ("s0", "s1", "s2", "")]
+    want = {"precision": [], "recall": []}
+    for _ in range(2001):
+        x = np.concatenate([s[r.integers(0, len(s), len(s))] for s in strata])
+        tp = (x[:, 0] & x[:, 1]).sum()
+        want["precision"].append(tp / x[:, 1].sum())
+        want["recall"].append(tp / x[:, 0].sum())
+    for m, v in want.items():
+        assert (got[m].mean, got[m].ci_low, got[m].ci_high) == pytest.approx((np.mean(v), *np.quantile(v, [0.025, 0.975])), abs=0.012)
+    assert evaluate.stratified_bootstrap(df.where("false"), "t", "p", "s").count() == 0
 
 
 def test_full_stop_list_keeps_negations(spark):

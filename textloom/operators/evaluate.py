@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,14 +101,35 @@ def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df.agg(*sums).unpivot([], list(rules), "rule", "violations")
 
 
-def bootstrap_gate(cells: list[tuple[int, int, int, int]], draws: int = 5000, seed: int = 42) -> dict[str, tuple[float, float, float]]:
-    """Stratified bootstrap of a gate's metrics: each stratum's (tp, tn, fp, fn) is drawn anew as a multinomial. -> mean, 2.5 and 97.5 percentiles."""
-    rng = np.random.default_rng(seed)
-    total = sum(rng.multinomial(sum(c), np.asarray(c) / sum(c), draws) for c in cells if sum(c))
-    tp, tn, fp, fn = total.T.astype(float)
-    safe = lambda a, b: np.divide(a, b, out=np.zeros_like(a), where=b > 0)
-    metrics = {"accuracy": safe(tp + tn, tp + tn + fp + fn), "precision": safe(tp, tp + fp), "recall": safe(tp, tp + fn), "f1": safe(2 * tp, 2 * tp + fp + fn)}
-    return {k: (float(v.mean()), *map(float, np.percentile(v, [2.5, 97.5]))) for k, v in metrics.items()}
+#: Draws that a task makes of a stratum at once.
+_DRAWS = 250
+GATE_METRICS = ("precision", "recall", "f1", "specificity", "balanced_accuracy", "mcc")
+
+
+def stratified_bootstrap(df: DataFrame, truth: str, pred: str, stratum: str, draws: int = 5000, seed: int = 42) -> DataFrame:
+    """(metric, draws, mean, ci_low, ci_high) of a yes/no gate over samples with replacement within each stratum; 2.5 and 97.5 percent quantiles, linear.
+
+    A stratum's sample is one multinomial over its four cells, drawn on an executor with a seed of its own for each block of draws; a draw's cells
+    are added up over the strata by a group-by. Rows with a blank label don't count; a null stratum counts as ''. Without rows there is no row.
+    """
+    cells = gate_counts(df.withColumn("_s", F.coalesce(F.col(stratum).cast("string"), F.lit(""))), truth, pred, "_s")
+    blocks = df.sparkSession.range((draws + _DRAWS - 1) // _DRAWS).withColumnRenamed("id", "block")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, block, *own in zip(*(batch.column(c).to_pylist() for c in ("_s", "block", "tp", "tn", "fp", "fn")), strict=True):
+                first, n = block * _DRAWS, sum(own)
+                size = min(_DRAWS, draws - first)
+                drawn = np.random.default_rng([seed, zlib.crc32(name.encode()), block]).multinomial(n, np.asarray(own) / n, size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + size)), *[pa.array(c) for c in drawn.T]], ["draw", "tp", "tn", "fp", "fn"])
+
+    drawn = cells.crossJoin(F.broadcast(blocks)).mapInArrow(draw, "draw long, tp long, tn long, fp long, fn long")  # draws / _DRAWS numbers
+    sums = drawn.groupBy("draw").agg(*[F.sum(c).alias(c) for c in ("tp", "tn", "fp", "fn")])
+    values = gate_metrics(sums).unpivot([], list(GATE_METRICS), "metric", "value").groupBy("metric")
+    q = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))  # of `draws` values
+    out = values.agg(F.count(F.lit(1)).alias("draws"), F.avg("value").alias("mean"), q.alias("q"))
+    return out.select("metric", "draws", "mean", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
+
 
 
 def prediction_distribution(df: DataFrame, raters: list[str], codebook: list[str]) -> DataFrame:

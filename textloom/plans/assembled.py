@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.operators import assembly, clustering, inference, multinomial, mutual, robustness, spectral, text, topics, wording
+from textloom.operators import assembly, clustering, evaluate, inference, multinomial, mutual, robustness, spectral, text, topics, wording
 from textloom.operators.rows import parsed
 from textloom.plans import extended  # noqa: F401  its SQL is used below
 from textloom.plans.catalogue import _WORDS, COMMENTS, GATED, ORACLES, STANCE, TOPICS, WORDED, _stats, assignments, comments, gated, query, stance, worded
@@ -24,6 +24,11 @@ def _bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("attitude", "n", "rate", "clusters", ((F.col("ci_low") <= F.col("rate")) & (F.col("rate") <= F.col("ci_high"))).alias("inside"))
 
 
+@query("q44_stratified_bootstrap")
+def _gate_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.stratified_bootstrap(gated(spark, sf), "gate", "pred", "industry")
+
+
 _REF = "1-URGENT"
 
 
