@@ -96,9 +96,10 @@ def exclusion_log(rows: DataFrame, id_col: str, text_col: str, group_col: str, g
     text = S.clean_text(F.col(text_col))
     own = F.when(F.length(text) < min_chars, "empty_text").when(F.lower(text).isin("[deleted]", "[removed]"), "deleted").when(~F.col(group_col).isin(*groups), "unexpected_group").otherwise("")
     rows = rows.withColumn("_own", own)
-    before = Window.partitionBy(id_col).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    kept_before = F.coalesce(F.max((F.col("_own") == "").cast("int")).over(before), F.lit(0)) == 1
     missing = F.trim(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) == ""
+    # Rows without an id never make duplicates, so they needn't meet.
+    before = Window.partitionBy(id_col, F.when(missing, F.xxhash64(order, text_col))).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    kept_before = F.coalesce(F.max((F.col("_own") == "").cast("int")).over(before), F.lit(0)) == 1
     return rows.withColumn("reason", F.when(missing, "missing_id").when(kept_before, "duplicate_id").otherwise(F.col("_own"))).drop("_own")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -79,14 +78,14 @@ def gate_metrics(c: DataFrame) -> DataFrame:
 
 def paired(df: DataFrame, truth: str, raters: list[str]) -> DataFrame:
     """For every pair of raters: both right, one of them, neither, and how often they say the same."""
-    t = F.col(truth)
+    t, sums, rows = F.col(truth), [], []
     cell = lambda c: F.sum(c.cast("long"))
-
-    def pair(a: str, b: str) -> DataFrame:
+    for i, (a, b) in enumerate(combinations(raters, 2)):
         x, y = F.col(a), F.col(b)
-        return df.agg(cell((x == t) & (y == t)).alias("both"), cell((x == t) & (y != t)).alias("only_a"), cell((x != t) & (y == t)).alias("only_b"), cell((x != t) & (y != t)).alias("neither"), F.avg((x == y).cast("double")).alias("agreement")).select(F.lit(a).alias("rater_a"), F.lit(b).alias("rater_b"), "*")
-
-    return reduce(DataFrame.unionByName, [pair(a, b) for a, b in combinations(raters, 2)])
+        own = {"both": cell((x == t) & (y == t)), "only_a": cell((x == t) & (y != t)), "only_b": cell((x != t) & (y == t)), "neither": cell((x != t) & (y != t)), "agreement": F.avg((x == y).cast("double"))}
+        sums += [v.alias(f"{k}_{i}") for k, v in own.items()]
+        rows.append(F.struct(F.lit(a).alias("rater_a"), F.lit(b).alias("rater_b"), *[F.col(f"{k}_{i}").alias(k) for k in own]))
+    return df.agg(*sums).select(F.inline(F.array(*rows)))  # one pass for all pairs
 
 
 def completeness(df: DataFrame, fields: list[str]) -> DataFrame:

@@ -110,9 +110,11 @@ def topic_summary(t: DataFrame, words: DataFrame, examples: DataFrame, k: int =
 
 def representatives(vectors: DataFrame, k: int = 10) -> DataFrame:
     """The k documents (doc_id, topic, v) nearest by cosine to their topic's mean."""
-    parts = vectors.where("topic <> -1").select("doc_id", "topic", F.posexplode("v").alias("i", "x"))
-    mean = parts.groupBy("topic", "i").agg(F.avg("x").alias("m"))
-    dots = parts.join(mean, ["topic", "i"]).groupBy("topic", "doc_id").agg((F.sum(F.col("x") * F.col("m")) / F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("m") * F.col("m")))).alias("cosine"))
+    rows = vectors.where("topic <> -1").select("doc_id", "topic", F.col("v").cast("array<double>").alias("v"))
+    first = rows.select(F.size("v").alias("n")).first()
+    mean = rows.groupBy("topic").agg(F.array(*[F.avg(F.col("v")[i]) for i in range(first["n"] if first else 1)]).alias("m"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    dots = rows.join(mean, "topic").select("topic", "doc_id", (dot("v", "m") / F.sqrt(dot("v", "v") * dot("m", "m"))).alias("cosine"))
     return dots.withColumn("cosine", F.round("cosine", 6)).withColumn("rank", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("cosine"), "doc_id"))).where(F.col("rank") <= k)
 
 
