@@ -30,6 +30,12 @@ def topic_by_group(t: DataFrame) -> DataFrame:
     return _count(t, "topic", "industry").withColumns(shares)
 
 
+def topic_breadth(t: DataFrame, post: str, subreddit: str) -> DataFrame:
+    """(topic, industry, n, posts, subreddits): how many distinct posts and subreddits each cell has, blanks ignored."""
+    filled = lambda c: F.when(F.trim(F.col(c).cast("string")) != "", F.trim(F.col(c).cast("string")))
+    return t.groupBy("topic", "industry").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(filled(post)).alias("posts"), F.count_distinct(filled(subreddit)).alias("subreddits"))
+
+
 def spread_entropy(t: DataFrame, groups: int, least_n: int = 10, least_share: float = 0.005) -> DataFrame:
     """How evenly a topic spreads over groups, from prevalences; 1 is even. Outliers, too, are divided by the non-outliers."""
     m = topic_by_group(t)
@@ -79,9 +85,10 @@ def merged_topics(t: DataFrame, mapping: DataFrame) -> DataFrame:
     return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
-def class_tfidf(docs: DataFrame, words: str, by: str, k: int, max_df: float = 0.8, min_df: int = 1) -> DataFrame:
-    """c-TF-IDF: a term's share of its class's tokens times ln(1 + A / f), A being tokens per class; the best k terms. Document frequency counts classes."""
-    c = docs.select(by, F.explode(words).alias("term")).groupBy(by, "term").agg(F.count(F.lit(1)).alias("n"))
+def class_tfidf(docs: DataFrame, words: str, by: str, k: int, max_df: float = 0.8, min_df: int = 1, n_max: int = 1) -> DataFrame:
+    """c-TF-IDF: a term's share of its class's terms times ln(1 + A / f), A being terms per class; the best k terms, runs of up to n_max words among them. Document frequency counts classes."""
+    runs = F.col(words) if n_max == 1 else F.flatten(F.array(*[S.ngrams(F.col(words), n) for n in range(1, n_max + 1)]))
+    c = docs.select(by, F.explode(runs).alias("term")).groupBy(by, "term").agg(F.count(F.lit(1)).alias("n"))
     term, cls = Window.partitionBy("term"), Window.partitionBy(by)
     c = c.withColumns({"f": F.sum("n").over(term), "df": F.count(F.lit(1)).over(term), "total": F.sum("n").over(cls)})
     classes = c.groupBy(by).agg(F.first("total").alias("t")).agg(F.avg("t").alias("a"), F.count(F.lit(1)).alias("classes"))

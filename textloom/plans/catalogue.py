@@ -362,4 +362,4 @@ def _late(spark: SparkSession, sf: str) -> DataFrame:
     posts = parquet(spark, sf, "orders").withColumnRenamed("o_orderkey", "l_orderkey")
     return incremental.eligible_comments(parquet(spark, sf, "lineitem"), posts, "l_orderkey", "o_orderdate", "1995-01-01", "1996-01-01").select("l_orderkey", "l_linenumber")
 
-from textloom.plans import extended, assembled, ingest, samples  # noqa: E402, F401, I001  register their queries with those above
+from textloom.plans import extended, assembled, ingest, samples, topic_tables  # noqa: E402, F401, I001  register their queries with those above
