@@ -2,10 +2,9 @@
 
 Texts are equal when they are identical once every space, tab, line feed, vertical tab, form feed
 and carriage return is deleted. Each batch is a memtable: its digests are grouped and flushed as one
-immutable run, sorted by digest, with a filter: a bitmap of the hashes of its digests. Compaction
-merges runs and their filters and keeps, for each digest, the best identifier: most code points in the
-original text, then smallest id. Digests held by several documents are hits. The filter of the hits
-decides which texts are read again and shuffled: those that may be hits, to be compared byte by byte
+immutable run, sorted by digest. Compaction merges runs and keeps, for each digest, the best identifier: most
+code points in the original text, then smallest id. Digests held by several documents are hits. A filter, a bitmap of
+the hits' hashes made when all runs are merged, decides which texts are read again and shuffled: those that may be hits, to be compared byte by byte
 before documents count as equal. All others are known to be single.
 
 A filter has FILTER_BITS bits at most, whatever the corpus, so it may be broadcast; a fuller one lets more

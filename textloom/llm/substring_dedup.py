@@ -7,7 +7,7 @@ its own smallest k-gram, so equal windows lie in stretches with an equal anchor,
 written as one fingerprint (anchor, 128-bit digest of its words) for the some twenty windows it holds.
 
 The index is a log of immutable runs, each sorted by fingerprint, holding for each fingerprint the
-documents that have it, and after compaction the smallest. A new batch is merge-joined with the runs and with itself:
+documents that have it, and after compaction the smallest. A new batch is joined with the runs and with itself, by a shuffle on fingerprints:
 
 1. A stretch whose digest belongs to a smaller document goes as a whole. The digest covers the words'
    bytes, which verifies the hit.

@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by adaptive dimension scan over an inverted-list index.
 
 Vectors are turned by a random orthogonal matrix, so that the first columns of a difference are a fair
-sample of all of it, and kept in lists by their nearest centroid, in blocks of bounded size. For each
-query the lists are probed in order of the centroids' distances. Within a probed list the columns are
-read block by block: after d of D columns a candidate whose partial squared distance, scaled by D / d,
-exceeds the tenth best so far by the margin (1 + EPSILON / sqrt(d))^2 fails the hypothesis test that it
-may still belong to the nearest, and is abandoned (Gao and Long, 2023). Survivors get their full
+sample of all of it, and kept in lists by their nearest centroid, in blocks of bounded size. Each
+query probes the lists of its nearest centroids, all side by side. Within a block of a probed list the
+columns are read some at a time: after d of D columns a candidate whose partial squared distance, scaled by D / d,
+exceeds the k-th best of the block's first rows by the margin (1 + EPSILON / sqrt(d))^2 fails the hypothesis test that it
+may still belong to the nearest, and is abandoned (Gao and Long, 2023). That bound is each block's own;
+none is carried from list to list. Survivors get their full
 distance; reported distances are computed from the original vectors in double precision.
 
 Queries and blocks meet by list in a shuffle; a list's rows are dealt over blocks of a fixed size, so
