@@ -111,6 +111,11 @@ def test_prefixes_of_alike_sets_meet():
         b = np.unique(np.concatenate([r.permutation(a)[gone:], r.integers(0, 2**63, max(0, int(len(a) * 0.25) - gone)).astype(np.uint64)]))
         if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
             assert len(np.intersect1d(simhash.prefix(a, levels, 0.8), simhash.prefix(b, levels, 0.8)))
+            of_a, of_b = (np.frombuffer(simhash.sketch(x), "<u2")[None] for x in (a, b))
+            assert simhash.can_be_alike(of_a, of_b, 0.8).all()
+    many = np.unique(r.integers(0, 2**63, 3000).astype(np.uint64))
+    of_half = [np.frombuffer(simhash.sketch(x), "<u2")[None] for x in (many[:2000], many[1000:])]
+    assert not simhash.can_be_alike(*of_half, 0.8).any()
 
 
 def test_near_candidates_are_complete_within_the_bound():

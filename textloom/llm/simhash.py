@@ -18,8 +18,8 @@ nearest of each text first and then the others wherever the two are not yet conn
 That finds most links, and the large classes; an exact way finds the rest. In one order of all shingles two sets of
 that similarity share one among the first n - ceil(0.8 n) + 1 of each, n being a set's size. The order goes
 by how often a shingle's bucket occurs in all texts, rare ones first, so that passages which many texts share seldom are
-among them. Texts are paired where such a shingle joins two classes that are still apart, sizes and places
-allow the similarity, and the sets confirm it. Shingles that lie within one class are left out before pairs arise.
+among them. Texts are paired where such a shingle joins two classes that are still apart, and sizes, places and
+then sketches of the sets, which bound what they have in common, allow the similarity; the sets confirm it. Shingles that lie within one class are left out before pairs arise.
 
 Defined results: a null or empty text, or one without words, has the fingerprint zero, linked like
 any other. A text of one or two words has one shingle. Null ids take part, but name a component only
@@ -319,7 +319,38 @@ def _prefix_batches(text_col: str, levels, similarity: float):
         for batch in batches:
             sets = [shingle_set(t.as_py(), held) for t in batch.column("row").field(text_col)]
             first = [prefix(g, levels.value, similarity).view(np.int64) if len(g) else g.view(np.int64) for g in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(g) for g in sets], pa.int32()), pa.array(first, pa.list_(pa.int64()))], ["node", "size", "grams"])
+            arrays = [batch.column("node"), pa.array([len(g) for g in sets], pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array([sketch(g) for g in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["node", "size", "grams", "sketch"])
+
+    return run
+
+
+#: Parts of a set's sketch, two bytes each.
+SKETCH = 256
+
+
+def sketch(grams: np.ndarray) -> bytes:
+    """How many of a set's shingles fall in each of SKETCH parts of all hashes. A part of more than 65,535 counts as that many, and sets with one are never told apart by it."""
+    counts = np.bincount(((grams * _LANES[2]) >> np.uint64(56)).astype(np.int64), minlength=SKETCH)
+    return np.minimum(counts, 65_535).astype("<u2").tobytes()
+
+
+def can_be_alike(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Rows of two sketches: whether the sets may have the similarity. They have no more in common than the lesser count of each part."""
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    most, both = np.minimum(a, b).sum(axis=1), a.sum(axis=1) + b.sum(axis=1)
+    return (most >= similarity / (1 + similarity) * both - 1e-6) | (np.maximum(a, b).max(axis=1) >= 65_535)
+
+
+def _sketch_batches(similarity: float):
+    def rows(column: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, SKETCH)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keep = can_be_alike(rows(batch.column("of_a")), rows(batch.column("of_b")), similarity)
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
@@ -327,17 +358,20 @@ def _prefix_batches(text_col: str, levels, similarity: float):
 def pairs_apart(printed: DataFrame, known: DataFrame, similarity: float, text_col: str, folder: str) -> DataFrame:
     """(a, b): every two nodes of different classes that can have the similarity. known: (node, component) of nodes in a class with others."""
     levels = printed.sparkSession.sparkContext.broadcast(gram_levels(printed, text_col))
-    sets = printed.select("row", "node").mapInArrow(_prefix_batches(text_col, levels, similarity), "node long, size int, grams array<long>")
-    sets = sets.groupBy("node").agg(F.first("size").alias("size"), F.first("grams").alias("grams")).join(known, "node", "left")
-    posted = sets.select("node", "size", F.coalesce("component", "node").alias("class"), F.posexplode("grams").alias("at", "gram"))
-    posted = storage.write_table(posted, f"{folder}/prefixes")
+    sets = printed.select("row", "node").mapInArrow(_prefix_batches(text_col, levels, similarity), "node long, size int, grams array<long>, sketch binary")
+    sets = sets.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "grams", "sketch")]).join(known, "node", "left")
+    sets = storage.write_table(sets.select("node", "size", "grams", "sketch", F.coalesce("component", "node").alias("class")), f"{folder}/prefixes")
+    posted = sets.select("node", "size", "class", F.posexplode("grams").alias("at", "gram"))
     joining = posted.groupBy("gram").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("gram")
     joining = storage.write_table(posted.join(joining, "gram", "left_semi"), f"{folder}/joining")
     a, b = (joining.select("gram", *[F.col(c).alias(f"{c}_{e}") for c in ("node", "size", "class", "at")]) for e in "ab")
     least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - 1e-9)  # shingles in common
     able = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= least
     both = a.join(b, "gram").where((F.col("node_a") < F.col("node_b")) & (F.col("class_a") != F.col("class_b")) & able)
-    return both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    pairs = storage.write_table(both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), f"{folder}/pairs")
+    # Sketches tell apart most texts that share a passage, before whole sets move.
+    of = lambda e: sets.select(F.col("node").alias(e), F.col("sketch").alias(f"of_{e}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(_sketch_batches(similarity), "a long, b long")
 
 
 def _sets_of(pairs: DataFrame, texts: DataFrame, path: str) -> DataFrame:
