@@ -111,3 +111,27 @@ def test_streamed_upsert(spark, events, tmp_path):
     want = source.groupBy("kind").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
     assert sorted((r.kind, r.event_id) for r in t.read().collect()) == sorted((r.kind, r.event_id) for r in want.collect())
     assert t._manifest()[0] == 2
+
+
+@pytest.mark.parametrize("page", [1, 7, 1000])
+def test_laid_out_table_gives_the_same_pages(spark, events, tmp_path, monkeypatch, page):
+    laid = paged.laid_out(spark.read.parquet(events), "ts", "event_id", str(tmp_path / "service"))
+    want, got = ({"path": p, "time": "ts", "id": "event_id"} for p in (events, laid))
+    for after, before in [(0, 4000), (1001, 1500), (1002, 1003), (1600, 1900), (3000, 3001), (5000, 6000)]:
+        assert paged.laid_out_pages(got, after, before, page).column("event_id").to_pylist() == paged.table_pages(want, after, before, page).column("event_id").to_pylist()
+    spark.dataSource.register(paged.Paged)
+    read = spark.read.format("paged").options(**paged.options_for(spark, laid, "ts", "event_id", page, 500, 0, 4000, paged.laid_out_pages)).load()
+    assert sorted(map(str, read.collect())) == sorted(map(str, spark.read.parquet(events).collect()))
+
+
+def test_laid_out_pages_read_what_they_hold(spark, tmp_path, monkeypatch):
+    """Pages over a whole table read each row group about once, not all that is left each time."""
+    monkeypatch.setattr(paged, "_GROUP_BYTES", 1 << 12)
+    rows = spark.range(40_000).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") % 9_973).alias("ts"), F.lit(None).cast("string").alias("kind"))
+    laid = paged.laid_out(rows, "ts", "event_id", str(tmp_path / "service"))
+    asked, read = {"path": laid, "time": "ts", "id": "event_id"}, 0
+    groups = paged._groups(laid)[0]
+    assert len(groups) > 20
+    paged._group.cache_clear()
+    got = [i for p in paged.pages(lambda a, b, n: paged.laid_out_pages(asked, a, b, n), lambda t: t.column("_second"), 0, 10_000, 100) for i in p.column("event_id").to_pylist()]
+    assert sorted(got) == list(range(40_000)) and paged._group.cache_info().misses == len(groups)

@@ -5,6 +5,10 @@ it got, as that may go on in the next page, and gives out a second only when a l
 is whole; so rows that share the last second of a full page aren't lost, as they are where the next cursor is that second
 plus one. A short page ends the reading. A second that alone fills a page is asked for with twice the size.
 
+A Parquet table can stand in for such a service (`table_pages`), but then each page reads and sorts all that is left of its span. For
+tables of size, `laid_out` sorts the table by time once, in Spark; `laid_out_pages` then finds a page by the first and last second of
+each row group and reads no more than the groups that the page is in.
+
 Time is cut into spans, each read by a task of its own. A stream's offset is the second up to which all has been read, so a
 restarted one goes on from its checkpoint.
 """
@@ -12,11 +16,15 @@ restarted one goes on from its checkpoint.
 from __future__ import annotations
 
 import importlib
+import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Mapping
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -35,6 +43,69 @@ def table_pages(options: Mapping[str, str], after: int, before: int, limit: int)
     return data.to_table(filter=(when >= at(after)) & (when < at(before))).sort_by([(options["time"], "ascending"), (options["id"], "ascending")]).slice(0, limit)
 
 
+#: Bytes of rows in a row group of a laid-out table, and the column that holds a row's second.
+_GROUP_BYTES, _SECOND = 1 << 18, "_second"
+
+
+def _micros(rows: DataFrame, time: str) -> Column:
+    """Since 1970; of a time without zone, whatever the session's zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{time}`)") if dict(rows.dtypes)[time] == "timestamp_ntz" else F.unix_micros(time)
+
+
+def laid_out(rows: DataFrame, time: str, id_col: str, path: str) -> str:
+    """Writes rows sorted by time and id, in files and row groups of ascending seconds, and returns the path. Rows without a time have no page and are left out."""
+    timed = rows.where(F.col(time).isNotNull()).withColumn(_SECOND, F.floor(_micros(rows, time) / 1_000_000))
+    dealt = timed.repartitionByRange(_SECOND, id_col).sortWithinPartitions(_SECOND, time, id_col)
+    dealt.write.option("parquet.block.size", _GROUP_BYTES).parquet(path)
+    return path
+
+
+@lru_cache(maxsize=4)
+def _groups(path: str) -> tuple[list[int], list[int], list[tuple[object, str, int]], pa.Schema]:
+    """Of a laid-out table: first and last second of each row group, where it is, and the schema. Small numbers, read once in a worker."""
+    import pyarrow.fs as fs
+    import pyarrow.parquet as pq
+
+    files, folder = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), re.sub("^file:/*", "/", path))
+    names = sorted(f.path for f in files.get_file_info(fs.FileSelector(folder)) if f.base_name.endswith(".parquet"))
+    firsts, lasts, places, schema = [], [], [], None
+    for name in names:
+        with pq.ParquetFile(name, filesystem=files) as f:
+            schema, at = f.schema_arrow, f.metadata.schema.names.index(_SECOND)
+            for i in range(f.metadata.num_row_groups):
+                seconds = f.metadata.row_group(i).column(at).statistics
+                firsts.append(seconds.min), lasts.append(seconds.max), places.append((files, name, i))
+    return firsts, lasts, places, schema
+
+
+@lru_cache(maxsize=4)
+def _opened(path: str, n: int):
+    import pyarrow.parquet as pq
+
+    files, name, _ = _groups(path)[2][n]
+    return pq.ParquetFile(name, filesystem=files)
+
+
+@lru_cache(maxsize=8)
+def _group(path: str, n: int) -> pa.Table:
+    """A row group; the next pages are mostly in the same one."""
+    places = _groups(path)[2]
+    first = n - places[n][2]  # groups of a file follow each other
+    return _opened(path, first).read_row_group(places[n][2])
+
+
+def laid_out_pages(options: Mapping[str, str], after: int, before: int, limit: int) -> pa.Table:
+    """The same pages as `table_pages`, of a table that `laid_out` wrote."""
+    firsts, lasts, _, schema = _groups(options["path"])
+    held, rows, n = [], 0, bisect_left(lasts, after)
+    while n < len(firsts) and firsts[n] < before and rows < limit:
+        group = _group(options["path"], n)
+        seconds = group.column(_SECOND)
+        held.append(group.filter(pc.and_(pc.greater_equal(seconds, after), pc.less(seconds, before))).slice(0, limit - rows))
+        rows, n = rows + held[-1].num_rows, n + 1
+    return pa.concat_tables(held) if held else (schema.empty_table() if schema else pa.table({}))
+
+
 def pages(fetch: Fetch, second: Callable[[pa.Table], pa.Array], after: int, before: int, limit: int) -> Iterator[pa.Table]:
     """All rows with after <= second < before, each once."""
     size = limit
@@ -111,8 +182,8 @@ class Paged(DataSource):
         return _Stream(schema, self.options)
 
 
-def options_for(spark: SparkSession, path: str, time: str, id_col: str, page: int, span: int, first: int, until: int) -> dict[str, str]:
-    """The options under which a Parquet table is read in pages."""
-    schema = ", ".join(f"`{c}` {t}" for c, t in spark.read.parquet(path).dtypes)
-    given = {"schema": schema, "fetch": f"{__name__}:table_pages", "path": path, "time": time, "id": id_col, "page": page, "span": span, "first": first, "until": until}
+def options_for(spark: SparkSession, path: str, time: str, id_col: str, page: int, span: int, first: int, until: int, fetch: Fetch = table_pages) -> dict[str, str]:
+    """The options under which a Parquet table is read in pages; fetch is `laid_out_pages` for one that `laid_out` wrote."""
+    schema = ", ".join(f"`{c}` {t}" for c, t in spark.read.parquet(path).dtypes if c != _SECOND)
+    given = {"schema": schema, "fetch": f"{__name__}:{fetch.__name__}", "path": path, "time": time, "id": id_col, "page": page, "span": span, "first": first, "until": until}
     return {k: str(v) for k, v in given.items()}
