@@ -35,3 +35,43 @@ def test_class_tfidf_gathers_no_class_in_a_task(spark):
     for r in got.collect():
         f = sum(n for (_, t), n in want.items() if t == r.term)
         assert math.isclose(r.score, want[r.industry, r.term] / total[r.industry] * math.log(1 + mean / f))
+
+
+def _words(spark):
+    rows = [(i, "yes" if i % 2 else "no", [f"w{(i * k) % 13}" for k in range(i % 9)]) for i in range(60)]
+    return spark.createDataFrame(rows, "doc_id long, gate string, words array<string>")
+
+
+def test_terms_arise_after_documents_are_dealt(spark):
+    docs = _words(spark).unionByName(_words(spark).where("doc_id < 3"))  # ids that repeat count as one document
+    stats = text.term_stats(docs, "words", ["gate"], 2)
+    plan = _plan(stats)
+    assert "hashpartitioning(gate" not in plan.split("Generate")[0].split("partial_sum")[-1]  # no shuffle of each document's terms
+    seen, of = {}, {}
+    for r in docs.collect():
+        for i in range(len(r.words) - 1):
+            key = r.gate, f"{r.words[i]} {r.words[i + 1]}"
+            seen[key] = seen.get(key, 0) + 1
+            of.setdefault(key, set()).add(r.doc_id)
+    assert {(r.gate, r.term): (r.f, r.df) for r in stats.collect()} == {k: (n, len(of[k])) for k, n in seen.items()}
+
+
+def test_keyness_counts_terms_once(spark):
+    got = text.keyness(_words(spark), "words", "gate", 2, 1, 1).select("term", "z")
+    got.collect()
+    assert got._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") > 0
+
+
+def test_collocations_look_around_keywords_only(spark):
+    docs = _words(spark)
+    got = text.collocations(docs, "words", spark.createDataFrame([("w1",), ("w6",)], "term string"), 2, 1, 100)
+    plan = _plan(got)
+    assert "array_distinct" not in plan and plan.count("size(") <= 4  # no filter repeats the words or the pairs
+    want = {}
+    for r in docs.collect():
+        for i, x in enumerate(r.words):
+            for y in r.words[max(0, i - 2) : i] + r.words[i + 1 : i + 3]:
+                if x in ("w1", "w6") and x != y:
+                    n, of = want.setdefault((x, y), [0, set()])
+                    want[x, y] = [n + 1, of | {r.doc_id}]
+    assert {(r.keyword, r.collocate): (r.pairs, r.df) for r in got.collect()} == {k: (n, len(of)) for k, (n, of) in want.items()}

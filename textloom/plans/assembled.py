@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.operators import assembly, clustering, evaluate, inference, multinomial, mutual, robustness, spectral, text, topics, wording
+from textloom.operators import assembly, clustering, evaluate, inference, multinomial, mutual, robustness, spectral, stages, text, topics, wording
 from textloom.operators.rows import parsed
 from textloom.plans import extended  # noqa: F401  its SQL is used below
 from textloom.plans.catalogue import _WORDS, COMMENTS, GATED, ORACLES, STANCE, TOPICS, WORDED, _stats, assignments, comments, gated, query, stance, worded
@@ -151,7 +151,7 @@ def _topic_words(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("q05_evidence_table")
 def _evidence(spark: SparkSession, sf: str) -> DataFrame:
-    w = worded(gated(spark, sf))
+    w = stages.kept(worded(gated(spark, sf)), "words")  # read by each part, cut into words once
     keyed = None
     for n in (1, 2):
         one = text.keyness(w, "words", "gate", n, 10 if n == 1 else 5, 5).withColumn("n", F.lit(n))
