@@ -75,3 +75,16 @@ def test_collocations_look_around_keywords_only(spark):
                     n, of = want.setdefault((x, y), [0, set()])
                     want[x, y] = [n + 1, of | {r.doc_id}]
     assert {(r.keyword, r.collocate): (r.pairs, r.df) for r in got.collect()} == {k: (n, len(of)) for k, (n, of) in want.items()}
+
+
+def test_text_vectors_send_only_buckets_to_python(spark, monkeypatch):
+    from textloom.operators import spectral
+
+    seen = []
+    kept = spectral.stages.kept
+    monkeypatch.setattr(spectral.stages, "kept", lambda df, label: seen.append(_plan(df)) or kept(df, label))
+    monkeypatch.setattr(spectral, "_WORDS", 4)  # several parts in a batch
+    rows = spark.createDataFrame([(i, [f"w{j}" for j in range(i)] if i else None) for i in range(7)], "doc_id long, words array<string>")
+    got = {r.doc_id: r.v for r in spectral.text_vectors(rows, "words", 8).collect()}
+    assert "MapInArrow" not in seen[0] and "ArrowEvalPython" in seen[0]
+    assert [sum(x > 0 for x in got[i]) for i in (0, 1)] == [0, 1] and len(got) == 7 and all(len(v) == 8 for v in got.values())

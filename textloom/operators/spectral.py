@@ -12,15 +12,18 @@ a small dense problem, and the vectors that it finds start the next cycle until
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators import neighbours, stages
 
+#: Words that a task counts at once, but for a longer text.
+_WORDS = 1 << 20
+
 
 def fuzzy_graph(near: DataFrame) -> DataFrame:
     """(a, b, weight), each edge both ways, from a neighbour table (id, other, distance, rank)."""
@@ -140,21 +143,27 @@ def leading(graph: DataFrame, dims: int, steps: int = 10, cycles: int = 12, tole
     return table.select("id", F.array(*[F.col("q")[i + 1] * s for i, s in enumerate(signs)]).alias("x")), values[:most]
 
 
-def text_vectors(docs: DataFrame, words: str, width: int = 256) -> DataFrame:
-    """Column v: each row's words as hashed counts, weighted by ln((1 + rows) / (1 + rows with the bucket)). Rows without words get zeros. One pass over the words for the counts, one for the rows that hold each bucket; no row moves."""
-    buckets = F.transform(F.coalesce(F.col(words), F.array().cast("array<string>")), lambda w: F.pmod(F.xxhash64(w), F.lit(width)).cast("int"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    names = docs.columns
+def _bucket_counts(width: int) -> Callable[[Column], Column]:
+    """Lists of buckets -> how often each of `width` buckets stands in the list."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("_b")
-            sizes = np.diff(lists.offsets.to_numpy())
-            at = np.repeat(np.arange(len(sizes)), sizes) * width + lists.flatten().to_numpy(zero_copy_only=False)
-            v = np.bincount(at, minlength=len(sizes) * width).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.FixedSizeListArray.from_arrays(pa.array(v), width).cast(pa.list_(pa.float64()))], [*names, "v"])
+    @F.arrow_udf("array<double>")
+    def counts(lists: pa.Array) -> pa.Array:
+        sizes, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(zero_copy_only=False)
+        ends, out, at = np.cumsum(sizes), np.zeros((len(sizes), width)), 0
+        while at < len(sizes):  # so many rows that their words take little memory
+            until = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _WORDS, "right")))
+            own = flat[ends[at - 1] if at else 0 : ends[until - 1]]
+            out[at:until] = np.bincount(np.repeat(np.arange(until - at), sizes[at:until]) * width + own, minlength=(until - at) * width).reshape(-1, width)
+            at = until
+        return pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), width).cast(pa.list_(pa.float64()))
 
-    counted = stages.kept(docs.withColumn("_b", buckets).mapInArrow(count, f"{schema}, v array<double>"), "counts")
+    return counts
+
+
+def text_vectors(docs: DataFrame, words: str, width: int = 256) -> DataFrame:
+    """Column v: each row's words as hashed counts, weighted by ln((1 + rows) / (1 + rows with the bucket)). Rows without words get zeros. One pass over the words for the counts, one for the rows that hold each bucket; no row moves, and of a row only its buckets reach Python."""
+    buckets = F.transform(F.coalesce(F.col(words), F.array().cast("array<string>")), lambda w: F.pmod(F.xxhash64(w), F.lit(width)).cast("int"))
+    counted = stages.kept(docs.withColumn("v", _bucket_counts(width)(buckets)), "counts")
     held = stages.total(counted, lambda b: np.append((neighbours.matrix(b.column("v")) > 0).sum(0), b.num_rows).astype(float), width + 1)
     weight = F.array(*[F.lit(float(x)) for x in np.log((1 + held[-1]) / (1 + held[:-1]))])
     return counted.withColumn("v", F.zip_with("v", weight, lambda x, w: x * w))
