@@ -16,7 +16,8 @@ taken from the first alone. The pieces left out are verified to differ by exactl
 Words are counted by one pass over the texts that adds up within each task, so that frequent words reach
 the shuffle once a task. The words' table is written to the shared folder; the join reads it twice.
 What the edit's piece is taken out of is held by few words, and nothing is gathered for a key; pairs
-that aren't near are dropped inside the join.
+that aren't near are dropped inside the join. All tables of words grow with the vocabulary, so none is broadcast, however few bytes its
+file takes: their joins are by merging, and each round of `roots` is written, not planned anew inside the next.
 
 Defined results: a null text has no words, nor has an empty one; a null id counts as the text '' in a word's
 hash. Repeated rows count each time. Of near words with equally large n the first in code-point order is
@@ -110,7 +111,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     first = (F.col("number") == 0) | (F.substring("of_long", F.lit(2), F.char_length("of_short")) != F.col("of_short"))
     near = F.when(more == 0, F.col("of_short") < F.col("of_long")).otherwise(first) & (F.levenshtein("of_short", "of_long", 1) == 1)
     whole = lambda piece: F.replace(F.col("rest"), F.lit("|"), F.col(piece))
-    return index.join(probes, ["size", "number", "rest"]).where(near).select(whole("of_short").alias("short"), "n_short", whole("of_long").alias("long"), "n_long")
+    return index.hint("merge").join(probes, ["size", "number", "rest"]).where(near).select(whole("of_short").alias("short"), "n_short", whole("of_long").alias("long"), "n_long")
 
 
 def roots(forms: DataFrame, most: int) -> DataFrame:
@@ -119,7 +120,7 @@ def roots(forms: DataFrame, most: int) -> DataFrame:
     out = forms.select("word", F.col("form").alias("root"))
     for _ in range(math.ceil(math.log2(steps))):
         onward = out.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        out = out.join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root"))
+        out = storage.materialise(out.join(onward.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root")), "spelling-roots")
     return out
 
 
@@ -136,5 +137,5 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     enough = -F.col("best.less") >= TIMES_MORE * F.col("own")
     near = storage.materialise(best.select("word", "n_near", F.when(enough, F.col("best.near")).alias("form"), F.when(enough, -F.col("best.less")).alias("form_n")), "spelling-near")
     last = roots(near.where("form IS NOT NULL"), most)
-    out = words.join(near, "word", "left").join(last, "word", "left")
+    out = words.join(near.hint("merge"), "word", "left").join(last.hint("merge"), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form_n")
