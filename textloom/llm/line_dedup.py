@@ -11,9 +11,13 @@ sets that differ by d words differ by at most d of them, which turns most other
 Equal sets collapse before the join: lines are grouped by two digests of their sets, without their words, and
 only the first line of each set yields postings. Words that occur once can't be shared and give no posting. What a
 common word yields is the nearest earlier candidate of each set, not the pairs. Its words are fetched
-and compared. Where that fails and a set has other candidates, the postings of its words go through the
-join once more, now with their sets' words, and every candidate is compared until one matches; so no
-match is lost, and again a posting yields one row at most.
+and compared. Parity bits tell little about sets of many more words than bits, so larger sets carry WIDE bits
+at most as well.
+
+Where that fails and a set has other candidates, it is open. Postings that can meet an open one, by word and
+size, go through the join once more, to find the sets that are open or some open set's candidate: a row for each
+posting at most. The postings of these, and no others, go through it a third time, now with their sets' words, and every
+candidate is compared until one matches; so no match is lost, and again a posting yields one row at most.
 
 A task holds, of one word, the postings within the length filter of the current one.
 
@@ -27,6 +31,7 @@ other id may be. An empty table gives an empty table. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +47,12 @@ BUCKETS = 1 << 20
 #: Bytes of text that are split at once, but for a longer text; postings compared at once, but for those that one word needs.
 _CHUNK = 1 << 20
 _POSTINGS = 1 << 17
+#: Sets of more words than SMALL carry further parity bits, WIDE at most.
+SMALL, WIDE = 192, 512
+#: Bits of the filter of what can meet an open set, and the ratio of sizes that it holds as one.
+_MEETING_BITS, _CLASS = 1 << 27, 1.1
+#: Parts of the words whose postings are shuffled one after the other, so that not all are on disk at once.
+PASSES = 2
 _NULL_ID = -(2**63)
 
 _U = np.uint64
@@ -143,10 +154,37 @@ def _line_table(data: bytes, n_lines: int, frequency: np.ndarray, t: float) -> d
     places = np.repeat(at + skip - offsets[:-1], held) + np.arange(offsets[-1])
     prefix = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes[places].view(np.int64)))
     parity = {"s1": by_line(np.bitwise_xor, np.where(bit < 64, one, _U(0))), "s2": by_line(np.bitwise_xor, np.where(bit < 64, _U(0), one))}
-    return out | parity | {"skip": skip.astype(np.int32), "prefix": prefix}
+    return out | parity | {"wide": _wide_bits(hashes, size, at), "skip": skip.astype(np.int32), "prefix": prefix}
+
+
+def _wide_bits(hashes: np.ndarray, size: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Parity bits of sets of more than SMALL words, about as many as the set has words; null for others. The half of them, one part xor the other, are those that a smaller set has."""
+    out: list[bytes | None] = [None] * len(size)
+    place = (_mix(hashes, 4) & _U(WIDE - 1)).astype(np.int64)
+    for i in np.flatnonzero(size > SMALL).tolist():
+        bits = min(WIDE, 1 << (int(size[i]) - 1).bit_length())
+        odd = np.bincount(place[at[i] : at[i] + size[i]] & (bits - 1), minlength=bits) & 1
+        out[i] = np.packbits(odd.astype(np.uint8)).tobytes()
+    return pa.array(out, pa.binary())
 
 
-_LINES = "doc_id long, line int, size int, d1 long, d2 long, s1 long, s2 long, skip int, prefix array<long>"
+def _wide_apart(wide: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """In how many wide bits the sets p and q differ at least, pair by pair; 0 where one has none."""
+    out = np.zeros(len(p), np.int64)
+    length = lambda x: np.fromiter((0 if b is None else len(b) for b in wide[x]), np.int64, len(x))
+    lp, lq = length(p), length(q)
+    for m, n in {*zip(lp.tolist(), lq.tolist(), strict=True)}:
+        if m and n:
+            at = np.flatnonzero((lp == m) & (lq == n))
+            rows = [np.frombuffer(b"".join(wide[x[at]]), np.uint64).reshape(len(at), -1) for x in (p, q)]
+            least = min(m, n) // 8
+            while any(r.shape[1] > least for r in rows):
+                rows = [r[:, : r.shape[1] // 2] ^ r[:, r.shape[1] // 2 :] if r.shape[1] > least else r for r in rows]
+            out[at] = np.bitwise_count(rows[0] ^ rows[1]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+_LINES = "doc_id long, line int, size int, d1 long, d2 long, s1 long, s2 long, wide binary, skip int, prefix array<long>"
 
 
 def _line_batches(shared, t: float):
@@ -190,8 +228,8 @@ def _pair_batch(a: dict[str, np.ndarray], later: np.ndarray, earlier: np.ndarray
     return pa.RecordBatch.from_arrays([pa.array(c) for c in [*columns, score, more]], [c.split()[0] for c in _PAIRS.split(", ")])
 
 
-def _candidates(a: dict[str, np.ndarray], compared: int, t: float, every: bool) -> Iterator[pa.RecordBatch]:
-    """Postings sorted by word and size; the first `compared` of them have met each other. every: an earlier set that matches each open one by its words, else the nearest earlier set of each."""
+def _candidates(a: dict[str, np.ndarray], compared: int, t: float, kind: str) -> Iterator[pa.RecordBatch]:
+    """Postings sorted by word and size; the first `compared` of them have met each other. kind: the "nearest" earlier set of each; the "members", each with itself, of any pair whose later set is open; or of each open one an earlier set that matches it by its "words"."""
     n = len(a["word"])
     size, place, word, s1, s2 = a["size"].astype(np.int64), a["place"].astype(np.int64), a["word"], a["s1"].view(np.uint64), a["s2"].view(np.uint64)
     bounds = np.concatenate([np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])), [n]])
@@ -218,10 +256,21 @@ def _candidates(a: dict[str, np.ndarray], compared: int, t: float, every: bool)
         apart = np.bitwise_count(s1[i] ^ s1[j]).astype(np.int64) + np.bitwise_count(s2[i] ^ s2[j])
         ok = (apart <= both - 2 * need) & (j >= compared)
         ok &= np.minimum(place[i], place[j]) + np.minimum(size[i] - place[i], size[j] - place[j]) >= need
+        if kind != "nearest":
+            ok &= a["open"][i] | a["open"][j]
+        ok = np.flatnonzero(ok)
+        if (large := (size[i[ok]] > SMALL) & (size[j[ok]] > SMALL)).any():
+            far = ok[large]
+            apart[far] = np.maximum(apart[far], _wide_apart(a["wide"], i[far], j[far]))
+            ok = ok[apart[ok] <= both[ok] - 2 * need[ok]]
         p, q, score = i[ok], j[ok], apart[ok] / both[ok]
         swap = rank[p] > rank[q]
         for late, early, s in ((p[swap], q[swap], score[swap]), (q[~swap], p[~swap], score[~swap])):  # no index stands twice in `late`
-            if every:
+            if kind == "members":
+                own = a["open"][late]
+                nearest[late[own]], nearest[early[own]] = late[own], early[own]
+                continue
+            if kind == "words":
                 for x, y in zip(late.tolist(), early.tolist(), strict=True):
                     if a["open"][x] and nearest[x] < 0:
                         common = len(words_of(x) & words_of(y))
@@ -235,7 +284,7 @@ def _candidates(a: dict[str, np.ndarray], compared: int, t: float, every: bool)
     yield _pair_batch(a, hit, nearest[hit], best[hit], more[hit])
 
 
-def _candidate_batches(t: float, every: bool):
+def _candidate_batches(t: float, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, compared = [], 0, 0
         for batch in batches:
@@ -243,19 +292,19 @@ def _candidate_batches(t: float, every: bool):
             rows += batch.num_rows
             if rows - compared >= _POSTINGS:
                 a = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
-                yield from _candidates(a, compared, t, every)
+                yield from _candidates(a, compared, t, kind)
                 keep = (a["word"] == a["word"][-1]) & (a["size"] >= t * a["size"][-1] - 1e-9)
                 held = [{c: x[keep] for c, x in a.items()}]
                 rows = compared = int(keep.sum())
         if rows > compared:
-            yield from _candidates({c: np.concatenate([h[c] for h in held]) for c in held[0]}, compared, t, every)
+            yield from _candidates({c: np.concatenate([h[c] for h in held]) for c in held[0]}, compared, t, kind)
 
     return run
 
 
 def _postings(sets: DataFrame) -> DataFrame:
-    exploded = sets.select("doc_id", "line", "d1", "size", "s1", "s2", "skip", *[c for c in ("open",) if c in sets.columns], F.posexplode("prefix").alias("pos", "word"))
-    return exploded.withColumn("place", F.col("pos") + F.col("skip")).drop("pos", "skip")
+    exploded = sets.select("doc_id", "line", "d1", "size", "s1", "s2", "wide", "skip", *[c for c in ("open", "words") if c in sets.columns], F.posexplode("prefix").alias("pos", "word"))
+    return exploded.where("word IS NOT NULL").withColumn("place", F.col("pos") + F.col("skip")).drop("pos", "skip")
 
 
 def _firsts(rows: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
@@ -264,12 +313,67 @@ def _firsts(rows: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
     split = Filter(several.select("digest"), several.count(), folder).split(rows.withColumnRenamed("d1", "digest"))
     held = split.where("may_hold").join(several.select("digest", "d2", F.col("doc_id").alias("of"), F.col("line").alias("at")), ["digest", "d2"], "left")
     held = held.where("of IS NULL OR (doc_id = of AND line = at)").dropDuplicates(["digest", "d2"])  # rows that repeat an id and a text
-    columns = ["doc_id", "line", "size", F.col("digest").alias("d1"), "s1", "s2", "skip", "prefix"]
+    columns = ["doc_id", "line", "size", F.col("digest").alias("d1"), "s1", "s2", "wide", "skip", "prefix"]
     return split.where("NOT may_hold").select(*columns).unionByName(held.select(*columns))
 
 
-def _pairs(postings: DataFrame, t: float, every: bool) -> DataFrame:
-    return postings.repartition("word").sortWithinPartitions("word", "size").mapInArrow(_candidate_batches(t, every), _PAIRS)
+def _pairs(postings: DataFrame, t: float, kind: str) -> DataFrame:
+    return postings.repartition("word").sortWithinPartitions("word", "size").mapInArrow(_candidate_batches(t, kind), _PAIRS)
+
+
+def _meeting_places(words: np.ndarray, classes: np.ndarray, bits: int) -> np.ndarray:
+    return (_mix(words.view(np.uint64) ^ _mix(classes.astype(np.uint64), 5), 6) & _U(bits - 1)).astype(np.int64)
+
+
+def _class_of(sizes: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(sizes, 1)) / np.log(_CLASS)).astype(np.int64)
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The prefixes' words, the row that each is of, and the rows' sizes."""
+    lists = batch.column("prefix")
+    counts = np.diff(lists.offsets.to_numpy())
+    return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(counts)), counts), batch.column("size").to_numpy().astype(np.int64)
+
+
+def _meeting_filter(open_sets: DataFrame, t: float) -> tuple[np.ndarray, int]:
+    """A bitmap of the words of open sets with the classes of sizes that can match, _MEETING_BITS bits at most."""
+    count = open_sets.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    bits = max(1 << 15, min(_MEETING_BITS, 1 << (64 * max(count, 1) - 1).bit_length()))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, row, size = _flat(batch)
+            low, high = _class_of(np.floor(t * size))[row], _class_of(np.ceil(size / t))[row]
+            for k in range(int((high - low).max(initial=-1)) + 1):
+                own = low + k <= high
+                yield pa.RecordBatch.from_arrays([pa.array(_meeting_places(words[own], low[own] + k, bits))], ["place"])
+
+    at = F.col("place") + 1
+    chunks = open_sets.select("size", "prefix").mapInArrow(places, "place long").groupBy(F.bitmap_bucket_number(at).alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap"))
+    out = np.zeros((bits >> 15, 1 << 12), np.uint8)
+    for chunk in chunks.collect():  # 4 kB each, 16 MB in all at most
+        out[chunk["chunk"] - 1] = np.frombuffer(chunk["bitmap"], np.uint8)
+    return out.ravel(), bits
+
+
+def _meeting(rows: DataFrame, open_sets: DataFrame, t: float) -> DataFrame:
+    """The rows that may meet an open set; the words of their prefixes by which they can't are null."""
+    bitmap, bits = _meeting_filter(open_sets, t)
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)  # _MEETING_BITS bits at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, row, size = _flat(batch)
+            at = _meeting_places(words, _class_of(size)[row], bits)
+            meets = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            lists = batch.column("prefix")
+            offsets = pa.array(lists.offsets.to_numpy() - lists.offsets[0].as_py(), pa.int32())
+            prefix = pa.ListArray.from_arrays(offsets, pa.array(words, mask=~meets))
+            out = pa.RecordBatch.from_arrays([prefix if c == "prefix" else batch.column(c) for c in batch.schema.names], batch.schema.names)
+            yield out.filter(pa.array(np.bincount(row[meets], minlength=len(size)) > 0))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def _set_words(lines: DataFrame, texts: DataFrame) -> DataFrame:
@@ -310,21 +414,32 @@ def line_matches(docs: DataFrame, t: float = SIMILARITY, id_col: str = "doc_id",
     storage.release(spark)
     firsts = _firsts(lines.where("size(prefix) > 0"), sets, f"{folder}/filter")
 
-    nearest = _pairs(_postings(firsts), t, every=False).groupBy("doc", "line", "d1")
+    found = []
+    for i in range(PASSES):  # each shuffles its share of the words
+        own = _postings(firsts).where(F.pmod("word", F.lit(PASSES)) == i)
+        found.append(storage.write_table(_pairs(own, t, "nearest"), f"{folder}/candidates-{i}"))
+        storage.release(spark)
+    nearest = reduce(DataFrame.unionByName, found).groupBy("doc", "line", "d1")
     other = F.struct("score", "with_doc", "with_line", "with_d1")
     nearest = nearest.agg(F.min(other).alias("m"), (F.max("more") | (F.min("with_d1") != F.max("with_d1"))).alias("more"))
     nearest = storage.write_table(nearest.select("doc", "line", "d1", "m.with_doc", "m.with_line", "m.with_d1", "more"), f"{folder}/nearest")
-    storage.release(spark)
     tried = storage.write_table(_verified(nearest, texts, t), f"{folder}/tried")
     storage.release(spark)
     near = _earliest(tried)
-    still = tried.where("NOT near AND more").select("doc", "line", "d1", F.lit(True).alias("open"))
+    keys = ["doc_id", "line", "d1"]
+    still = storage.write_table(tried.where("NOT near AND more").select(F.col("doc").alias("doc_id"), "line", "d1"), f"{folder}/open")
     if not still.isEmpty():
-        marked = _postings(firsts.join(still.withColumnRenamed("doc", "doc_id"), ["doc_id", "line", "d1"], "left").withColumn("open", F.coalesce("open", F.lit(False))))
-        words = storage.write_table(marked.where("open").select("word").distinct(), f"{folder}/open-words")
-        rest = storage.write_table(marked.join(words, "word", "left_semi"), f"{folder}/open-postings")
-        rest = rest.join(_set_words(rest.select("doc_id", "line"), texts), ["doc_id", "line", "d1"])
-        rest = storage.write_table(_pairs(rest, t, every=True).withColumn("near", F.lit(True)), f"{folder}/open-matches")
+        rows = lines.where("size(prefix) > 0")
+        own = Filter(still.select(F.col("d1").alias("digest")), still.count(), f"{folder}/open-filter").split(rows.withColumnRenamed("d1", "digest"))
+        own = own.where("may_hold").withColumnRenamed("digest", "d1").join(still, keys, "left_semi")
+        rest = storage.write_table(_meeting(rows, storage.write_table(own.select("size", "prefix"), f"{folder}/open-sets"), t), f"{folder}/meeting")
+        rest = _firsts(rest, sets, f"{folder}/meeting-filter").join(still.withColumn("open", F.lit(True)), keys, "left")
+        rest = storage.write_table(rest.withColumn("open", F.coalesce("open", F.lit(False))), f"{folder}/meeting-firsts")
+        members = _pairs(_postings(rest), t, "members").select(F.col("doc").alias("doc_id"), "line", "d1").distinct()
+        members = storage.write_table(members, f"{folder}/members")
+        storage.release(spark)
+        rest = rest.join(members, keys, "left_semi").join(_set_words(members.select("doc_id", "line"), texts), keys)
+        rest = storage.write_table(_pairs(_postings(rest), t, "words").withColumn("near", F.lit(True)), f"{folder}/open-matches")
         near = near.unionByName(_earliest(rest))
     storage.release(spark)
 

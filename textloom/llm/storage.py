@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,7 @@ def remove_folder(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of finished jobs now, not when the driver next happens to collect its garbage."""
+    """Lets Spark remove the shuffle files of finished jobs now, not when the driver next happens to collect its garbage. Python tells the JVM of tables that it dropped only within a second."""
     gc.collect()
+    time.sleep(1.2)
     spark._jvm.System.gc()
