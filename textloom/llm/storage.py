@@ -46,7 +46,9 @@ def remove_folder(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of finished jobs now, not when the driver next happens to collect its garbage. Python tells the JVM of tables that it dropped only within a second."""
+    """Lets Spark remove the shuffle files of finished jobs now, not when the driver next happens to collect its garbage. Python tells the JVM of tables that it dropped only within a second, and one collection leaves the last job's files."""
     gc.collect()
     time.sleep(1.2)
-    spark._jvm.System.gc()
+    for _ in range(2):
+        spark._jvm.System.gc()
+        time.sleep(0.3)
