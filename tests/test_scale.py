@@ -88,3 +88,50 @@ def test_text_vectors_send_only_buckets_to_python(spark, monkeypatch):
     got = {r.doc_id: r.v for r in spectral.text_vectors(rows, "words", 8).collect()}
     assert "MapInArrow" not in seen[0] and "ArrowEvalPython" in seen[0]
     assert [sum(x > 0 for x in got[i]) for i in (0, 1)] == [0, 1] and len(got) == 7 and all(len(v) == 8 for v in got.values())
+
+
+def test_krylov_steps_write_nothing_and_parts_agree(spark, monkeypatch):
+    import numpy as np
+
+    from textloom.operators import spectral
+
+    rng = np.random.default_rng(5)
+    pairs = {(i, j) for i in range(60) for j in (i + 1, int(rng.integers(0, 60))) if i < j < 60}
+    rows = [(a, b, 1.0 + (a * b) % 3) for a, b in pairs]
+    graph = spark.createDataFrame(rows + [(b, a, w) for a, b, w in rows], "a long, b long, weight double")
+    written, kept = [], spectral.stages.kept
+    monkeypatch.setattr(spectral.stages, "kept", lambda df, label: written.append(label) or kept(df, label))
+    got = []
+    for parts in (None, graph.selectExpr("a AS id", "CAST(a % 3 AS INT) AS part").distinct()):
+        x, values = spectral.leading(graph, 2, steps=6, cycles=1, parts=parts)
+        got.append((np.array([r.x for r in x.orderBy("id").collect()]), values))
+    assert len(written) == 8  # degrees, edges, and the vectors that a cycle starts from and finds; none for each step
+    assert np.allclose(got[0][0], got[1][0], atol=1e-9) and np.allclose(got[0][1], got[1][1], atol=1e-12)
+
+
+def test_neighbours_lists_share_their_vectors(spark, monkeypatch):
+    import numpy as np
+
+    from textloom.operators import neighbours
+
+    x = np.random.default_rng(6).normal(size=(300, 9))
+    monkeypatch.setattr(neighbours, "PART_ROWS", 90)
+    tables, kept = [], neighbours.stages.kept
+
+    def keep(df, label):
+        tables.append((label, _plan(df), kept(df, label)))
+        return tables[-1][2]
+
+    monkeypatch.setattr(neighbours.stages, "kept", keep)
+    got = neighbours.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>"), 4, block=64).collect()
+    (_, _, first), (_, plan, _) = [t for t in tables if t[0] == "neighbours"]
+    assert "FlatMapCoGroupsInArrow" in plan  # no list carries vectors of its own
+    lists = {i: {i} for i in range(300)}
+    best = {i: {} for i in range(300)}
+    for r in first.collect():
+        lists[r.id].add(r.other)
+        best[r.id][r.other] = r.distance
+    for members in lists.values():
+        for a in members:
+            best[a].update({b: np.sqrt(((x[a] - x[b]) ** 2).sum()) for b in members if b != a})
+    assert {(r.id, r.other, r.rank) for r in got} == {(a, b, n + 1) for a, near in best.items() for n, b in enumerate(sorted(near, key=lambda b: (near[b], b))[:4])}

@@ -21,6 +21,8 @@ from textloom.operators import stages
 
 BLOCK = 1024
 TURNS = 4
+#: Numbers of the vectors in a part whose lists are compared, and its rows at most; smaller tables still have up to _PARTS parts.
+PART_NUMBERS, PART_ROWS, _PARTS = 1 << 21, 1 << 15, 12
 _AXES, _BITS, _BLOCKS_IN_TASK = 7, 63, 4
 
 
@@ -89,6 +91,13 @@ def in_blocks(curves: DataFrame, turn: int, rows: int, work: Callable[[pa.Table]
     return along.repartitionByRange(tasks, "_z", "id").sortWithinPartitions("_z", "id").drop("_z").mapInArrow(run, schema)
 
 
+def parts(curves: DataFrame, rows: int, most: int, least: int = BLOCK) -> DataFrame:
+    """(id, part): stretches of about `least` to `most` rows along the first curve, whatever lies there."""
+    n = max(-(-rows // most), min(_PARTS, -(-rows // least)), 1)
+    along = curves.select("id", F.col("z")[0].alias("z")).repartitionByRange(n, "z", "id")
+    return stages.kept(along.select("id", F.spark_partition_id().alias("part")), "parts")
+
+
 def squared(x: np.ndarray) -> np.ndarray:
     """All squared distances within a block, from differences, so that equal rows are at 0."""
     out = np.zeros((len(x), len(x)))
@@ -118,23 +127,34 @@ def _nearest_in(k: int) -> Callable[[pa.Table], pa.Table]:
     return work
 
 
-def _among(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All distances between the members of each list (id, v), both ways."""
-    for batch in batches:
-        lists = batch.column("members")
-        sizes = np.diff(lists.offsets.to_numpy())
-        flat = lists.flatten()
-        ids, x = flat.field("id").to_numpy(), matrix(flat.field("v"))
-        first = np.cumsum(sizes) - sizes
+def _among(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Lists (centre, member) and the members' vectors -> for each id its k nearest of those that stand in a list with it. A pair that several lists share is compared once."""
+
+    def work(lists: pa.Table, held: pa.Table) -> pa.Table:
+        ids = held.column("id").to_numpy()
+        order = np.argsort(ids)
+        ids, x = ids[order], matrix(held.column("v").combine_chunks())[order]
+        centre, member = (lists.column(c).to_numpy() for c in ("centre", "member"))
+        by = np.lexsort((member, centre))
+        at, first = np.searchsorted(ids, member[by]), np.flatnonzero(np.append(True, np.diff(centre[by]) != 0))
+        sizes, pairs = np.diff(np.append(first, len(by))), [np.empty(0, np.int64)]
         for m in np.unique(sizes):
-            rows = np.flatnonzero(sizes == m)
-            step = max(1, (1 << 21) // (int(m) ** 2 * x.shape[1]))
-            for part in (rows[i : i + step] for i in range(0, len(rows), step)):
-                at = first[part][:, None] + np.arange(m)
-                d = np.sqrt(((x[at][:, :, None, :] - x[at][:, None, :, :]) ** 2).sum(3))
-                keep = np.broadcast_to(~np.eye(m, dtype=bool), d.shape)
-                a, b = np.broadcast_to(ids[at][:, :, None], d.shape)[keep], np.broadcast_to(ids[at][:, None, :], d.shape)[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d[keep])], ["id", "other", "distance"])
+            i, j = np.triu_indices(int(m), 1)
+            own = first[sizes == m]
+            step = max(1, (1 << 22) // max(1, len(i)))
+            for part in (own[s : s + step] for s in range(0, len(own), step)):
+                pairs.append(np.unique(at[part[:, None] + i] * len(ids) + at[part[:, None] + j]))
+        a, b = np.divmod(np.unique(np.concatenate(pairs)), max(1, len(ids)))
+        step, d = max(1, (1 << 21) // max(1, x.shape[1])), np.empty(len(a))
+        for s in range(0, len(a), step):
+            d[s : s + step] = np.sqrt(((x[a[s : s + step]] - x[b[s : s + step]]) ** 2).sum(1))
+        one, other, d = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d])
+        by = np.lexsort((other, d, one))
+        start = np.searchsorted(one[by], one[by], "left")
+        by = by[np.arange(len(by)) - start < k]
+        return pa.table({"id": ids[one[by]], "other": ids[other[by]], "distance": d[by]})
+
+    return work
 
 
 EDGE = "id long, other long, distance double"
@@ -146,17 +166,27 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
     return lists.select("id", F.posexplode("near").alias("at", "e")).select("id", F.col("e.other").alias("other"), F.col("e.distance").alias("distance"), (F.col("at") + 1).alias("rank"))
 
 
+def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        v = batch.column("v")
+        x, sizes = v.flatten().to_numpy(zero_copy_only=False), np.diff(v.offsets.to_numpy())
+        length = np.zeros(len(sizes))
+        for m in np.unique(sizes):  # rows may differ in their length here
+            at = np.flatnonzero(sizes == m)
+            own = x[(v.offsets.to_numpy() - v.offsets[0].as_py())[at][:, None] + np.arange(m)]
+            length[at] = np.sqrt(np.cumsum(own * own, axis=1)[:, -1])
+        offsets = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(offsets, pa.array(x / np.repeat(length, sizes)))], ["id", "v"])
+
+
 def prepared(vectors: DataFrame, id_col: str, v_col: str, unit: bool = False) -> DataFrame:
     """(id, v): the usable vectors, at length one if unit; of rows that share an id the smallest vector counts."""
     v = F.col(v_col).cast("array<double>")
     rows = vectors.where(F.col(id_col).isNotNull() & usable(v_col)).select(F.col(id_col).cast("long").alias("id"), v.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
-    if unit:
-        length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-        rows = rows.select("id", F.transform("v", lambda x: x / length).alias("v"))
-    return stages.kept(rows, "vectors")
+    return stages.kept(rows.mapInArrow(_unit, "id long, v array<double>") if unit else rows, "vectors")
 
 
-def nearest(rows: DataFrame, k: int, block: int = BLOCK, turns: int = TURNS, seed: int = 42) -> DataFrame:
+def nearest(rows: DataFrame, k: int, block: int = BLOCK, turns: int = TURNS, seed: int = 42, curves: DataFrame | None = None) -> DataFrame:
     """(id, other, distance, rank from 1) of the k nearest other rows of each, from rows (id, v) as `prepared` gives them.
 
     Distances are Euclidean; ties go to the smaller id. A table of k rows or fewer gives fewer; an empty one none.
@@ -164,7 +194,7 @@ def nearest(rows: DataFrame, k: int, block: int = BLOCK, turns: int = TURNS, see
     first = rows.select(F.size("v").alias("n")).first()
     if first is None:
         return rows.sparkSession.createDataFrame([], f"{EDGE}, rank int")
-    curves, n = on_curves(rows, first["n"], turns, seed), rows.count()
+    curves, n = curves or on_curves(rows, first["n"], turns, seed), rows.count()
     if n <= block:
         return stages.kept(_best(in_blocks(curves, 0, n, _nearest_in(k), EDGE, block), k), "neighbours")
     found = None
@@ -173,7 +203,10 @@ def nearest(rows: DataFrame, k: int, block: int = BLOCK, turns: int = TURNS, see
         found = one if found is None else found.unionByName(one)
     near = stages.kept(_best(found, k), "neighbours")
 
-    members = near.select(F.col("id").alias("centre"), F.col("other").alias("id")).union(rows.select("id", "id"))
-    lists = members.join(rows, "id").groupBy("centre").agg(F.collect_list(F.struct("id", "v")).alias("members"))  # k + 1 rows for each centre
-    among = lists.select("members").mapInArrow(_among, EDGE)
+    # A part's lists share most of their members, so each vector goes once to a part, not to each list.
+    members = near.select(F.col("id").alias("centre"), F.col("other").alias("member")).union(rows.select("id", "id"))
+    part = parts(curves, n, min(PART_ROWS, PART_NUMBERS // first["n"] + 1))
+    lists = members.join(part.withColumnRenamed("id", "centre"), "centre")
+    held = lists.select("part", F.col("member").alias("id")).distinct().join(rows, "id").select(F.col("part").alias("part"), "id", "v")
+    among = lists.groupBy("part").cogroup(held.groupBy("part")).applyInArrow(_among(k), EDGE)
     return stages.kept(_best(near.select("id", "other", "distance").unionByName(among), k), "neighbours")

@@ -5,9 +5,11 @@ rows' views of their edge are united as fuzzy sets are, w + w' - w w'. Coordinat
 graph's normalised adjacency besides the trivial one, as in spectral layouts and diffusion maps.
 
 Eigenvectors come from a block Krylov space: from a block of start vectors, each step multiplies the last block by the edge
-table, one join and one sum by row, and makes it orthogonal to those before. Rows carry their values in all blocks; what
-reaches the driver are the blocks' inner products, of a size that the number of blocks fixes. From these the driver solves
-a small dense problem, and the vectors that it finds start the next cycle until their residuals are small.
+table and makes it orthogonal to those before. Rows that are near each other form parts, whose edges stay where they are; a
+row's values go once to each part that has an edge to it. Rows carry the last two blocks; all blocks meet once at the end of
+a cycle. What reaches the driver are inner products, of a size that the number of blocks fixes. From these the driver solves
+a small dense problem, and the vectors that it finds start the next cycle until their residuals are small. Within a cycle
+blocks are persisted, not written; a lost executor costs the cycle's steps for its rows.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +27,9 @@ from textloom.operators import neighbours, stages
 
 #: Words that a task counts at once, but for a longer text.
 _WORDS = 1 << 20
+#: Rows of a part of the graph, whose edges a task multiplies at once: the more, the fewer products leave their part.
+PART_LEAST, PART_ROWS = 1 << 12, 1 << 17
+_PLACED, _LEVEL = "id long, part int, to array<int>", StorageLevel.MEMORY_AND_DISK
 
 
 def fuzzy_graph(near: DataFrame) -> DataFrame:
@@ -58,7 +65,7 @@ def _gram(batch: pa.RecordBatch, left: str, right: str) -> np.ndarray:
 
 
 def _mixed(table: DataFrame, columns: dict[str, tuple[str, np.ndarray]]) -> DataFrame:
-    """Columns replaced by others' rows times a matrix each: name -> (column, matrix)."""
+    """Columns replaced by others' rows times a matrix each: name -> (column, matrix). Where a row goes stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,19 +73,41 @@ def _mixed(table: DataFrame, columns: dict[str, tuple[str, np.ndarray]]) -> Data
             for column, m in columns.values():
                 x = neighbours.matrix(batch.column(column)) @ m
                 out.append(pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64())))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *out], ["id", *columns])
-
-    return table.mapInArrow(run, "id long, " + ", ".join(f"{c} array<double>" for c in columns))
-
-
-def _times(edges: DataFrame, table: DataFrame, first: int, width: int) -> DataFrame:
-    """(id, y): the edge table times the columns of q from `first` on."""
-    x = table.select(F.col("id").alias("b"), F.slice("q", first + 1, width).alias("x"))
-    return edges.join(x, "b").groupBy(F.col("a").alias("id")).agg(F.array(*[F.sum(F.col("weight") * F.col("x")[i]) for i in range(width)]).alias("y"))
-
-
-def _orthonormal(table: DataFrame, known: int, width: int) -> tuple[DataFrame, int]:
-    """The last `width` columns of q made orthogonal to the first `known`, which are so, and of length one; columns that depend on the others go. Also how many are left."""
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("id", "part", "to")] + out, ["id", "part", "to", *columns])
+
+    return table.mapInArrow(run, f"{_PLACED}, " + ", ".join(f"{c} array<double>" for c in columns))
+
+
+def _product(links: pa.Table, rows: pa.Table) -> pa.Table:
+    """A part's own rows with y: its edges times the last columns of its own q, and times the x that it was sent."""
+    held = rows.column("q").is_valid()
+    own, other = rows.filter(held).sort_by("id"), rows.filter(pc.invert(held))
+    width = own.column("width")[0].as_py()
+    ids = np.concatenate([own.column("id").to_numpy(), other.column("id").to_numpy()])
+    order = np.argsort(ids)
+    x = neighbours.matrix(own.column("q").combine_chunks())[:, -width:]
+    x = np.concatenate([x, neighbours.matrix(other.column("x").combine_chunks())])[order] if other.num_rows else x
+    a, b, weight = (links.column(c).to_numpy() for c in ("a", "b", "weight"))
+    by = np.lexsort((b, a))  # sums of floats depend on their order
+    at, of = np.searchsorted(own.column("id").to_numpy(), a[by]), np.searchsorted(ids[order], b[by])
+    y = np.stack([np.bincount(at, weight[by] * column[of], own.num_rows) for column in x.T], axis=1)
+    y = pa.FixedSizeListArray.from_arrays(pa.array(y.ravel()), y.shape[1]).cast(pa.list_(pa.float64()))
+    return own.select(["id", "part", "to", "q"]).append_column("y", y)
+
+
+def _times(links: DataFrame, tasks: int, table: DataFrame, width: int) -> DataFrame:
+    """table with column y: the edges times the last `width` columns of q. Each row goes to its own part whole, and its x once to each other part that has an edge to it."""
+    places = F.explode(F.concat(F.array("part"), "to")).alias("at")
+    sent = table.select("id", "part", "to", "q", places)
+    home = F.col("at") == F.col("part")
+    x = F.when(~home, F.slice("q", -width, width))
+    sent = sent.select("id", F.col("at").alias("part"), *[F.when(home, c).alias(n) for n, c in (("to", F.col("to")), ("q", F.col("q")), ("width", F.lit(width)))], x.alias("x"))
+    sent = sent.repartition(tasks, "part")
+    return links.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(_product, f"{_PLACED}, q array<double>, y array<double>")
+
+
+def _orthonormal(table: DataFrame, known: int, width: int) -> tuple[DataFrame, int, np.ndarray]:
+    """The last `width` columns of q made orthogonal to the first `known`, which are so, and of length one; columns that depend on the others go. Also how many are left, and the matrix that gives the old columns from all new ones."""
     size = known + width
     g = stages.total(table, lambda b: _gram(b, "q", "q"), size * size).reshape(size, size)
     cross = np.linalg.lstsq(g[:known, :known], g[:known, known:], rcond=None)[0]
@@ -89,55 +118,86 @@ def _orthonormal(table: DataFrame, known: int, width: int) -> tuple[DataFrame, i
     into[:known, :known] = np.eye(known)
     scaled = vectors[:, left] / np.sqrt(values[left])
     into[known:, known:], into[:known, known:] = scaled, -cross @ scaled
-    return _mixed(table, {"q": ("q", into)}), int(left.sum())
+    back = np.vstack([cross, np.sqrt(values[left])[:, None] * vectors[:, left].T])
+    return _mixed(table, {"q": ("q", into)}), int(left.sum()), back
 
 
-def leading(graph: DataFrame, dims: int, steps: int = 10, cycles: int = 12, tolerance: float = 1e-6, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
+def leading(graph: DataFrame, dims: int, steps: int = 10, cycles: int = 12, tolerance: float = 1e-6, seed: int = 42, parts: DataFrame | None = None) -> tuple[DataFrame, np.ndarray]:
     """The `dims` leading eigenvectors besides the trivial one of the normalised adjacency of a symmetric graph (a, b, weight): (id, x), of unit length, the greatest component positive; and their eigenvalues.
 
-    A graph of fewer than dims + 1 nodes has fewer.
+    A graph of fewer than dims + 1 nodes has fewer. parts (id, part) says which rows are worked on together; where it is not given, their ids' hashes do.
     """
     degree = stages.kept(graph.groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("degree")), "degrees")
-    by = [degree.select(F.col("id").alias(e), F.col("degree").alias(f"d{e}")) for e in ("a", "b")]
-    edges = stages.kept(graph.join(by[0], "a").join(by[1], "b").select("a", "b", (F.col("weight") / F.sqrt(F.col("da") * F.col("db"))).alias("weight")), "adjacency")
-    whole = degree.agg(F.sum("degree")).first()[0]
+    rows, whole = degree.agg(F.count(F.lit(1)), F.sum("degree")).first()
+    if parts is None:
+        parts = degree.select("id", F.pmod(F.xxhash64("id"), F.lit(rows // PART_ROWS + 1)).cast("int").alias("part"))
+    tasks = 2 * (parts.agg(F.count_distinct("part")).first()[0] or 1)  # parts are dealt by hash
+    placed = degree.join(parts, "id")
+    by = [placed.select(F.col("id").alias(e), F.col("degree").alias(f"d{e}"), F.col("part").alias(f"p{e}")) for e in ("a", "b")]
+    edges = graph.join(by[0], "a").join(by[1], "b").select("a", "b", (F.col("weight") / F.sqrt(F.col("da") * F.col("db"))).alias("weight"), F.col("pa").alias("part"), "pb")
+    edges = stages.kept(edges, "adjacency")
+    sent = edges.where("part <> pb").groupBy(F.col("b").alias("id")).agg(F.sort_array(F.collect_set("part")).alias("to"))
+    links = edges.select("part", "a", "b", "weight").repartition(tasks, "part").persist(_LEVEL)
     width = dims + 3
     random = [F.xxhash64("id", F.lit(seed), F.lit(i)) / F.lit(2.0**63) for i in range(width)]
-    table = degree.select("id", F.array(F.sqrt(F.col("degree") / F.lit(whole)), *random).alias("q"))  # the trivial vector comes first
-    for _ in range(cycles):
-        table, width = _orthonormal(table, 1, width)
-        if not width:
-            return table.select("id", F.array().cast("array<double>").alias("x")), np.empty(0)
-        first, size, done = 1, 1 + width, None
-        for step in range(steps):
-            y = _times(edges, table, first, width)
-            joined = table.join(y, "id")
-            done = joined.select("id", "q", "y") if done is None else joined.join(done.select("id", F.col("y").alias("before")), "id").select("id", "q", F.concat("before", "y").alias("y"))
-            done = stages.kept(done, "products")
-            if step == steps - 1:
-                break
-            table, new = _orthonormal(done.select("id", F.concat("q", F.slice("y", size - width, width)).alias("q")), size, width)
-            if not new:
+    q = F.array(F.sqrt(F.col("degree") / F.lit(whole)), *random)  # the trivial vector comes first
+    table = stages.kept(placed.join(sent, "id", "left").select("id", "part", F.coalesce("to", F.array().cast("array<int>")).alias("to"), q.alias("q")), "vectors")
+    try:
+        for _ in range(cycles):
+            table, width, _ = _orthonormal(table, 1, width)
+            if not width:
+                return table.select("id", F.array().cast("array<double>").alias("x")), np.empty(0)
+            # Of the basis a row carries two blocks: the operator is symmetric, so that a product is orthogonal to those before.
+            before, blocks, backs = 0, [], []
+            for step in range(steps):
+                done = _times(links, tasks, table, width).persist(_LEVEL)
+                blocks.append((done, before, width))
+                if step == steps - 1:
+                    break
+                joined = done.select("id", "part", "to", F.concat("q", "y").alias("q"))
+                table, new, back = _orthonormal(joined, 1 + before + width, width)
+                if not new:
+                    break
+                backs.append(back)
+                if before:
+                    table = table.withColumn("q", F.concat(F.slice("q", 1, 1), F.slice("q", 2 + before, width + new)))
+                before, width = width, new
+            size = 1 + sum(w for _, _, w in blocks)
+            every = size + width  # the basis, and the last block's products
+            into, at, last = np.zeros((every, size - 1)), 1, 0  # gives all products from these
+            for back, (_, old, w) in zip(backs, blocks, strict=False):
+                into[0, at - 1 : at + w - 1] = back[0]
+                into[at - old : at - old + len(back) - 1, at - 1 : at + w - 1] = back[1:]
+                at += w
+            into[size:, size - 1 - width :] = np.eye(width)
+            whole_rows = None
+            for j, (done, old, w) in enumerate(blocks):
+                own = [F.slice("q", 1, 1)] * (j == 0) + [F.slice("q", 2 + old, w)] + [F.col("y")] * (j == len(blocks) - 1)
+                first = [F.col(c) if j == 0 else F.lit(None).cast(t).alias(c) for c, t in (("part", "int"), ("to", "array<int>"))]
+                one = done.select("id", *first, F.struct(F.lit(j).alias("j"), F.concat(*own).alias("x")).alias("block"))
+                whole_rows = one if whole_rows is None else whole_rows.unionByName(one)
+            sorted_blocks = F.transform(F.array_sort(F.collect_list("block")), lambda b: b["x"])  # a few for each id
+            found_rows = whole_rows.groupBy("id").agg(F.max("part").alias("part"), F.max("to").alias("to"), F.flatten(sorted_blocks).alias("q")).persist(_LEVEL)
+            g = stages.total(found_rows, lambda b: _gram(b, "q", "q"), every * every).reshape(every, every)
+            qq, qy, yy = g[1:size, 1:size], (g @ into)[1:size], into.T @ g @ into
+            values, vectors = np.linalg.eigh(qq)
+            white = vectors[:, values > 1e-8] / np.sqrt(values[values > 1e-8])
+            inner = white.T @ ((qy + qy.T) / 2) @ white
+            values, vectors = np.linalg.eigh(inner)
+            found = white @ vectors[:, ::-1]
+            values = values[::-1]
+            most = min(dims, len(values))
+            residual = [np.sqrt(max(0.0, u @ yy @ u - 2 * v * (u @ qy @ u) + v * v * (u @ qq @ u))) for u, v in zip(found.T[:most], values, strict=False)]
+            width = min(dims + 3, found.shape[1])
+            last = np.zeros((every, 1 + width))
+            last[0, 0], last[1:size, 1:] = 1, found[:, :width]
+            table = stages.kept(_mixed(found_rows, {"q": ("q", last)}), "vectors")
+            for done in (found_rows, *(b[0] for b in blocks)):
+                done.unpersist()
+            if max(residual) <= tolerance:
                 break
-            first, width, size = size, new, size + new
-        k = size - 1  # q without the trivial vector, and its products
-        part = lambda b: np.concatenate([_gram(b, "q", "q"), _gram(b, "q", "y"), _gram(b, "y", "y")])
-        sums = stages.total(done, part, size * size + size * k + k * k)
-        qq, qy, yy = sums[: size * size].reshape(size, size)[1:, 1:], sums[size * size : -k * k].reshape(size, k)[1:], sums[-k * k :].reshape(k, k)
-        values, vectors = np.linalg.eigh(qq)
-        white = vectors[:, values > 1e-8] / np.sqrt(values[values > 1e-8])
-        inner = white.T @ ((qy + qy.T) / 2) @ white
-        values, vectors = np.linalg.eigh(inner)
-        found = white @ vectors[:, ::-1]
-        values = values[::-1]
-        most = min(dims, len(values))
-        residual = [np.sqrt(max(0.0, u @ yy @ u - 2 * v * (u @ qy @ u) + v * v * (u @ qq @ u))) for u, v in zip(found.T[:most], values, strict=False)]
-        width = min(dims + 3, found.shape[1])
-        last = np.zeros((size, 1 + width))
-        last[0, 0], last[1:, 1:] = 1, found[:, :width]
-        table = stages.kept(_mixed(done, {"q": ("q", last)}), "vectors")
-        if max(residual) <= tolerance:
-            break
+    finally:
+        links.unpersist()
     ends = table.agg(*[F.max_by(F.col("q")[i + 1], F.struct(F.round(F.abs(F.col("q")[i + 1]), 9), -F.col("id"))).alias(f"s{i}") for i in range(most)]).first()
     signs = [1.0 if ends[f"s{i}"] >= 0 else -1.0 for i in range(most)]
     return table.select("id", F.array(*[F.col("q")[i + 1] * s for i, s in enumerate(signs)]).alias("x")), values[:most]
@@ -178,11 +238,16 @@ def reduced(vectors: DataFrame, id_col: str, v_col: str, dims: int = 5, k: int =
     none gives an empty one.
     """
     rows = neighbours.prepared(vectors, id_col, v_col, unit=True)
-    near = neighbours.nearest(rows, k, block, turns, seed)
+    first = rows.select(F.size("v").alias("n")).first()
+    if first is None:
+        return rows
+    curves = neighbours.on_curves(rows, first["n"], turns, seed)
+    near = neighbours.nearest(rows, k, block, turns, seed, curves)
     if near.isEmpty():
         return rows.where("false")
+    parts = neighbours.parts(curves, rows.count(), PART_ROWS, PART_LEAST)
     graph = stages.kept(fuzzy_graph(near.withColumn("distance", F.col("distance") * F.col("distance") / 2)), "graph")  # of unit vectors, 1 - cosine
-    x, _ = leading(graph, dims, cycles=4, tolerance=1e-4, seed=seed)
+    x, _ = leading(graph, dims, cycles=4, tolerance=1e-4, seed=seed, parts=parts)
     degree = graph.groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("degree"))
     whole = graph.agg(F.sum("weight")).first()[0]
     return stages.kept(x.join(degree, "id").select("id", F.transform("x", lambda c: c / F.sqrt(F.col("degree") / F.lit(whole))).alias("v")), "reduced")
