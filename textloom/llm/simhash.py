@@ -11,7 +11,8 @@ pairs, in memory that grows with the distinct fingerprints of that variant.
 without_near_copies goes by a similarity instead: texts whose sets of five-word shingles have a Jaccard
 similarity of 0.8 or more. Its fingerprints have 160 bits in eight segments of 20, so that of two
 that differ by at most 15 bits one segment differs by at most one. Texts of similarity 0.8 differ by
-24 bits in the mean, and are found where one segment of eight does. Within a variant each member gets
+24 bits in the mean, and are found where one segment of eight does. Segments are dealt without one of
+their four parts, and the variants with a wildcard in that part arise in the task that holds such a group. Within a variant each member gets
 its nearest earlier one as its candidate; candidates are verified by the shingle sets themselves, the
 nearest of each text first and then the others wherever the two are not yet connected.
 
@@ -19,7 +20,7 @@ That finds most links, and the large classes; an exact way finds the rest. In on
 that similarity share one among the first n - ceil(0.8 n) + 1 of each, n being a set's size. The order goes
 by how often a shingle's bucket occurs in all texts, rare ones first, so that passages which many texts share seldom are
 among them. Texts are paired where such a shingle joins two classes that are still apart, and sizes, places and
-then sketches of the sets, which bound what they have in common, allow the similarity; the sets confirm it. Shingles that lie within one class are left out before pairs arise.
+then parity bits of the sets, which bound in how many shingles they differ, allow the similarity; the sets confirm it. Shingles that lie within one class are left out before pairs arise.
 
 Defined results: a null or empty text, or one without words, has the fingerprint zero, linked like
 any other. A text of one or two words has one shingle. Null ids take part, but name a component only
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import storage
@@ -152,6 +153,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Shingles, similarity and fingerprints of without_near_copies.
 WORDS, SIMILARITY = 5, 0.8
 SEGMENTS, SEGMENT_BITS = 8, 20
+#: Parts of a segment.
+PARTS, PART_BITS = 4, 5
 #: Candidates differ by this many bits at most: those expected at SIMILARITY and over three standard errors more.
 FAR_BITS = 38
 #: In a variant of more members than this, those within LEADER_BITS of a leader are nobody's candidate but their leader's.
@@ -195,13 +198,14 @@ def _print_batches(text_col: str):
     return run
 
 
-def set_variants(prints: DataFrame) -> DataFrame:
-    """(variant, node, print): each fingerprint under the variants in which one bit of one segment is a wildcard."""
-    n = SEGMENT_BITS
-    segment = lambda j: F.element_at("segments", F.floor(j / n).cast("int") + 1)
-    wild = lambda j: F.bitwise_not(F.call_function("shiftleft", F.lit(1), F.pmod(j, F.lit(n))))
-    coded = F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS * n - 1)), lambda j: F.call_function("shiftleft", j, F.lit(n)).bitwiseOR(segment(j).bitwiseAND(wild(j))))
-    return prints.select("node", "print", F.explode(coded).alias("variant"))
+def set_places(prints: DataFrame) -> DataFrame:
+    """(key, free, node, print): each fingerprint under its segments without one of their parts, and that part's bits. Two whose segments differ in one bit share the key without that bit's part."""
+    segment, shift = F.element_at("segments", F.floor(F.col("at") / PARTS).cast("int") + 1), F.pmod("at", F.lit(PARTS)) * PART_BITS
+    part = F.call_function("shiftleft", F.lit((1 << PART_BITS) - 1), shift)
+    key = F.call_function("shiftleft", F.col("at"), F.lit(SEGMENT_BITS)).bitwiseOR(segment.bitwiseAND(F.bitwise_not(part)))
+    free = F.call_function("shiftright", segment.bitwiseAND(part), shift)
+    dealt = prints.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * PARTS - 1))))
+    return dealt.select(key.alias("key"), free.alias("free"), "node", "print")
 
 
 def _nearest_earlier(group: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -238,28 +242,31 @@ def _nearest_earlier(group: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray,
 
 
 def _candidate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads rows sorted by variant; a variant that goes on in the next batch is carried over."""
+    """Reads rows sorted by key and node; a key that goes on in the next batch is carried over."""
     rest: list[pa.RecordBatch] = []
 
-    def linked(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        columns = {c: pa.concat_arrays([b.column(c) for b in rows]) for c in ("variant", "node", "print")}
+    def linked(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = {c: pa.concat_arrays([b.column(c) for b in rows]) for c in ("key", "free", "node", "print")}
         raw = np.frombuffer(b"".join(columns["print"].to_pylist()), np.uint8).reshape(len(columns["node"]), -1)
         prints = np.pad(raw, ((0, 0), (0, -raw.shape[1] % 8))).view(np.uint64)
-        node = columns["node"].to_numpy()
-        at, of, far = _nearest_earlier(columns["variant"].to_numpy(), prints)
-        return pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[of]), pa.array(far.astype(np.int32))], ["a", "b", "far"])
+        key, free, node = (columns[c].to_numpy().astype(np.int64) for c in ("key", "free", "node"))
+        for bit in range(PART_BITS):  # a variant: this bit is a wildcard
+            variant = key << PART_BITS | free & ~(1 << bit)
+            order = np.argsort(variant, kind="stable")
+            at, of, far = _nearest_earlier(variant[order], prints[order])
+            yield pa.RecordBatch.from_arrays([pa.array(node[order[at]]), pa.array(node[order[of]]), pa.array(far.astype(np.int32))], ["a", "b", "far"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        v = batch.column("variant").to_numpy()
+        v = batch.column("key").to_numpy()
         cut = int(np.searchsorted(v, v[-1]))
-        if cut or (rest and rest[-1].column("variant")[-1].as_py() != v[-1]):
-            yield linked([*rest, batch.slice(0, cut)] if cut else rest)
+        if cut or (rest and rest[-1].column("key")[-1].as_py() != v[-1]):
+            yield from linked([*rest, batch.slice(0, cut)] if cut else rest)
             rest = []
         rest.append(batch.slice(cut))
     if rest:
-        yield linked(rest)
+        yield from linked(rest)
 
 
 def _set_batches(text_col: str):
@@ -325,53 +332,82 @@ def _prefix_batches(text_col: str, levels, similarity: float):
     return run
 
 
-#: Parts of a set's sketch, two bytes each.
-SKETCH = 256
+#: Bits of a set's sketch, at least and at most.
+SKETCH_LEAST, SKETCH_MOST = 1 << 6, 1 << 16
+#: Parts of the shingles whose postings are shuffled one after the other, so that not all are on disk at once.
+PASSES = 2
 
 
 def sketch(grams: np.ndarray) -> bytes:
-    """How many of a set's shingles fall in each of SKETCH parts of all hashes. A part of more than 65,535 counts as that many, and sets with one are never told apart by it."""
-    counts = np.bincount(((grams * _LANES[2]) >> np.uint64(56)).astype(np.int64), minlength=SKETCH)
-    return np.minimum(counts, 65_535).astype("<u2").tobytes()
+    """A set's size (four bytes) and its parity bits, about as many as it has shingles. The half of them, one part xor the other, are those that a smaller set has."""
+    bits = min(SKETCH_MOST, max(SKETCH_LEAST, 1 << max(len(grams) - 1, 0).bit_length()))
+    places = ((grams * _LANES[2]) >> np.uint64(48)).astype(np.int64) & (bits - 1)
+    return np.uint32(len(grams)).astype("<u4").tobytes() + np.packbits((np.bincount(places, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
 def can_be_alike(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-    """Rows of two sketches: whether the sets may have the similarity. They have no more in common than the lesser count of each part."""
-    a, b = a.astype(np.int64), b.astype(np.int64)
-    most, both = np.minimum(a, b).sum(axis=1), a.sum(axis=1) + b.sum(axis=1)
-    return (most >= similarity / (1 + similarity) * both - 1e-6) | (np.maximum(a, b).max(axis=1) >= 65_535)
+    """Rows of two sketches as 16-bit numbers, those of a table of one length: whether the sets may have the similarity. Sets that differ by d shingles differ by at most d parity bits."""
+    both = sum(x[:, 0].astype(np.int64) + (x[:, 1].astype(np.int64) << 16) for x in (a, b))
+    a, b = a[:, 2:], b[:, 2:]
+    while a.shape[1] != b.shape[1]:
+        a, b = (x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :] if x.shape[1] > min(a.shape[1], b.shape[1]) else x for x in (a, b))
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * both + 1e-6
 
 
 def _sketch_batches(similarity: float):
-    def rows(column: pa.Array) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, SKETCH)
+    def rows(column: list[bytes], at: np.ndarray) -> np.ndarray:
+        return np.frombuffer(b"".join([column[i] for i in at]), "<u2").reshape(len(at), -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                keep = can_be_alike(rows(batch.column("of_a")), rows(batch.column("of_b")), similarity)
-                yield batch.select(["a", "b"]).filter(pa.array(keep))
+            of_a, of_b, keep = batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist(), np.zeros(batch.num_rows, bool)
+            lengths = np.array([(len(x), len(y)) for x, y in zip(of_a, of_b, strict=True)], np.int64).reshape(-1, 2)
+            for pair in np.unique(lengths, axis=0):
+                at = np.flatnonzero((lengths == pair).all(axis=1))
+                keep[at] = can_be_alike(rows(of_a, at), rows(of_b, at), similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
-def pairs_apart(printed: DataFrame, known: DataFrame, similarity: float, text_col: str, folder: str) -> DataFrame:
-    """(a, b): every two nodes of different classes that can have the similarity. known: (node, component) of nodes in a class with others."""
+def _prefixes(printed: DataFrame, nodes: DataFrame, known: DataFrame, similarity: float, text_col: str, folder: str) -> DataFrame:
+    """(node, size, grams, sketch, class) of each node, class being null where it is the node itself. Only rows that may share their node, or stand in a class with others, are shuffled."""
     levels = printed.sparkSession.sparkContext.broadcast(gram_levels(printed, text_col))
-    sets = printed.select("row", "node").mapInArrow(_prefix_batches(text_col, levels, similarity), "node long, size int, grams array<long>, sketch binary")
-    sets = sets.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "grams", "sketch")]).join(known, "node", "left")
-    sets = storage.write_table(sets.select("node", "size", "grams", "sketch", F.coalesce("component", "node").alias("class")), f"{folder}/prefixes")
-    posted = sets.select("node", "size", "class", F.posexplode("grams").alias("at", "gram"))
-    joining = posted.groupBy("gram").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("gram")
-    joining = storage.write_table(posted.join(joining, "gram", "left_semi"), f"{folder}/joining")
-    a, b = (joining.select("gram", *[F.col(c).alias(f"{c}_{e}") for c in ("node", "size", "class", "at")]) for e in "ab")
+    special = nodes.where("copies > 1").select(F.col("node").alias("digest")).union(known.select("node"))
+    special = storage.write_table(special.distinct(), f"{folder}/special")
+    split = Filter(special, special.count(), f"{folder}/special-filter").split(printed.select("row", F.col("node").alias("digest"))).withColumnRenamed("digest", "node")
+    of = lambda rows: rows.select("row", "node").mapInArrow(_prefix_batches(text_col, levels, similarity), "node long, size int, grams array<long>, sketch binary")
+    held = of(split.where("may_hold")).groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "grams", "sketch")]).join(known, "node", "left")
+    held = held.select("node", "size", "grams", "sketch", F.when(F.col("component") != F.col("node"), F.col("component")).alias("class"))
+    return storage.write_table(of(split.where("NOT may_hold")).withColumn("class", F.lit(None).cast("long")).unionByName(held), f"{folder}/prefixes")
+
+
+def pairs_apart(printed: DataFrame, nodes: DataFrame, known: DataFrame, similarity: float, text_col: str, folder: str) -> DataFrame:
+    """(a, b): every two nodes of different classes that can have the similarity. known: (node, component) of nodes in a class with others."""
+    spark = printed.sparkSession
+    sets = _prefixes(printed, nodes, known, similarity, text_col, folder)
+    storage.release(spark)
     least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - 1e-9)  # shingles in common
     able = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b")) >= least
-    both = a.join(b, "gram").where((F.col("node_a") < F.col("node_b")) & (F.col("class_a") != F.col("class_b")) & able)
-    pairs = storage.write_table(both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), f"{folder}/pairs")
+    pairs, own, of_gram = None, F.coalesce("class", "node"), Window.partitionBy("gram")
+    for i in range(PASSES):  # each shuffles its share of the shingles
+        posted = sets.select("node", "size", "class", F.posexplode("grams").alias("at", "gram")).where(F.pmod("gram", F.lit(PASSES)) == i)
+        joining = posted.withColumns({"x": F.min(own).over(of_gram), "y": F.max(own).over(of_gram)}).where("x <> y")
+        joining = storage.write_table(joining.select("gram", "node", "size", own.alias("class"), "at"), f"{folder}/joining-{i}")
+        storage.release(spark)
+        a, b = (joining.select("gram", *[F.col(c).alias(f"{c}_{e}") for c in ("node", "size", "class", "at")]) for e in "ab")
+        both = a.join(b, "gram").where((F.col("node_a") < F.col("node_b")) & (F.col("class_a") != F.col("class_b")) & able)
+        found = storage.write_table(both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), f"{folder}/pairs-{i}")
+        pairs = found if pairs is None else pairs.unionByName(found)
+        storage.remove_folder(spark, f"{folder}/joining-{i}")
+        storage.release(spark)
     # Sketches tell apart most texts that share a passage, before whole sets move.
     of = lambda e: sets.select(F.col("node").alias(e), F.col("sketch").alias(f"of_{e}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(_sketch_batches(similarity), "a long, b long")
+    told = pairs.distinct().join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(_sketch_batches(similarity), "a long, b long")
+    told = storage.write_table(told, f"{folder}/apart")
+    storage.remove_folder(spark, f"{folder}/prefixes")
+    storage.release(spark)
+    return told
 
 
 def _sets_of(pairs: DataFrame, texts: DataFrame, path: str) -> DataFrame:
@@ -394,9 +430,10 @@ def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col:
     nodes = printed.groupBy("node").agg(F.first("print").alias("print"), F.first("segments").alias("segments"), F.min(rank).alias("rank"), F.count(F.lit(1)).alias("copies"))
     nodes = storage.write_table(nodes, f"{folder}/nodes")
 
-    dealt = set_variants(nodes).repartition("variant").sortWithinPartitions("variant", "node")
+    dealt = set_places(nodes).repartition("key").sortWithinPartitions("key", "node")
     links = dealt.mapInArrow(_candidate_batches, "a long, b long, far int").distinct()
     links = storage.write_table(links, f"{folder}/candidates")
+    storage.release(spark)  # of the shuffle files, which would add up
     texts = printed.select(F.col("node").alias("digest"), F.col(f"row.`{text_col}`").alias("text"))
     sets = _sets_of(links, texts, f"{folder}/sets")
 
@@ -407,10 +444,15 @@ def without_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col:
     apart = links.join(nearest, ["a", "b"], "left_anti").join(class_of("a"), "a", "left").join(class_of("b"), "b", "left")
     apart = apart.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
     found = found.unionByName(storage.write_table(_alike(apart, sets, similarity), f"{folder}/near-1"))
-    rest = storage.write_table(pairs_apart(printed, connected_components(found), similarity, text_col, folder), f"{folder}/apart")
+    storage.remove_folder(spark, f"{folder}/sets")
+    known = connected_components(found)
+    storage.release(spark)
+    rest = pairs_apart(printed, nodes, known, similarity, text_col, folder)
     found = found.unionByName(storage.write_table(_alike(rest, _sets_of(rest, texts, f"{folder}/sets-apart"), similarity), f"{folder}/near-2"))
+    storage.remove_folder(spark, f"{folder}/sets-apart")
 
     known = connected_components(found)
+    storage.release(spark)
     members = nodes.select("node", "rank", "copies").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = members.groupBy("component").agg(F.min("rank").alias("best"), F.sum("copies").alias("rows")).where("rows > 1")
     several = storage.write_table(members.join(classes, "component").select(F.col("node").alias("digest"), "copies", "component", "best"), f"{folder}/classes")
