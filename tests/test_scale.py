@@ -135,3 +135,26 @@ def test_neighbours_lists_share_their_vectors(spark, monkeypatch):
         for a in members:
             best[a].update({b: np.sqrt(((x[a] - x[b]) ** 2).sum()) for b in members if b != a})
     assert {(r.id, r.other, r.rank) for r in got} == {(a, b, n + 1) for a, near in best.items() for n, b in enumerate(sorted(near, key=lambda b: (near[b], b))[:4])}
+
+
+def test_krylov_steps_move_a_row_for_each_part(spark, monkeypatch):
+    import numpy as np
+
+    from textloom.operators import spectral
+
+    rng = np.random.default_rng(8)
+    w = np.triu(rng.random((90, 90)) * (rng.random((90, 90)) < 0.1), 1)
+    w += np.diag(np.full(89, 0.5), 1)
+    w += w.T
+    graph = spark.createDataFrame([(3 * int(a), 3 * int(b), float(w[a, b])) for a, b in zip(*np.nonzero(w), strict=True)], "a long, b long, weight double")
+    steps, times = [], spectral._times
+    monkeypatch.setattr(spectral, "_times", lambda *given: steps.append(times(*given)) or steps[-1])
+    monkeypatch.setattr(spectral, "_ROWS", 7, raising=False)
+    parts = graph.selectExpr("a AS id", "CAST(5 * (a % 4) AS INT) AS part").distinct()
+    x, values = spectral.leading(graph, 3, steps=8, cycles=3, parts=parts)
+    assert {s.count() for s in steps[:3]} == {4}  # not one for each row of the graph
+    a = w / np.sqrt(np.outer(w.sum(0), w.sum(0)))
+    got = {r.id: r.x for r in x.collect()}
+    assert sorted(got) == [3 * i for i in range(90)]
+    got = np.array([got[3 * i] for i in range(90)])
+    assert np.allclose(values, np.linalg.eigvalsh(a)[::-1][1:4], atol=1e-9) and np.abs(a @ got - got * values).max() < 1e-5
