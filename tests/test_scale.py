@@ -158,3 +158,22 @@ def test_krylov_steps_move_a_row_for_each_part(spark, monkeypatch):
     assert sorted(got) == [3 * i for i in range(90)]
     got = np.array([got[3 * i] for i in range(90)])
     assert np.allclose(values, np.linalg.eigvalsh(a)[::-1][1:4], atol=1e-9) and np.abs(a @ got - got * values).max() < 1e-5
+
+
+def test_sweep_runs_settings_at_once(spark, tmp_path):
+    import threading
+
+    from textloom.operators import clustering
+
+    both = threading.Barrier(2, timeout=60)
+    runs = []
+
+    def fit(df, k):
+        runs.append(k)
+        both.wait()  # broken where one run waits for the other's end
+        return df.withColumn("k", F.lit(k) + F.col("id") * df.where(f"id < {k}").count())
+
+    rows = spark.range(9)
+    out = clustering.swept(rows, {"x": {"k": 3}, "y": {"k": 5}, "again": {"k": 3}}, fit, str(tmp_path), at_once=2)
+    assert sorted(runs) == [3, 5] and {n: d.where("id = 2").first().k for n, d in out.items()} == {"x": 9, "y": 15, "again": 9}
+    assert clustering.swept(rows, {"y": {"k": 5}}, fit, str(tmp_path), at_once=2)["y"].count() == 9 and len(runs) == 2

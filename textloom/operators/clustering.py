@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,18 +33,23 @@ def fingerprint(rows: DataFrame) -> str:
     return hashlib.sha256(json.dumps([sorted(rows.dtypes), [str(x) for x in found]]).encode()).hexdigest()
 
 
-def swept(rows: DataFrame, settings: dict[str, dict], fit: Callable[..., DataFrame], folder: str | None = None) -> dict[str, DataFrame]:
-    """fit(rows, **setting) for each named setting. A run is kept under the digest of its setting, fit's name and the rows' fingerprint: the same run is read again, by whatever name, and any change of these makes a new one."""
+def swept(rows: DataFrame, settings: dict[str, dict], fit: Callable[..., DataFrame], folder: str | None = None, at_once: int = 1) -> dict[str, DataFrame]:
+    """fit(rows, **setting) for each named setting, `at_once` of them at a time. A run is kept under the digest of its setting, fit's name and the rows' fingerprint: the same run is read again, by whatever name, and any change of these makes a new one."""
     spark: SparkSession = rows.sparkSession
-    folder, own, out = folder or f"{stages.shared_folder(spark)}/sweeps", fingerprint(rows), {}
-    for name, setting in settings.items():
-        run = hashlib.sha256(json.dumps([own, f"{fit.__module__}.{fit.__qualname__}", setting], sort_keys=True).encode()).hexdigest()
-        path = f"{folder}/{run}"
+    folder, own, runs = folder or f"{stages.shared_folder(spark)}/sweeps", fingerprint(rows), {}
+    paths = {n: f"{folder}/" + hashlib.sha256(json.dumps([own, f"{fit.__module__}.{fit.__qualname__}", s], sort_keys=True).encode()).hexdigest() for n, s in settings.items()}
+    for name, path in paths.items():
         done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
         if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-            fit(rows, **setting).write.mode("overwrite").parquet(path)
-        out[name] = spark.read.parquet(path)
-    return out
+            runs.setdefault(path, settings[name])
+
+    def run(path: str) -> None:
+        fit(rows, **runs[path]).write.mode("overwrite").parquet(path)
+
+    with ThreadPoolExecutor(at_once) as pool:  # steps of few tasks leave cores to the other runs
+        for done in [pool.submit(inheritable_thread_target(spark)(run), path) for path in runs]:
+            done.result()
+    return {n: spark.read.parquet(path) for n, path in paths.items()}
 
 
 def combined_report(reports: dict[str, DataFrame], titles: dict[str, str]) -> DataFrame:

@@ -122,7 +122,7 @@ def _clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("q64_sweep_report")
 def _sweep(spark: SparkSession, sf: str) -> DataFrame:
-    made = clustering.swept(_texts(spark, sf), {f"k{k}": {"k": k} for k in (10, 15)}, _found)
+    made = clustering.swept(_texts(spark, sf), {f"k{k}": {"k": k} for k in (10, 15)}, _found, at_once=2)
     rows = {n: robustness.agreement(robustness.contingency(d, "ref", "topic"), "ref", "topic") for n, d in made.items()}
     return clustering.combined_report(rows, {"k15": "chosen"})
 
