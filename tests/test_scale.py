@@ -177,3 +177,34 @@ def test_sweep_runs_settings_at_once(spark, tmp_path):
     out = clustering.swept(rows, {"x": {"k": 3}, "y": {"k": 5}, "again": {"k": 3}}, fit, str(tmp_path), at_once=2)
     assert sorted(runs) == [3, 5] and {n: d.where("id = 2").first().k for n, d in out.items()} == {"x": 9, "y": 15, "again": 9}
     assert clustering.swept(rows, {"y": {"k": 5}}, fit, str(tmp_path), at_once=2)["y"].count() == 9 and len(runs) == 2
+
+
+def test_blocks_are_worked_on_in_tiles():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from textloom.operators import density, neighbours
+
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 9, (1024, 3)).astype(float)  # many rows at one place, and ties
+    ids, core, comp = rng.permutation(1024) * 5, rng.integers(0, 3, 1024) * 1.0, rng.integers(0, 4, 1024)
+    block = pa.table({"id": ids, "v": x.tolist(), "core": core, "comp": comp})
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(2))
+    peaks, got = [], []
+    for work in (neighbours._nearest_in(7), density._outward):
+        tracemalloc.start()
+        got.append(work(block).to_pylist())
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert max(peaks) < 12 << 20, peaks  # distances of all pairs are 8 MB alone, and each order or mask of them as much again
+    near = {int(ids[i]): [(d[i, j], int(ids[j])) for j in np.lexsort((ids, d[i])) if j != i][:7] for i in range(1024)}
+    found = {}
+    for r in got[0]:
+        found.setdefault(r["id"], []).append((r["distance"], r["other"]))
+    assert found == near
+    w = np.maximum(d, np.maximum(core[:, None], core[None, :]))
+    for c in range(4):
+        inside = [(w[i, j], min(ids[i], ids[j]), max(ids[i], ids[j])) for i in np.flatnonzero(comp == c) for j in np.flatnonzero(comp != c) if w[i, j] <= 1]
+        assert [(r["weight"], r["a"], r["b"]) for r in got[1] if r["comp"] == c] == [min(inside)]

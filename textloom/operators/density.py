@@ -52,11 +52,17 @@ def _outward(t: pa.Table) -> pa.Table:
     ids, core, comp = (t.column(c).to_numpy() for c in ("id", "core", "comp"))
     if len(np.unique(comp)) < 2:
         return pa.table({"comp": pa.array([], pa.int64()), "to": pa.array([], pa.int64()), "a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "weight": pa.array([], pa.float64())})
-    w = np.maximum(np.sqrt(neighbours.squared(neighbours.matrix(t.column("v").combine_chunks()))), np.maximum(core[:, None], core[None, :]))
-    w[comp[:, None] == comp[None, :]] = np.inf
-    least = w.min(1)
-    x, y = np.nonzero((w == least[:, None]) & np.isfinite(least)[:, None])  # ties go by ids
-    a, b, weight = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), w[x, y]
+    v, found = neighbours.matrix(t.column("v").combine_chunks()), []
+    for own in neighbours.tiles(len(ids)):
+        w = neighbours.squared(v, v[own])
+        np.maximum(np.sqrt(w, out=w), core[own, None], out=w)
+        np.maximum(w, core[None, :], out=w)
+        w[comp[own, None] == comp[None, :]] = np.inf
+        least = w.min(1)
+        i, j = np.nonzero((w == least[:, None]) & np.isfinite(least)[:, None])  # ties go by ids
+        found.append((i + own.start, j, w[i, j]))
+    x, y, weight = (np.concatenate(f) for f in zip(*found, strict=True))
+    a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
     by = np.lexsort((b, a, weight, comp[x]))
     first = by[np.unique(comp[x][by], return_index=True)[1]]
     return pa.table({"comp": comp[x][first], "to": comp[y][first], "a": a[first], "b": b[first], "weight": weight[first]})

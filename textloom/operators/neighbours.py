@@ -23,7 +23,7 @@ BLOCK = 1024
 TURNS = 4
 #: Numbers of the vectors in a part whose lists are compared, and its rows at most; smaller tables still have up to _PARTS parts.
 PART_NUMBERS, PART_ROWS, _PARTS = 1 << 21, 1 << 15, 12
-_AXES, _BITS, _BLOCKS_IN_TASK = 7, 63, 4
+_AXES, _BITS, _BLOCKS_IN_TASK, _TILE = 7, 63, 4, 128
 
 
 def usable(v: str):
@@ -98,30 +98,54 @@ def parts(curves: DataFrame, rows: int, most: int, least: int = BLOCK) -> DataFr
     return stages.kept(along.select("id", F.spark_partition_id().alias("part")), "parts")
 
 
-def squared(x: np.ndarray) -> np.ndarray:
-    """All squared distances within a block, from differences, so that equal rows are at 0."""
-    out = np.zeros((len(x), len(x)))
-    for column in x.T:
-        out += (column[:, None] - column[None, :]) ** 2
+def squared(x: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
+    """Squared distances of the rows `of`, all where it is not given, to all rows of a block, from differences, so that equal rows are at 0."""
+    of = x if of is None else of
+    out, gap = np.zeros((len(of), len(x))), np.empty((len(of), len(x)))
+    for one, other in zip(of.T, x.T, strict=True):
+        np.subtract(one[:, None], other[None, :], out=gap)
+        out += np.multiply(gap, gap, out=gap)
     return out
 
 
+def tiles(rows: int) -> Iterator[slice]:
+    """Stretches of a block's rows whose distances to all of it stay in a core's cache."""
+    return (slice(s, min(s + _TILE, rows)) for s in range(0, rows, _TILE))
+
+
+def _first(d: np.ndarray, most: int) -> np.ndarray:
+    """The places of the `most` smallest of each row in order; of equals the first."""
+    bound = np.partition(d, most - 1, axis=1)[:, most - 1 : most]
+    less, same = d < bound, d == bound
+    same &= np.cumsum(same, axis=1, dtype=np.int32) <= most - less.sum(1, keepdims=True)
+    at = np.nonzero(less | same)[1].reshape(len(d), most)
+    return np.take_along_axis(at, np.argsort(np.take_along_axis(d, at, 1), axis=1, kind="stable"), 1)
+
+
 def _nearest_in(k: int) -> Callable[[pa.Table], pa.Table]:
     def work(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
         ids, x = t.column("id").to_numpy(), matrix(t.column("v").combine_chunks())
         most = min(k, len(ids) - 1)
+        if most < 1:
+            return pa.table({"id": ids[:0], "other": ids[:0], "distance": np.empty(0)})
         if x.shape[1] <= _AXES or len(ids) <= 2 * k + 16:
-            at = np.broadcast_to(np.arange(len(ids)), (len(ids), len(ids)))
-            d = np.sqrt(squared(x))
+            found = []
+            for own in tiles(len(ids)):
+                d = np.sqrt(squared(x, x[own]))
+                d[np.arange(len(d)), np.arange(own.start, own.stop)] = np.inf
+                at = _first(d, most)
+                found.append((at, np.take_along_axis(d, at, 1)))
+            at, near = (np.concatenate(f) for f in zip(*found, strict=True))
         else:  # inner products choose candidates, of which differences give the distances
             norm = (x * x).sum(1)
             rough = norm[:, None] + norm[None, :] - 2 * (x @ x.T)
             np.fill_diagonal(rough, -np.inf)
             at = np.argpartition(rough, most + 8, axis=1)[:, : most + 9]
             d = np.stack([np.sqrt(((x[i] - x[at[i]]) ** 2).sum(1)) for i in range(len(ids))])
-        d = np.where(at == np.arange(len(ids))[:, None], np.inf, d)
-        by = np.lexsort((ids[at], d))[:, :most]
-        near, at = np.take_along_axis(d, by, 1), np.take_along_axis(at, by, 1)
+            d = np.where(at == np.arange(len(ids))[:, None], np.inf, d)
+            by = np.lexsort((at, d))[:, :most]
+            near, at = np.take_along_axis(d, by, 1), np.take_along_axis(at, by, 1)
         return pa.table({"id": np.repeat(ids, most), "other": ids[at].ravel(), "distance": near.ravel()})
 
     return work
